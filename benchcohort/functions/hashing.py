@@ -58,15 +58,74 @@ def poisson1_sql(seed: str, *keys: str) -> str:
     return f"CAST(CASE {cases} ELSE 6 END AS INTEGER)"
 
 
+# Weyl increment (golden ratio * 2^32) and the multiplier of
+# the 32-bit integer finaliser (xor-shift 16, multiply, twice, xor-shift 16).
+GOLDEN = 2654435769
+MIX = 73244475
+M32 = 4294967296
+
+
+def mix32(x: Column) -> Column:
+    """32-bit integer finaliser on a BIGINT in [0, 2^32): pure arithmetic, so
+    it stays inside whole-stage codegen (no string hashing per draw)."""
+    a = x
+    for _ in range(2):
+        a = (F.shiftright(a, 16).bitwiseXOR(a) * F.lit(MIX)) % F.lit(M32)
+    return F.shiftright(a, 16).bitwiseXOR(a)
+
+
+def stream(base: Column, i) -> Column:
+    """i-th draw of the stream seeded by ``base`` (a 32-bit hash):
+    mix32((base + i * GOLDEN) mod 2^32). One md5 per unit, then integers."""
+    return mix32((base + _as_col(i).cast("bigint") * F.lit(GOLDEN)) % F.lit(M32))
+
+
+def mix32_sql(x: str) -> str:
+    step = "(xor({v} >> 16, {v}) * " + str(MIX) + ") % " + str(M32)
+    inner = f"list_transform([CAST(({x}) AS BIGINT)], lambda a: {step.format(v='a')})[1]"
+    mid = f"list_transform([{inner}], lambda b: {step.format(v='b')})[1]"
+    return f"list_transform([{mid}], lambda c: xor(c >> 16, c))[1]"
+
+
+def stream_sql(base: str, i: str) -> str:
+    return mix32_sql(f"(({base}) + CAST({i} AS BIGINT) * {GOLDEN}) % {M32}")
+
+
+def unit_hash(key) -> Column:
+    """32-bit hash of a unit key (the base of that unit's draw stream)."""
+    return h("unit", key)
+
+
+def unit_hash_sql(key: str) -> str:
+    return h_sql("'unit'", key)
+
+
 def in_train(seed, key, train_pct: float = 0.70, method: str = "md5") -> Column:
-    """Approximate-size split: train iff h(seed, key) < pct * 2^32."""
-    return h(seed, key, method=method) < F.lit(int(train_pct * TWO32))
+    """Approximate-size split: train iff draw #seed of the key's stream is
+    below pct * 2^32. Independent of partitioning; one md5 per row however
+    many seeds are tried."""
+    return stream(unit_hash(key), seed) < F.lit(int(train_pct * TWO32))
 
 
 def in_train_sql(seed: str, key: str, train_pct: float = 0.70) -> str:
-    return f"({h_sql(seed, key)} < {int(train_pct * TWO32)})"
+    return f"({stream_sql(unit_hash_sql(key), seed)} < {int(train_pct * TWO32)})"
 
 
 def fold(seed, key, k: int, method: str = "md5") -> Column:
     """Cross-validation fold id in 0..k-1."""
-    return F.pmod(h(seed, key, F.lit("fold"), method=method), F.lit(k)).cast("int")
+    return F.pmod(stream(unit_hash(key), F.lit(seed) + F.lit(7919)), F.lit(k)).cast("int")
+
+
+def poisson1_of(z: Column) -> Column:
+    """Poisson(1) draw from a 32-bit integer by inverse CDF."""
+    u = z / F.lit(TWO32)
+    expr = F.lit(6)
+    for k in reversed(range(len(POISSON1_CDF))):
+        expr = F.when(u < F.lit(POISSON1_CDF[k]), F.lit(k)).otherwise(expr)
+    return expr.cast("int")
+
+
+def poisson1_of_sql(z: str) -> str:
+    u = f"(({z}) / 4294967296.0)"
+    cases = " ".join(f"WHEN {u} < {c} THEN {k}" for k, c in enumerate(POISSON1_CDF))
+    return f"CAST(CASE {cases} ELSE 6 END AS INTEGER)"

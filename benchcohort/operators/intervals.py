@@ -10,8 +10,9 @@ on (seed, replicate, unit key) and never on partitioning or task retries.
 * **Poisson (B2)** — every unit gets an independent Poisson(1) weight per
   replicate; the replicate mean is sum(w x) / sum(w). Map-side partial
   aggregation keeps the shuffle at groups x R x partitions, independent of n.
-  One md5 digest yields four 32-bit uniforms, so R replicates cost R/4
-  hashes per unit.
+  Each unit costs one md5 (its stream base); replicate weights are integer
+  mixes of that base, so the per-replicate work stays in whole-stage codegen.
+  Rows expand by R / 8 (eight replicates share one exploded row).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import POISSON1_CDF, TWO32, h
+from ..functions.hashing import h, poisson1_of, stream
 
 PROBS = (0.5, 0.025, 0.975)
 MULTINOMIAL_MAX_DRAWS = 100_000_000
@@ -41,46 +42,46 @@ def multinomial_replicates(units: DataFrame, keys: Sequence[str], order_key: str
     """Replicate means by exact resampling (B1).
 
     Units are numbered 0..n-1 inside their group by ``order_key``; replicate
-    r draws index pmod(h(seed, r, k), n) for k = 0..n-1 (the draw depends on
-    (r, k) only, as the reference re-seeds per group). Draws are joined back
-    on (group, index), which spreads a hot group over many tasks.
+    r draws index pmod(stream(h(seed, r), k), n) for k = 0..n-1 (the draw
+    depends on (r, k) only, as the reference re-seeds per group). Draws are
+    joined back on (group, index), which spreads a hot group over many
+    tasks. The numbering window holds one group per task, which B1's size
+    guard (n * R <= ~1e8) keeps small; larger groups use B2.
     """
     w = Window.partitionBy(*keys).orderBy(order_key)
     indexed = units.select(*keys, value, (F.row_number().over(w) - 1).alias("_idx"))
     sizes = indexed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     per_rep = (sizes.select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(R - 1))).alias("r"))
+                    .withColumn("_base", h(seed, F.col("r")))
                     .repartition(*keys, "r"))
-    draws = per_rep.select(*keys, "r", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k"), "_n")
-    draws = draws.select(*keys, "r", F.pmod(h(seed, F.col("r"), F.col("_k")), F.col("_n")).alias("_idx"))
+    draws = per_rep.select(*keys, "r", "_base", "_n",
+                           F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k"))
+    draws = draws.select(*keys, "r", F.pmod(stream(F.col("_base"), F.col("_k")), F.col("_n")).alias("_idx"))
     joined = draws.join(indexed, list(keys) + ["_idx"])
     return joined.groupBy(*keys, "r").agg(F.avg(value).alias("rep_mean"))
 
 
 def poisson_replicates(units: DataFrame, keys: Sequence[str], unit_key: Sequence[Column], value: Column,
-                       R: int, seed: int, scale: int = 1) -> DataFrame:
+                       R: int, seed: int, scale: int = 1, width: int = 8) -> DataFrame:
     """Replicate means by Poisson(1) weights (B2).
 
-    ``value`` should be integral (e.g. cents) when exact, order-independent
-    sums matter; ``scale`` divides the result back. Each row explodes into
-    ceil(R/4) hash blocks; each block's digest gives four weights.
+    ``value`` should be integral (e.g. cents) so sums are exact and
+    order-independent; ``scale`` divides the result back. Each row explodes
+    into ceil(R / width) blocks; block b carries replicates b*width .. +width-1
+    as separate sums, unstacked after the (tiny) aggregate.
     """
-    blocks = (R + 3) // 4
-    base = units.select(*keys, F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in unit_key]).alias("_key"),
-                        value.cast("bigint").alias("_x"))
-    exploded = base.select(*keys, "_x", "_key", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    digest = F.md5(F.concat_ws(":", F.col("_key"), F.col("_b").cast("string")))
+    blocks = (R + width - 1) // width
+    base = units.select(*keys, h(seed, *unit_key).alias("_h0"), value.cast("bigint").alias("_x"))
+    exploded = base.select(*keys, "_h0", "_x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
     aggs = []
-    for j in range(4):
-        u = F.conv(F.substring(digest, 1 + 8 * j, 8), 16, 10).cast("bigint") / F.lit(TWO32)
-        wj = F.lit(6)
-        for k in reversed(range(len(POISSON1_CDF))):
-            wj = F.when(u < F.lit(POISSON1_CDF[k]), F.lit(k)).otherwise(wj)
-        aggs.append(F.sum(wj.cast("bigint") * F.col("_x")).alias(f"_wx{j}"))
-        aggs.append(F.sum(wj.cast("bigint")).alias(f"_w{j}"))
+    for j in range(width):
+        wj = poisson1_of(stream(F.col("_h0"), F.col("_b") * width + j)).cast("bigint")
+        aggs.append(F.sum(wj * F.col("_x")).alias(f"_wx{j}"))
+        aggs.append(F.sum(wj).alias(f"_w{j}"))
     per_block = exploded.groupBy(*keys, "_b").agg(*aggs)
     stacked = per_block.select(*keys, F.explode(F.array(*[
-        F.struct((F.col("_b") * 4 + j).alias("r"), F.col(f"_wx{j}").alias("wx"), F.col(f"_w{j}").alias("w"))
-        for j in range(4)])).alias("_s"))
+        F.struct((F.col("_b") * width + j).alias("r"), F.col(f"_wx{j}").alias("wx"), F.col(f"_w{j}").alias("w"))
+        for j in range(width)])).alias("_s"))
     return (stacked.select(*keys, "_s.r", "_s.wx", "_s.w").filter(F.col("r") < R)
                    .select(*keys, "r", (F.try_divide(F.col("wx"), F.col("w")) / F.lit(float(scale))).alias("rep_mean")))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import POISSON1_CDF, h_sql
+from ..functions.hashing import h_sql, poisson1_of_sql, stream_sql
 from ..functions.rules import MODEL_CLEAN_RULES, replace_rules_sql
 from ..operators import intervals, rubric
 from ..operators.scorecard import clean_model, with_model_names
@@ -95,9 +95,9 @@ def _multinomial_sql(units: str, keys: list[str], order_key: str, value: str, R:
   FROM {units} {where}
 ),
 bs_sizes AS (SELECT {k}, COUNT(*) AS n_all, COUNT(v) AS n_nonnull, AVG(v) AS mean_v FROM bs_units GROUP BY {k}),
-bs_reps AS (SELECT {k}, n_all, r FROM bs_sizes, range(0, {R}) t(r)),
-bs_draws AS (SELECT {k}, r, unnest(range(0, n_all)) AS kk, n_all FROM bs_reps),
-bs_idx AS (SELECT {k}, r, {h_sql(str(seed), 'r', 'kk')} % n_all AS idx FROM bs_draws),
+bs_reps AS (SELECT {k}, n_all, r, {h_sql(str(seed), 'r')} AS base FROM bs_sizes, range(0, {R}) t(r)),
+bs_draws AS (SELECT {k}, r, base, unnest(range(0, n_all)) AS kk, n_all FROM bs_reps),
+bs_idx AS (SELECT {k}, r, {stream_sql('base', 'kk')} % n_all AS idx FROM bs_draws),
 bs_means AS (
   SELECT {", ".join('d.' + c for c in keys)}, d.r, AVG(u.v) AS rep_mean
   FROM bs_idx d JOIN bs_units u ON {on} AND d.idx = u.idx
@@ -155,29 +155,22 @@ def bootstrap_mean_ci(spark, sf):
                       F.col("R").cast("int").alias("R"), F.col("seed").cast("int").alias("seed"))
 
 
-def _poisson_sql(R: int, seed: int) -> str:
-    blocks = (R + 3) // 4
-    key = ("CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), "
-           "CAST(l_suppkey AS VARCHAR), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR)")
-    ws = []
-    for j in range(4):
-        u = f"(CAST('0x' || substr(dg, {1 + 8 * j}, 8) AS BIGINT) / 4294967296.0)"
-        cases_ = " ".join(f"WHEN {u} < {c} THEN {k}" for k, c in enumerate(POISSON1_CDF))
-        ws.append(f"CAST(CASE {cases_} ELSE 6 END AS BIGINT) AS w{j}")
+def _poisson_sql(R: int, seed: int, width: int = 8) -> str:
+    blocks = (R + width - 1) // width
+    key = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "CAST(round(l_extendedprice * 100) AS BIGINT)")
+    ws = [f"CAST({poisson1_of_sql(stream_sql('h0', f'b * {width} + {j}'))} AS BIGINT) AS w{j}" for j in range(width)]
     return f"""WITH li AS (
-  SELECT l_returnflag, CAST(round(l_discount * 100) AS BIGINT) AS x,
-         concat_ws(':', '{seed}', {key}) AS k
+  SELECT l_returnflag, CAST(round(l_discount * 100) AS BIGINT) AS x, {h_sql(str(seed), *key)} AS h0
   FROM lineitem
 ),
-blk AS (SELECT l_returnflag, x, md5(concat_ws(':', k, CAST(b AS VARCHAR))) AS dg, b
-        FROM li, range(0, {blocks}) t(b)),
+blk AS (SELECT l_returnflag, x, h0, b FROM li, range(0, {blocks}) t(b)),
 wts AS (SELECT l_returnflag, x, b, {", ".join(ws)} FROM blk),
 per_block AS (
-  SELECT l_returnflag, b, {", ".join(f"SUM(w{j} * x) AS wx{j}, SUM(w{j}) AS sw{j}" for j in range(4))}
+  SELECT l_returnflag, b, {", ".join(f"SUM(w{j} * x) AS wx{j}, SUM(w{j}) AS sw{j}" for j in range(width))}
   FROM wts GROUP BY l_returnflag, b
 ),
 reps AS (
-  {" UNION ALL ".join(f"SELECT l_returnflag, b * 4 + {j} AS r, wx{j} AS wx, sw{j} AS sw FROM per_block" for j in range(4))}
+  {" UNION ALL ".join(f"SELECT l_returnflag, b * {width} + {j} AS r, wx{j} AS wx, sw{j} AS sw FROM per_block" for j in range(width))}
 ),
 means AS (SELECT l_returnflag, r, CASE WHEN sw = 0 THEN NULL ELSE wx / sw END / 100.0 AS rep_mean FROM reps WHERE r < {R}),
 point AS (SELECT l_returnflag, CAST(COUNT(*) AS BIGINT) AS n,
