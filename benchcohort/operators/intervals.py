@@ -57,7 +57,10 @@ def multinomial_replicates(units: DataFrame, keys: Sequence[str], order_key: str
     draws = per_rep.select(*keys, "r", "_base", "_n",
                            F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k"))
     draws = draws.select(*keys, "r", F.pmod(stream(F.col("_base"), F.col("_k")), F.col("_n")).alias("_idx"))
-    joined = draws.join(indexed, list(keys) + ["_idx"])
+    # Spark sizes an explode like its input, so the n*R draw rows look tiny
+    # to the planner; without a hint it broadcasts them. Build the hash table
+    # from the unit side instead and shuffle both sides by (group, index).
+    joined = draws.join(indexed.hint("shuffle_hash"), list(keys) + ["_idx"])
     return joined.groupBy(*keys, "r").agg(F.avg(value).alias("rep_mean"))
 
 

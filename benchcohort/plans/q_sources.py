@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binomial import exact_binomial_ci
 from ..functions.rules import MODEL_CLEAN_RULES, replace_rules_sql
-from ..operators import stats
+from ..operators import benchrows, stats
 from ..operators.rubric import cleaned
 from ..operators.scorecard import clean_model, with_model_names
 from ..session import scratch_path
@@ -216,9 +216,6 @@ def tsv_roundtrip(spark, sf):
 
 
 # ------------------------------------------------------------ badge scores
-_BADGE = {"F": "Green", "O": "Yellow", "P": "Red"}
-
-
 def _badge_table(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", "o_orderstatus")
     c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
@@ -234,17 +231,9 @@ def _badge_table(spark, sf):
 def _badge_scores(spark, sf):
     """Answered-with-evidence style rows: Green share, and 1 - Red share
     (reverse scored), with exact intervals on the provider total."""
-    t = _badge_table(spark, sf).filter(F.col("badge").isin("Green", "Red"))
-    t = t.withColumnRenamed("provider", "Model_Orig").withColumnRenamed("pct_of_provider", "Center")
-    t = t.withColumn("Model_Orig", clean_model(F.col("Model_Orig"), "badges"))
-    t = t.withColumn("Center", F.col("Center") / 100.0)
-    t = t.withColumn("Center", F.when(F.col("badge") == "Red", 1 - F.col("Center")).otherwise(F.col("Center")))
-    t = t.withColumn("badge", F.when(F.col("badge") == "Green", "01.Green").otherwise("02.Red (reverse scored)"))
-    t = t.withColumn("Bench", F.concat(F.lit("Answered with Evidence: "), F.col("badge")))
-    t = t.withColumn("n", F.col("provider_total")).withColumn("x", F.bround(F.col("Center") * F.col("n"), 0).cast("bigint"))
-    ci = exact_binomial_ci(F.col("x"), F.col("n"))
-    return with_model_names(t.withColumn("_ci", ci)).select(
-        "Bench", "Model", "n", "x", "Center", F.col("_ci.lcl").alias("L95"), F.col("_ci.ucl").alias("U95"))
+    rows = benchrows.badge_score_rows(_badge_table(spark, sf).select(
+        "provider", "badge", "total_count", "pct_of_provider"))
+    return with_model_names(rows).select("Bench", "Model", "n", F.col("_x").alias("x"), "Center", "L95", "U95")
 
 
 _BADGE_SQL_CTES = f"""WITH RECURSIVE cnt AS (
