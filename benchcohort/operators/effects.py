@@ -66,27 +66,30 @@ def aipw_stratified(df: DataFrame, y: str, w: str, strata: Sequence[str], ref: s
     Strata lacking any arm have no estimable mu_k(x) and are dropped (the
     count of rows kept is reported)."""
     cells = cell_moments(df, y, w, strata)
-    arms = [r[0] for r in cells.select("arm").distinct().orderBy("arm").collect()]
-    ref = ref if ref is not None else arms[0]
-    K = len(arms)
+    # Arm list, reference arm and per-stratum completeness from windows over
+    # the aggregated cells (strata x arms rows): no driver round trip.
+    every = Window.partitionBy()
     sx = Window.partitionBy(*strata)
-    cells = (cells.withColumn("n_x", F.sum("n_xk").over(sx))
+    cells = (cells.withColumn("_K", F.size(F.collect_set("arm").over(every)))
+                  .withColumn("_ref", F.lit(ref) if ref is not None else F.min("arm").over(every))
+                  .withColumn("n_x", F.sum("n_xk").over(sx))
                   .withColumn("k_x", F.count(F.lit(1)).over(sx))
-                  .filter(F.col("k_x") == K)
+                  .filter(F.col("k_x") == F.col("_K"))
                   .withColumn("mu", F.col("sy") / F.col("n_xk"))
                   .withColumn("e", F.col("n_xk") / F.col("n_x"))
                   .withColumn("ss", F.col("syy") - F.col("sy") * F.col("sy") / F.col("n_xk")))
-    r = cells.filter(F.col("arm") == ref).select(*strata, F.col("mu").alias("mu_ref"),
-                                                  F.col("e").alias("e_ref"), F.col("ss").alias("ss_ref"))
-    k = cells.filter(F.col("arm") != ref).join(r, list(strata))
+    r = cells.filter(F.col("arm") == F.col("_ref")).select(*strata, F.col("mu").alias("mu_ref"),
+                                                            F.col("e").alias("e_ref"), F.col("ss").alias("ss_ref"))
+    k = cells.filter(F.col("arm") != F.col("_ref")).join(r, list(strata))
     delta = F.col("mu") - F.col("mu_ref")
     sum_d = F.col("n_x") * delta
     sum_d2 = (F.col("n_x") * delta * delta + F.col("ss") / (F.col("e") * F.col("e"))
               + F.col("ss_ref") / (F.col("e_ref") * F.col("e_ref")))
-    per_arm = k.groupBy("arm").agg(F.sum("n_x").alias("n"), F.sum(sum_d).alias("sd1"), F.sum(sum_d2).alias("sd2"))
+    per_arm = k.groupBy("arm", "_ref").agg(F.sum("n_x").alias("n"), F.sum(sum_d).alias("sd1"),
+                                          F.sum(sum_d2).alias("sd2"))
     ate = F.col("sd1") / F.col("n")
     var = (F.col("sd2") - F.col("n") * ate * ate) / (F.col("n") - F.lit(1))
-    return per_arm.select("arm", F.lit(ref).alias("reference"), ate.alias("estimate"),
+    return per_arm.select("arm", F.col("_ref").alias("reference"), ate.alias("estimate"),
                           F.sqrt(var / F.col("n")).alias("std_err"), "n")
 
 

@@ -113,12 +113,19 @@ def mark_latest(sc: DataFrame) -> DataFrame:
     return sc.withColumn("Improve_Last", F.when(latest, 1).otherwise(0))
 
 
-def build_scorecard(score_rows: DataFrame) -> DataFrame:
-    """score rows (Bench, Model_Orig, n, Center, L95, U95, limits_not_ci) -> full scorecard."""
+def build_scorecard(score_rows: DataFrame, materialize: bool = False) -> DataFrame:
+    """score rows (Bench, Model_Orig, n, Center, L95, U95, limits_not_ci) -> full scorecard.
+
+    The scorecard reads its score rows three times (flags, improved rows,
+    base rows); ``materialize`` checkpoints the aggregated rows once so the
+    unit-level scan and aggregate behind them run a single time."""
+    if materialize:
+        from ..session import cut_lineage
+        score_rows = cut_lineage(score_rows)
     named = with_model_names(score_rows)
     return mark_latest(compare_to_base(flag_best_worse(named)))
 
 
 def cases_scorecard(cases: DataFrame) -> DataFrame:
     units = cases.withColumn("model_clean", clean_model(F.col("raw_model"), "cases"))
-    return build_scorecard(binomial_scores(units, "bench", "model_clean", "score"))
+    return build_scorecard(binomial_scores(units, "bench", "model_clean", "score"), materialize=True)
