@@ -6,7 +6,7 @@ on (seed, replicate, unit key) and never on partitioning or task retries.
 * **Multinomial (B1)** — exactly n draws with replacement per replicate, as
   the reference's ``sample(x, replace=TRUE)``. It materialises n x R draw
   rows, so it is meant for groups with n * R up to ~1e8; ``method="auto"``
-  falls back to B2 above that.
+  measures the largest group and falls back to B2 above that.
 * **Poisson (B2)** — every unit gets an independent Poisson(1) weight per
   replicate; the replicate mean is sum(w x) / sum(w). Map-side partial
   aggregation keeps the shuffle at groups x R x partitions, independent of n.
@@ -74,11 +74,13 @@ def poisson_replicates(units: DataFrame, keys: Sequence[str], unit_key: Sequence
     as separate sums, unstacked after the (tiny) aggregate.
     """
     blocks = (R + width - 1) // width
-    base = units.select(*keys, h(seed, *unit_key).alias("_h0"), value.cast("bigint").alias("_x"))
+    integral = dict(units.select(value.alias("_v")).dtypes)["_v"] in ("tinyint", "smallint", "int", "bigint")
+    base = units.select(*keys, h(seed, *unit_key).alias("_h0"),
+                        value.cast("bigint" if integral else "double").alias("_x"))
     exploded = base.select(*keys, "_h0", "_x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
     aggs = []
     for j in range(width):
-        wj = poisson1_of(stream(F.col("_h0"), F.col("_b") * width + j)).cast("bigint")
+        wj = poisson1_of(stream(F.col("_h0"), F.col("_b") * width + j)).cast("bigint" if integral else "double")
         aggs.append(F.sum(wj * F.col("_x")).alias(f"_wx{j}"))
         aggs.append(F.sum(wj).alias(f"_w{j}"))
     per_block = exploded.groupBy(*keys, "_b").agg(*aggs)
@@ -89,12 +91,24 @@ def poisson_replicates(units: DataFrame, keys: Sequence[str], unit_key: Sequence
                    .select(*keys, "r", (F.try_divide(F.col("wx"), F.col("w")) / F.lit(float(scale))).alias("rep_mean")))
 
 
+def _replicates(units: DataFrame, keys: Sequence[str], order_key: str, value: str, R: int, seed: int,
+                method: str) -> DataFrame:
+    """B1 for groups small enough to resample exactly; B2 otherwise
+    (``method="auto"``), or forced with "multinomial" / "poisson"."""
+    if method == "auto":
+        method = "poisson" if needs_poisson(units, keys, R) else "multinomial"
+    if method == "poisson":
+        return poisson_replicates(units.filter(F.col(value).isNotNull()), keys, [F.col(order_key)], F.col(value),
+                                  R, seed)
+    return multinomial_replicates(units, keys, order_key, value, R, seed)
+
+
 def bootstrap_distribution(units: DataFrame, keys: Sequence[str], order_key: str, value: str,
-                           R: int, seed: int) -> DataFrame:
+                           R: int, seed: int, method: str = "multinomial") -> DataFrame:
     """n = non-null count, Center = median of replicate means, 2.5/97.5 %
     limits. Nulls stay in the resampling population and are ignored in each
     replicate mean (the reference's ``mean(sample(x), na.rm=TRUE)``)."""
-    reps = multinomial_replicates(units, keys, order_key, value, R, seed)
+    reps = _replicates(units, keys, order_key, value, R, seed, method)
     q = _replicate_quantiles(reps, keys, "rep_mean")
     n = units.groupBy(*keys).agg(F.count(value).alias("n"))
     return (n.join(q, list(keys))
@@ -102,11 +116,11 @@ def bootstrap_distribution(units: DataFrame, keys: Sequence[str], order_key: str
 
 
 def bootstrap_mean_ci(units: DataFrame, keys: Sequence[str], order_key: str, value: str,
-                      R: int, seed: int) -> DataFrame:
+                      R: int, seed: int, method: str = "multinomial") -> DataFrame:
     """Nulls dropped first; Center = plain mean, limits from R replicate
     means; returns mean, lcl, ucl, n, R, seed."""
     clean = units.filter(F.col(value).isNotNull())
-    reps = multinomial_replicates(clean, keys, order_key, value, R, seed)
+    reps = _replicates(clean, keys, order_key, value, R, seed, method)
     q = _replicate_quantiles(reps, keys, "rep_mean")
     point = clean.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
     return (point.join(q, list(keys))

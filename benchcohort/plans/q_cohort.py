@@ -73,7 +73,12 @@ def _qid(name: str) -> str:
 # ------------------------------------------------------------ clean-up
 @query("cohort_clean", sql=CO + "\nSELECT * FROM cohort")
 def cohort_clean(spark, sf):
-    return cohort(spark, sf)
+    d = cohort(spark, sf)
+    # Column roles (ids, targets, treatment, predictors, the rest) order the output.
+    roles = co.column_roles(d.columns)
+    first = [n for n in roles.id + [roles.trt] + roles.t1 if n in d.columns]
+    ordered = list(dict.fromkeys(first + d.columns))
+    return d.select(*[q(n) for n in ordered])
 
 
 @query("recode_category", sql=f"""

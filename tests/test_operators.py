@@ -118,3 +118,13 @@ def test_bootstrap_variants_agree(spark):
     assert b1.L95 <= 0.3 <= b1.U95 or abs(b1.Center - 0.3) < 0.05
     assert b2.Median == pytest.approx(b1.Center, abs=0.02)
     assert (b2.U95 - b2.L95) == pytest.approx(b1.U95 - b1.L95, rel=0.25)
+
+
+def test_bootstrap_auto_switches_to_poisson(spark):
+    rows = [("g", i, float(i % 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, k long, v double")
+    from benchcohort.operators.intervals import MULTINOMIAL_MAX_DRAWS, needs_poisson
+    assert not needs_poisson(df, ["g"], 200)
+    assert needs_poisson(df, ["g"], MULTINOMIAL_MAX_DRAWS)
+    out = intervals.bootstrap_mean_ci(df, ["g"], "k", "v", 200, 1, method="poisson").first()
+    assert out.lcl < out.mean < out.ucl
