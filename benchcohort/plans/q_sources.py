@@ -217,13 +217,18 @@ def tsv_roundtrip(spark, sf):
 
 # ------------------------------------------------------------ badge scores
 def _badge_table(spark, sf):
-    o = table(spark, sf, "orders").select("o_custkey", "o_orderstatus")
+    """Badge counts per provider (segment) from orders: orders are first
+    collapsed to (customer, status) counts, so the join with customer moves
+    one row per customer and status instead of one per order (Catalyst does
+    not push aggregates below joins)."""
+    from pyspark.sql import Window
+    o = (table(spark, sf, "orders").groupBy("o_custkey", "o_orderstatus")
+         .agg(F.count(F.lit(1)).alias("cnt")))
     c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
     badge = F.when(F.col("o_orderstatus") == "F", "Green").when(F.col("o_orderstatus") == "O", "Yellow").otherwise("Red")
     cnt = (o.join(c, F.col("o_custkey") == F.col("c_custkey"))
            .groupBy(F.concat(F.lower("c_mktsegment"), F.lit("_choose_best")).alias("provider"), badge.alias("badge"))
-           .agg(F.count(F.lit(1)).alias("total_count")))
-    from pyspark.sql import Window
+           .agg(F.sum("cnt").alias("total_count")))
     tot = F.sum("total_count").over(Window.partitionBy("provider"))
     return cnt.withColumn("provider_total", tot).withColumn("pct_of_provider", F.col("total_count") * 100.0 / tot)
 

@@ -21,9 +21,11 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # Broadcast only what AQE measured small at runtime (or explicit
-    # fixed-size dimensions); 32 MB keeps the broadcast side bounded.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # No broadcast from static estimates (file sizes of compressed Parquet,
+    # or an explode sized like its input, are not a bound). AQE converts a
+    # join to a broadcast only when a side's shuffle output was *measured*
+    # under 32 MB; fixed-size dimensions carry an explicit hint.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
 }
