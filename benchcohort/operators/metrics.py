@@ -1,8 +1,9 @@
 """One-vs-rest ROC AUC and PR AUC per class, micro and macro.
 
 Unit rows are first collapsed to (set, target, score) -> (positives,
-negatives); the cumulative windows then run over distinct scores per
-(set, target), never over unit rows. Ties get half credit (Mann-Whitney).
+negatives); running totals over the distinct scores are distributed prefix
+sums (range-partitioned), so a class with billions of distinct scores is
+spread over many tasks. Ties get half credit (Mann-Whitney).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cohort import c
+from .stats import prefix_sums
 
 
 def stack_classes(df: DataFrame, id_col: str, group_col: str, classes: Sequence[str]) -> DataFrame:
@@ -34,31 +36,29 @@ def _counts(long: DataFrame) -> DataFrame:
 
 def auroc(long: DataFrame) -> DataFrame:
     """AUC = sum_s pos(s) * (neg below s + neg tied at s / 2) / (P * N)."""
-    cnt = _counts(long)
-    w = Window.partitionBy("grp", "target").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    tot = Window.partitionBy("grp", "target")
-    cnt = cnt.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    cnt = cnt.withColumn("P", F.sum("pos").over(tot)).withColumn("N", F.sum("neg").over(tot))
+    cnt = prefix_sums(_counts(long), ["grp", "target"], "score", ["neg"])
+    cnt = cnt.withColumn("neg_below", F.col("cum_neg") - F.col("neg"))
     credit = F.col("pos") * (F.col("neg_below") + F.col("neg") / F.lit(2.0))
     per = cnt.groupBy("grp", "target").agg(
-        (F.sum(credit) / (F.first("P").cast("double") * F.first("N").cast("double"))).alias("auc"))
+        (F.sum(credit) / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))).alias("auc"))
     return _with_macro(per, "auc")
 
 
 def auprc(long: DataFrame) -> DataFrame:
     """Area under precision-recall, trapezoids over distinct thresholds from
-    the highest score down; the first point pairs with its own precision."""
-    cnt = _counts(long)
-    w = Window.partitionBy("grp", "target").orderBy(F.col("score").desc())
-    cum = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tot = Window.partitionBy("grp", "target")
-    pts = (cnt.withColumn("tp", F.sum("pos").over(cum)).withColumn("fp", F.sum("neg").over(cum))
-              .withColumn("P", F.sum("pos").over(tot))
-              .withColumn("recall", F.col("tp") / F.col("P"))
-              .withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp"))))
-    pts = (pts.withColumn("r_prev", F.lag("recall", 1, 0.0).over(w))
-              .withColumn("p_prev", F.coalesce(F.lag("precision", 1).over(w), F.col("precision"))))
-    area = (F.col("recall") - F.col("r_prev")) * (F.col("precision") + F.col("p_prev")) / F.lit(2.0)
+    the highest score down; the first point pairs with its own precision.
+    The previous point is the running total minus the current counts, so no
+    lag across partitions is needed."""
+    cnt = prefix_sums(_counts(long), ["grp", "target"], "score", ["pos", "neg"], descending=True)
+    tot = cnt.groupBy("grp", "target").agg(F.sum("pos").alias("P"))
+    pts = cnt.join(tot, ["grp", "target"])
+    tp, fp = F.col("cum_pos"), F.col("cum_neg")
+    tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
+    recall = tp / F.col("P")
+    precision = tp / (tp + fp)
+    r_prev = tp0 / F.col("P")
+    p_prev = F.when((tp0 + fp0) > 0, tp0 / (tp0 + fp0)).otherwise(precision)
+    area = (recall - r_prev) * (precision + p_prev) / F.lit(2.0)
     per = pts.groupBy("grp", "target").agg(F.sum(area).alias("auprc"))
     return _with_macro(per, "auprc")
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import fixed_moments, mean_from_moments
+from ..session import cut_lineage
 
 
 def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float],
@@ -29,6 +30,9 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float
           .select("g", "v", F.spark_partition_id().alias("pid"),
                   (F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
                   .alias("pos")))
+    # pid/pos are read by two branches below; freeze them once (reliable
+    # checkpoint) so a recomputation can never re-tag rows differently.
+    s = cut_lineage(s)
     blocks = s.groupBy("pid", "g").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("cnt"))
     earlier = Window.partitionBy("g").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum("cnt").over(earlier), F.lit(0)))
@@ -48,6 +52,32 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float
                       (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("q"))
 
 
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str],
+                descending: bool = False, partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``values`` within each ``keys`` group in
+    ``order`` — without a window holding a whole group.
+
+    Rows are range-partitioned by (keys, order), so a large group spans many
+    partitions. Running sums are taken inside each (partition, group) block,
+    block totals are offset by the totals of the group's earlier blocks (a
+    small table: partitions x groups), and the offset is added back. ``order``
+    values must be unique within a group (e.g. after aggregating by it).
+    """
+    spark = df.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    o = F.col(order).desc() if descending else F.col(order).asc()
+    ranged = cut_lineage(df.repartitionByRange(parts, *[F.col(k) for k in keys], o)
+                           .withColumn("_pid", F.spark_partition_id()))
+    inside = Window.partitionBy("_pid", *keys).orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranged = ranged.select("*", *[F.sum(v).over(inside).alias(f"_in_{v}") for v in values])
+    blocks = ranged.groupBy("_pid", *keys).agg(*[F.sum(v).alias(f"_blk_{v}") for v in values])
+    earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_pid", *keys, *[F.coalesce(F.sum(f"_blk_{v}").over(earlier), F.lit(0)).alias(f"_off_{v}")
+                                            for v in values])
+    out = ranged.join(blocks, ["_pid", *keys])
+    return out.select(*df.columns, *[(F.col(f"_off_{v}") + F.col(f"_in_{v}")).alias(f"cum_{v}") for v in values])
+
+
 def summary_record(x: Column, scale: int = 2) -> list[Column]:
     """count, sum, sum_squared, min, max, mean, variance, stddev (population),
     sums exact at 10^-scale resolution (A16)."""
