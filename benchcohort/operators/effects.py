@@ -66,12 +66,13 @@ def aipw_stratified(df: DataFrame, y: str, w: str, strata: Sequence[str], ref: s
     Strata lacking any arm have no estimable mu_k(x) and are dropped (the
     count of rows kept is reported)."""
     cells = cell_moments(df, y, w, strata)
-    # Arm list, reference arm and per-stratum completeness from windows over
-    # the aggregated cells (strata x arms rows): no driver round trip.
-    every = Window.partitionBy()
+    # Number of arms and the reference arm are scalar subqueries over the
+    # aggregated cells; completeness per stratum is a window by stratum.
+    n_arms = cells.select(F.countDistinct("arm")).scalar()
+    ref_arm = F.lit(ref) if ref is not None else cells.select(F.min("arm")).scalar()
     sx = Window.partitionBy(*strata)
-    cells = (cells.withColumn("_K", F.size(F.collect_set("arm").over(every)))
-                  .withColumn("_ref", F.lit(ref) if ref is not None else F.min("arm").over(every))
+    cells = (cells.withColumn("_K", n_arms)
+                  .withColumn("_ref", ref_arm)
                   .withColumn("n_x", F.sum("n_xk").over(sx))
                   .withColumn("k_x", F.count(F.lit(1)).over(sx))
                   .filter(F.col("k_x") == F.col("_K"))

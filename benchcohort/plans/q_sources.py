@@ -139,16 +139,16 @@ def newest_snapshot(spark, sf):
 
 
 # ------------------------------------------------------------ multi-source ingest
-_KEEP = (5, 19)
+MIN_BALANCE = 0.0  # keep accounts in credit (the extract's row filter)
 
 
 @query("multi_source_union", sql=f"""
 SELECT 'Customer' AS src, c_custkey AS "key", c_name AS name, c_nationkey AS nationkey, c_acctbal AS acctbal,
        c_mktsegment AS mktsegment
-FROM customer WHERE c_nationkey BETWEEN {_KEEP[0]} AND {_KEEP[1]}
+FROM customer WHERE c_acctbal >= {MIN_BALANCE}
 UNION ALL BY NAME
 SELECT 'Supplier' AS src, s_suppkey AS "key", s_name AS name, s_nationkey AS nationkey, s_acctbal AS acctbal
-FROM supplier WHERE s_nationkey BETWEEN {_KEEP[0]} AND {_KEEP[1]}""")
+FROM supplier WHERE s_acctbal >= {MIN_BALANCE}""")
 def multi_source_union(spark, sf):
     root = files.with_scheme(scratch_path(spark, "extracts"))
     cust = table(spark, sf, "customer").select(
@@ -165,7 +165,7 @@ def multi_source_union(spark, sf):
         df.write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
         back = (spark.read.schema(schema).option("header", True).csv(path)
                 .withColumn("src", files.source_label(F.col("_metadata.file_path"))))
-        frames.append(back.filter(F.col("nationkey").between(*_KEEP)))
+        frames.append(back.filter(F.col("acctbal") >= MIN_BALANCE))
     out = files.union_sources(frames)
     return out.select("src", "key", "name", "nationkey", "acctbal", "mktsegment")
 
