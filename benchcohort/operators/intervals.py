@@ -104,7 +104,7 @@ def _replicates(units: DataFrame, keys: Sequence[str], order_key: str, value: st
 
 
 def bootstrap_distribution(units: DataFrame, keys: Sequence[str], order_key: str, value: str,
-                           R: int, seed: int, method: str = "multinomial") -> DataFrame:
+                           R: int, seed: int, method: str = "auto") -> DataFrame:
     """n = non-null count, Center = median of replicate means, 2.5/97.5 %
     limits. Nulls stay in the resampling population and are ignored in each
     replicate mean (the reference's ``mean(sample(x), na.rm=TRUE)``)."""
@@ -116,7 +116,7 @@ def bootstrap_distribution(units: DataFrame, keys: Sequence[str], order_key: str
 
 
 def bootstrap_mean_ci(units: DataFrame, keys: Sequence[str], order_key: str, value: str,
-                      R: int, seed: int, method: str = "multinomial") -> DataFrame:
+                      R: int, seed: int, method: str = "auto") -> DataFrame:
     """Nulls dropped first; Center = plain mean, limits from R replicate
     means; returns mean, lcl, ucl, n, R, seed."""
     clean = units.filter(F.col(value).isNotNull())

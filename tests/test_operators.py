@@ -128,3 +128,14 @@ def test_bootstrap_auto_switches_to_poisson(spark):
     assert needs_poisson(df, ["g"], MULTINOMIAL_MAX_DRAWS)
     out = intervals.bootstrap_mean_ci(df, ["g"], "k", "v", 200, 1, method="poisson").first()
     assert out.lcl < out.mean < out.ucl
+
+
+def test_exact_size_split_and_hash_split_agree(spark):
+    from benchcohort.operators import split
+    df = spark.range(0, 1000).withColumnRenamed("id", "k")
+    exact = split.exact_size_split(df, "k", 1221)
+    assert exact.filter("set = 'Train'").count() == 700
+    approx = split.hash_split(df, "k", 1221)
+    both = exact.join(approx.withColumnRenamed("set", "s2"), "k")
+    # the exact split is the approximate one with the threshold moved to the 700th draw
+    assert both.filter("set != s2").count() <= 40
