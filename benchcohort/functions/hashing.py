@@ -38,26 +38,6 @@ def h_sql(seed: str, *keys: str) -> str:
     return f"CAST('0x' || substr(md5(concat_ws(':', {inner})), 1, 8) AS BIGINT)"
 
 
-def uniform(seed, *keys, method: str = "md5") -> Column:
-    """U[0,1) draw."""
-    return h(seed, *keys, method=method) / F.lit(TWO32)
-
-
-def poisson1(seed, *keys, method: str = "md5") -> Column:
-    """Poisson(1) draw by inverse CDF of a hash uniform (values 0..6)."""
-    u = uniform(seed, *keys, method=method)
-    expr = F.lit(6)
-    for k in reversed(range(len(POISSON1_CDF))):
-        expr = F.when(u < F.lit(POISSON1_CDF[k]), F.lit(k)).otherwise(expr)
-    return expr.cast("int")
-
-
-def poisson1_sql(seed: str, *keys: str) -> str:
-    u = f"({h_sql(seed, *keys)} / 4294967296.0)"
-    cases = " ".join(f"WHEN {u} < {c} THEN {k}" for k, c in enumerate(POISSON1_CDF))
-    return f"CAST(CASE {cases} ELSE 6 END AS INTEGER)"
-
-
 # Weyl increment (golden ratio * 2^32) and the multiplier of
 # the 32-bit integer finaliser (xor-shift 16, multiply, twice, xor-shift 16).
 GOLDEN = 2654435769

@@ -17,9 +17,6 @@ from ..functions.binomial import exact_binomial_ci
 from ..functions.rules import (CANONICAL_MODEL_RULES, IMPROVEMENT_PATTERN, MODEL_CLEAN_RULES,
                                apply_assign_rules, apply_replace_rules)
 
-SCORE_COLUMNS = ["Bench", "Model", "n", "Center", "L95", "U95", "limits_not_ci"]
-
-
 # ------------------------------------------------------------ names
 def clean_model(col: Column, source: str) -> Column:
     """Source-specific clean-up of raw model names."""

@@ -138,8 +138,10 @@ report_rows AS (
 @query("report_filter", sql=SC + "," + _REPORT_SQL + """
 SELECT Bench, Model, Center, Improve, Best, BestMeta, Improve_Last FROM report_rows""")
 def report_filter(spark, sf):
-    return report.report_rows(_sc(spark, sf)).select(
-        "Bench", "Model", "Center", "Improve", "Best", "BestMeta", "Improve_Last")
+    rows = report.report_rows(_sc(spark, sf))
+    # O1: bench ascending, Center descending (nulls last), as the report lists them.
+    return (rows.orderBy("Bench", F.col("Center").desc_nulls_last(), "Model")
+                .select("Bench", "Model", "Center", "Improve", "Best", "BestMeta", "Improve_Last"))
 
 
 @query("floor_filter", sql=SC + f"""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from ..functions.binomial import STEPS
 from ..functions.rules import (CANONICAL_MODEL_RULES, IMPROVEMENT_PATTERN, MODEL_CLEAN_RULES,
                                assign_rules_sql, replace_rules_sql)
-from .inputs import CASES_SQL, COHORT_BASE_SQL, RUBRIC_SQL
+from .inputs import CASES_SQL
 
 
 def binomial_ci_ctes(src: str, keys: list[str], x: str = "x", n: str = "n",
@@ -118,9 +118,3 @@ score_rows AS (
   FROM case_agg a JOIN case_ci c ON a.Bench = c.Bench AND a.Model_Orig = c.Model_Orig
 ),
 {scorecard_ctes('score_rows')}"""
-
-
-def with_inputs(*names: str) -> str:
-    """Plain (non-recursive) CTE header for the shared inputs."""
-    bodies = {"cases": CASES_SQL, "rubric": RUBRIC_SQL, "cohort_base": COHORT_BASE_SQL}
-    return "WITH " + ",\n".join(f"{n} AS ({bodies[n]})" for n in names)
