@@ -33,6 +33,7 @@ HEADLINE = [
     "quantiles",
     "multiclass_auroc",
     "aipw_stratified",
+    "full_scorecard",
 ]
 
 

@@ -86,27 +86,28 @@ def title_label(spark, sf):
 
 # ----------------------------------------------------------------- bootstraps
 def _multinomial_sql(units: str, keys: list[str], order_key: str, value: str, R: int, seed: int,
-                     drop_null: bool) -> str:
+                     drop_null: bool, prefix: str = "bs") -> str:
     k = ", ".join(keys)
     on = " AND ".join(f"d.{c} = u.{c}" for c in keys)
     where = f"WHERE {value} IS NOT NULL" if drop_null else ""
-    return f"""bs_units AS (
+    p = prefix
+    return f"""{p}_units AS (
   SELECT {k}, {value} AS v, row_number() OVER (PARTITION BY {k} ORDER BY {order_key}) - 1 AS idx
   FROM {units} {where}
 ),
-bs_sizes AS (SELECT {k}, COUNT(*) AS n_all, COUNT(v) AS n_nonnull, AVG(v) AS mean_v FROM bs_units GROUP BY {k}),
-bs_reps AS (SELECT {k}, n_all, r, {h_sql(str(seed), 'r')} AS base FROM bs_sizes, range(0, {R}) t(r)),
-bs_draws AS (SELECT {k}, r, base, unnest(range(0, n_all)) AS kk, n_all FROM bs_reps),
-bs_idx AS (SELECT {k}, r, {stream_sql('base', 'kk')} % n_all AS idx FROM bs_draws),
-bs_means AS (
+{p}_sizes AS (SELECT {k}, COUNT(*) AS n_all, COUNT(v) AS n_nonnull, AVG(v) AS mean_v FROM {p}_units GROUP BY {k}),
+{p}_reps AS (SELECT {k}, n_all, r, {h_sql(str(seed), 'r')} AS base FROM {p}_sizes, range(0, {R}) t(r)),
+{p}_draws AS (SELECT {k}, r, base, unnest(range(0, n_all)) AS kk, n_all FROM {p}_reps),
+{p}_idx AS (SELECT {k}, r, {stream_sql('base', 'kk')} % n_all AS idx FROM {p}_draws),
+{p}_means AS (
   SELECT {", ".join('d.' + c for c in keys)}, d.r, AVG(u.v) AS rep_mean
-  FROM bs_idx d JOIN bs_units u ON {on} AND d.idx = u.idx
+  FROM {p}_idx d JOIN {p}_units u ON {on} AND d.idx = u.idx
   GROUP BY {", ".join('d.' + c for c in keys)}, d.r
 ),
-bs_q AS (
+{p}_q AS (
   SELECT {k}, quantile_cont(rep_mean, 0.5) AS q50, quantile_cont(rep_mean, 0.025) AS q025,
          quantile_cont(rep_mean, 0.975) AS q975
-  FROM bs_means GROUP BY {k}
+  FROM {p}_means GROUP BY {k}
 )"""
 
 

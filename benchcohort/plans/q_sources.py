@@ -233,11 +233,15 @@ def _badge_table(spark, sf):
     return cnt.withColumn("provider_total", tot).withColumn("pct_of_provider", F.col("total_count") * 100.0 / tot)
 
 
-def _badge_scores(spark, sf):
-    """Answered-with-evidence style rows: Green share, and 1 - Red share
+def _badge_scores_rows(spark, sf):
+    """Answered-with-evidence style score rows: Green share, and 1 - Red share
     (reverse scored), with exact intervals on the provider total."""
-    rows = benchrows.badge_score_rows(_badge_table(spark, sf).select(
+    return benchrows.badge_score_rows(_badge_table(spark, sf).select(
         "provider", "badge", "total_count", "pct_of_provider"))
+
+
+def _badge_scores(spark, sf):
+    rows = _badge_scores_rows(spark, sf)
     return with_model_names(rows).select("Bench", "Model", "n", F.col("_x").alias("x"), "Center", "L95", "U95")
 
 
