@@ -23,9 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h, poisson1_of, stream
+from ..session import cut_lineage
 
 PROBS = (0.5, 0.025, 0.975)
 MULTINOMIAL_MAX_DRAWS = 100_000_000
+BROADCAST_MAX_UNITS = 500_000  # ~25 MB of (group, value, index) rows
 
 
 def _replicate_quantiles(reps: DataFrame, keys: Sequence[str], stat: str) -> DataFrame:
@@ -49,7 +51,7 @@ def multinomial_replicates(units: DataFrame, keys: Sequence[str], order_key: str
     guard (n * R <= ~1e8) keeps small; larger groups use B2.
     """
     w = Window.partitionBy(*keys).orderBy(order_key)
-    indexed = units.select(*keys, value, (F.row_number().over(w) - 1).alias("_idx"))
+    indexed = cut_lineage(units.select(*keys, value, (F.row_number().over(w) - 1).alias("_idx")))
     sizes = indexed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     per_rep = (sizes.select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(R - 1))).alias("r"))
                     .withColumn("_base", h(seed, F.col("r")))
@@ -58,9 +60,12 @@ def multinomial_replicates(units: DataFrame, keys: Sequence[str], order_key: str
                            F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k"))
     draws = draws.select(*keys, "r", F.pmod(stream(F.col("_base"), F.col("_k")), F.col("_n")).alias("_idx"))
     # Spark sizes an explode like its input, so the n*R draw rows look tiny
-    # to the planner; without a hint it broadcasts them. Build the hash table
-    # from the unit side instead and shuffle both sides by (group, index).
-    joined = draws.join(indexed.hint("shuffle_hash"), list(keys) + ["_idx"])
+    # to the planner and may be broadcast. The unit side is the one to build
+    # from: broadcast it when its counted size is small (the draws then never
+    # shuffle), otherwise shuffle both sides by (group, index) and hash it.
+    small = indexed.count() <= BROADCAST_MAX_UNITS
+    side = F.broadcast(indexed) if small else indexed.hint("shuffle_hash")
+    joined = draws.join(side, list(keys) + ["_idx"])
     return joined.groupBy(*keys, "r").agg(F.avg(value).alias("rep_mean"))
 
 
