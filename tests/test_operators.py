@@ -139,3 +139,23 @@ def test_exact_size_split_and_hash_split_agree(spark):
     both = exact.join(approx.withColumnRenamed("set", "s2"), "k")
     # the exact split is the approximate one with the threshold moved to the 700th draw
     assert both.filter("set != s2").count() <= 40
+
+
+def test_auc_hot_class_over_many_partitions(spark):
+    """A class holding most rows, with thousands of distinct scores, spread
+    over many range partitions: the distributed running totals are exact."""
+    rng = np.random.default_rng(11)
+    n = 4000
+    truth = (rng.random(n) < 0.4).astype(int)
+    score = np.round(rng.random(n) * 0.6 + 0.4 * truth, 4)
+    rows = [(i, "all", "hot", int(t), float(v)) for i, (t, v) in enumerate(zip(truth, score))]
+    rows += [(i, "all", "cold", int(t), float(v)) for i, (t, v) in enumerate(zip(truth[:50], score[:50]))]
+    long = spark.createDataFrame(rows, "id long, grp string, target string, truth int, score double")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = {r.target: r.auc for r in metrics.auroc(long).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    pos, neg = score[truth == 1], score[truth == 0]
+    brute = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
+    assert got["hot"] == pytest.approx(brute, abs=1e-12)
