@@ -31,6 +31,8 @@ DEFAULT_CONF = {
     # Let AQE size post-shuffle partitions and split skewed ones.
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    # Checkpoint files are removed once their DataFrame is no longer referenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
