@@ -18,6 +18,14 @@ from pyspark.sql import functions as F
 from ..functions.exact import fixed_moments, mean_from_moments
 from ..session import cut_lineage
 
+SMALL_SIDE_ROWS = 1_000_000  # counted rows under which a helper table is broadcast
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
+    """Broadcast a helper table only after counting it; otherwise leave the
+    join strategy to AQE. Used for tables bounded by partitions x groups."""
+    return F.broadcast(df) if df.count() <= max_rows else df
+
 
 def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float],
                     partitions: int | None = None) -> DataFrame:
@@ -35,14 +43,16 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float
     s = cut_lineage(s)
     blocks = s.groupBy("pid", "g").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("cnt"))
     earlier = Window.partitionBy("g").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("cnt").over(earlier), F.lit(0)))
+    # At most partitions + groups rows: materialise once, broadcast if counted small,
+    # so the large side is joined in place rather than shuffled.
+    blocks = cut_lineage(blocks.withColumn("before", F.coalesce(F.sum("cnt").over(earlier), F.lit(0))))
     sizes = blocks.groupBy("g").agg(F.sum("cnt").alias("n"))
     targets = sizes.select("g", "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
     targets = (targets.withColumn("h", (F.col("n") - 1) * F.col("p"))
                       .withColumn("lo", F.floor("h").cast("bigint")).withColumn("hi", F.ceil("h").cast("bigint"))
                       .withColumn("frac", F.col("h") - F.col("lo")))
-    needed = targets.select("g", F.explode(F.array("lo", "hi")).alias("rank")).distinct()
-    ranked = (s.join(blocks.select("pid", "g", "first", "before"), ["pid", "g"])
+    needed = checked_broadcast(targets.select("g", F.explode(F.array("lo", "hi")).alias("rank")).distinct())
+    ranked = (s.join(checked_broadcast(blocks.select("pid", "g", "first", "before")), ["pid", "g"])
                .select("g", "v", (F.col("before") + F.col("pos") - F.col("first")).alias("rank")))
     picked = ranked.join(needed, ["g", "rank"]).select("g", "rank", "v")
     lo = picked.select("g", F.col("rank").alias("lo"), F.col("v").alias("v_lo"))
@@ -72,9 +82,9 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: str, values: Sequence
     ranged = ranged.select("*", *[F.sum(v).over(inside).alias(f"_in_{v}") for v in values])
     blocks = ranged.groupBy("_pid", *keys).agg(*[F.sum(v).alias(f"_blk_{v}") for v in values])
     earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("_pid", *keys, *[F.coalesce(F.sum(f"_blk_{v}").over(earlier), F.lit(0)).alias(f"_off_{v}")
-                                            for v in values])
-    out = ranged.join(blocks, ["_pid", *keys])
+    blocks = cut_lineage(blocks.select("_pid", *keys, *[
+        F.coalesce(F.sum(f"_blk_{v}").over(earlier), F.lit(0)).alias(f"_off_{v}") for v in values]))
+    out = ranged.join(checked_broadcast(blocks), ["_pid", *keys])
     return out.select(*df.columns, *[(F.col(f"_off_{v}") + F.col(f"_in_{v}")).alias(f"cum_{v}") for v in values])
 
 
