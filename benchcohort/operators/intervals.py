@@ -108,11 +108,41 @@ def _replicates(units: DataFrame, keys: Sequence[str], order_key: str, value: st
     return multinomial_replicates(units, keys, order_key, value, R, seed)
 
 
+def poisson_bootstrap(units: DataFrame, keys: Sequence[str], unit_key: Sequence[Column], value: Column,
+                      R: int, seed: int, scale: int = 1, width: int = 8) -> DataFrame:
+    """B2 in one pass over the units: point estimate (n, mean) and the
+    replicate percentiles come from the same exploded aggregate (block 0
+    also carries the plain count and sum)."""
+    blocks = (R + width - 1) // width
+    base = units.select(*keys, h(seed, *unit_key).alias("_h0"), value.cast("bigint").alias("_x"))
+    exploded = base.select(*keys, "_h0", "_x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    first = F.col("_b") == 0
+    aggs = [F.sum(F.when(first, 1).otherwise(0)).cast("bigint").alias("_n"),
+            F.sum(F.when(first, F.col("_x")).otherwise(0)).alias("_sx")]
+    for j in range(width):
+        wj = poisson1_of(stream(F.col("_h0"), F.col("_b") * width + j)).cast("bigint")
+        aggs.append(F.sum(wj * F.col("_x")).alias(f"_wx{j}"))
+        aggs.append(F.sum(wj).alias(f"_w{j}"))
+    # groups x blocks rows: checkpoint so both outputs come from one pass
+    # over the units (otherwise Catalyst prunes the point branch into a
+    # second, narrower scan).
+    per_block = cut_lineage(exploded.groupBy(*keys, "_b").agg(*aggs))
+    point = per_block.filter(F.col("_b") == 0).select(
+        *keys, F.col("_n").alias("n"), (F.col("_sx") / F.col("_n") / F.lit(float(scale))).alias("mean"))
+    stacked = per_block.select(*keys, F.explode(F.array(*[
+        F.struct((F.col("_b") * width + j).alias("r"), F.col(f"_wx{j}").alias("wx"), F.col(f"_w{j}").alias("w"))
+        for j in range(width)])).alias("_s"))
+    reps = (stacked.select(*keys, "_s.r", "_s.wx", "_s.w").filter(F.col("r") < R)
+                   .select(*keys, (F.try_divide(F.col("wx"), F.col("w")) / F.lit(float(scale))).alias("rep_mean")))
+    return point.join(_replicate_quantiles(reps, keys, "rep_mean"), list(keys))
+
+
 def bootstrap_distribution(units: DataFrame, keys: Sequence[str], order_key: str, value: str,
                            R: int, seed: int, method: str = "auto") -> DataFrame:
     """n = non-null count, Center = median of replicate means, 2.5/97.5 %
     limits. Nulls stay in the resampling population and are ignored in each
     replicate mean (the reference's ``mean(sample(x), na.rm=TRUE)``)."""
+    units = cut_lineage(units.select(*keys, order_key, value))  # one pass feeds n and replicates
     reps = _replicates(units, keys, order_key, value, R, seed, method)
     q = _replicate_quantiles(reps, keys, "rep_mean")
     n = units.groupBy(*keys).agg(F.count(value).alias("n"))
@@ -124,7 +154,7 @@ def bootstrap_mean_ci(units: DataFrame, keys: Sequence[str], order_key: str, val
                       R: int, seed: int, method: str = "auto") -> DataFrame:
     """Nulls dropped first; Center = plain mean, limits from R replicate
     means; returns mean, lcl, ucl, n, R, seed."""
-    clean = units.filter(F.col(value).isNotNull())
+    clean = cut_lineage(units.select(*keys, order_key, value).filter(F.col(value).isNotNull()))
     reps = _replicates(clean, keys, order_key, value, R, seed, method)
     q = _replicate_quantiles(reps, keys, "rep_mean")
     point = clean.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))

@@ -191,11 +191,6 @@ def bootstrap_poisson(spark, sf):
     key = [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"),
            F.round(F.col("l_extendedprice") * 100).cast("bigint")]
     cents = F.round(F.col("l_discount") * 100).cast("bigint")
-    reps = intervals.poisson_replicates(li, ["l_returnflag"], key, cents, R_POISSON, SEED, scale=100)
-    q = intervals._replicate_quantiles(reps, ["l_returnflag"], "rep_mean")
-    point = li.groupBy("l_returnflag").agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.sum(cents) / F.count(F.lit(1)) / F.lit(100.0)).alias("mean"))
-    return (point.join(q, "l_returnflag")
-                 .select("l_returnflag", "n", "mean", r6("L95"), r6("Median"), r6("U95"),
-                         F.col("R_used").cast("bigint").alias("R_used")))
+    out = intervals.poisson_bootstrap(li, ["l_returnflag"], key, cents, R_POISSON, SEED, scale=100)
+    return out.select("l_returnflag", "n", "mean", r6("L95"), r6("Median"), r6("U95"),
+                      F.col("R_used").cast("bigint").alias("R_used"))
