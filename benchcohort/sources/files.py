@@ -147,6 +147,21 @@ def quoted_values(text: Column, quote: str = "'") -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"{q}\\s*(.*?)\\s*{q}"), 1))
 
 
+def code_lists(lines: DataFrame, text: str = "value", start: str = "^var",
+               contains: str = r"rx\(|rx=") -> DataFrame:
+    """Variable definitions that list codes (S8): keep lines starting with
+    ``start`` whose space-free lower-case form contains ``contains``; the
+    name is the text before the first '=' (after the leading keyword), the
+    codes are every quoted value (double quotes read as single), distinct.
+    Returns (name, code) rows, one per code."""
+    squashed = F.regexp_replace(F.lower(F.col(text)), " ", "")
+    kept = lines.filter(F.col(text).rlike(start) & squashed.rlike(contains))
+    body = F.replace(F.regexp_replace(F.col(text), "^var ", ""), F.lit('"'), F.lit("'"))
+    name = F.trim(F.split(body, "=").getItem(0))
+    return (kept.select(name.alias("name"), quoted_values(body).alias("codes"))
+                .select("name", F.explode("codes").alias("code")))
+
+
 # ---------------------------------------------------------------- K1 / K2
 def write_tsv(df: DataFrame, path: str, first_column: str | None = None, label: str | None = None) -> None:
     """Tab-separated, no quoting, null as empty, header; optionally a row
