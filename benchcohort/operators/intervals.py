@@ -40,7 +40,7 @@ def _replicate_quantiles(reps: DataFrame, keys: Sequence[str], stat: str) -> Dat
 
 
 def multinomial_replicates(units: DataFrame, keys: Sequence[str], order_key: str, value: str,
-                           R: int, seed: int) -> DataFrame:
+                           R: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Replicate means by exact resampling (B1).
 
     Units are numbered 0..n-1 inside their group by ``order_key``; replicate
@@ -66,7 +66,7 @@ def multinomial_replicates(units: DataFrame, keys: Sequence[str], order_key: str
     small = indexed.count() <= BROADCAST_MAX_UNITS
     side = F.broadcast(indexed) if small else indexed.hint("shuffle_hash")
     joined = draws.join(side, list(keys) + ["_idx"])
-    return joined.groupBy(*keys, "r").agg(F.avg(value).alias("rep_mean"))
+    return joined.groupBy(*keys, "r").agg(F.avg(value).alias("rep_mean")), indexed
 
 
 def poisson_replicates(units: DataFrame, keys: Sequence[str], unit_key: Sequence[Column], value: Column,
@@ -97,14 +97,19 @@ def poisson_replicates(units: DataFrame, keys: Sequence[str], unit_key: Sequence
 
 
 def _replicates(units: DataFrame, keys: Sequence[str], order_key: str, value: str, R: int, seed: int,
-                method: str) -> DataFrame:
+                method: str) -> tuple[DataFrame, DataFrame]:
     """B1 for groups small enough to resample exactly; B2 otherwise
-    (``method="auto"``), or forced with "multinomial" / "poisson"."""
+    (``method="auto"``), or forced with "multinomial" / "poisson".
+
+    Returns the replicate means and a materialised copy of the units, so the
+    point estimate reads the same checkpoint instead of recomputing them."""
     if method == "auto":
         method = "poisson" if needs_poisson(units, keys, R) else "multinomial"
     if method == "poisson":
-        return poisson_replicates(units.filter(F.col(value).isNotNull()), keys, [F.col(order_key)], F.col(value),
+        base = cut_lineage(units.select(*keys, order_key, value))
+        reps = poisson_replicates(base.filter(F.col(value).isNotNull()), keys, [F.col(order_key)], F.col(value),
                                   R, seed)
+        return reps, base
     return multinomial_replicates(units, keys, order_key, value, R, seed)
 
 
@@ -142,10 +147,9 @@ def bootstrap_distribution(units: DataFrame, keys: Sequence[str], order_key: str
     """n = non-null count, Center = median of replicate means, 2.5/97.5 %
     limits. Nulls stay in the resampling population and are ignored in each
     replicate mean (the reference's ``mean(sample(x), na.rm=TRUE)``)."""
-    units = cut_lineage(units.select(*keys, order_key, value))  # one pass feeds n and replicates
-    reps = _replicates(units, keys, order_key, value, R, seed, method)
+    reps, base = _replicates(units, keys, order_key, value, R, seed, method)
     q = _replicate_quantiles(reps, keys, "rep_mean")
-    n = units.groupBy(*keys).agg(F.count(value).alias("n"))
+    n = base.groupBy(*keys).agg(F.count(value).alias("n"))
     return (n.join(q, list(keys))
              .select(*keys, "n", F.col("Median").alias("Center"), "L95", "U95"))
 
@@ -154,10 +158,10 @@ def bootstrap_mean_ci(units: DataFrame, keys: Sequence[str], order_key: str, val
                       R: int, seed: int, method: str = "auto") -> DataFrame:
     """Nulls dropped first; Center = plain mean, limits from R replicate
     means; returns mean, lcl, ucl, n, R, seed."""
-    clean = cut_lineage(units.select(*keys, order_key, value).filter(F.col(value).isNotNull()))
-    reps = _replicates(clean, keys, order_key, value, R, seed, method)
+    clean = units.select(*keys, order_key, value).filter(F.col(value).isNotNull())
+    reps, base = _replicates(clean, keys, order_key, value, R, seed, method)
     q = _replicate_quantiles(reps, keys, "rep_mean")
-    point = clean.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    point = base.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
     return (point.join(q, list(keys))
                  .select(*keys, "mean", F.col("L95").alias("lcl"), F.col("U95").alias("ucl"), "n",
                          F.lit(R).alias("R"), F.lit(seed).alias("seed")))

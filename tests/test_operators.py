@@ -159,3 +159,15 @@ def test_auc_hot_class_over_many_partitions(spark):
     pos, neg = score[truth == 1], score[truth == 0]
     brute = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
     assert got["hot"] == pytest.approx(brute, abs=1e-12)
+
+
+def test_column_profile_exact_and_approx_agree(spark):
+    rows = [(i % 3, None if i % 5 == 0 else float(i % 7), "s" + str(i % 4)) for i in range(200)]
+    df = spark.createDataFrame(rows, "a int, b double, c string")
+    exact = {r.column: r for r in co.column_profile(df, ["a", "b", "c"]).collect()}
+    approx = {r.column: r for r in co.column_profile(df, ["a", "b", "c"], approx_distinct=True).collect()}
+    for k in ("a", "b", "c"):
+        assert exact[k].n_missing == approx[k].n_missing
+        assert exact[k].n_distinct == approx[k].n_distinct
+        assert exact[k].is_categorical == approx[k].is_categorical
+    assert exact["b"].n_missing == 40 and exact["c"].is_categorical == 1 and exact["a"].is_categorical == 0
