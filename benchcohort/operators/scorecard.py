@@ -47,6 +47,12 @@ def improvement_label(improve: Column) -> Column:
     return F.concat(F.upper(F.substring(word, 1, 1)), F.regexp_extract(improve, "[0-9]+$", 0))
 
 
+def legend_symbol(label: Column) -> Column:
+    """Legend entry of a label: its first letter, only for labels without
+    digits (numbered variants share their family's symbol) (P9)."""
+    return F.when(~label.rlike("[0-9]"), F.substring(label, 1, 1))
+
+
 def improvement_type(improve: Column) -> Column:
     return F.regexp_replace(improve, "[0-9]+", "")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import report
 from ..operators.scorecard import (binomial_scores, canonical_base, cases_scorecard, clean_model,
-                                   improvement_label, improvement_type, with_model_names)
+                                   improvement_label, improvement_type, legend_symbol, with_model_names)
 from .inputs import CASES_SQL, cases
 from .registry import query, r6
 from .sqlparts import canonical_sql, cases_scorecard_sql_ctes, improvement_sql, label_sql
@@ -233,11 +233,14 @@ def improvement_tag_q(spark, sf):
 
 @query("improvement_label", sql=SC + f"""
 SELECT DISTINCT Improve, regexp_replace(Improve, '[0-9]+', '', 'g') AS Improve_Type,
-       {label_sql('Improve')} AS Improve_Label
+       {label_sql('Improve')} AS Improve_Label,
+       CASE WHEN NOT regexp_matches({label_sql('Improve')}, '[0-9]') THEN substr({label_sql('Improve')}, 1, 1) END
+         AS Legend
 FROM sc WHERE Improve <> ''""")
 def improvement_label_q(spark, sf):
     sc = _sc(spark, sf).filter(F.col("Improve") != "")
     return (sc.select("Improve").distinct()
             .select("Improve", improvement_type(F.col("Improve")).alias("Improve_Type"),
-                    improvement_label(F.col("Improve")).alias("Improve_Label")))
+                    improvement_label(F.col("Improve")).alias("Improve_Label"),
+                    legend_symbol(improvement_label(F.col("Improve"))).alias("Legend")))
 
