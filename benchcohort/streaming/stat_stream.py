@@ -32,13 +32,17 @@ def stat_file_stream(spark: SparkSession, root: str, file_name: str = "stats.jso
 
 def start_scorecard_stream(spark: SparkSession, root: str, rows_path: str, scorecard_path: str,
                            checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Score rows are appended per micro-batch (a file is always whole inside
+    """Score rows are written per micro-batch (a file is always whole inside
     one batch, so the per-file maximum is final); the scorecard is then
-    rewritten from the accumulated rows, which are few (one per run)."""
+    rewritten from the accumulated rows, which are few (one per run).
+
+    Both writes are idempotent: a batch replayed after a failure overwrites
+    its own ``epoch=<id>`` folder instead of appending duplicates, and the
+    scorecard is always rebuilt whole."""
 
     def on_batch(batch: DataFrame, epoch_id: int) -> None:
-        rows = medhelm_score_rows(batch).withColumn("epoch", F.lit(epoch_id))
-        rows.write.mode("append").parquet(rows_path)
+        rows = medhelm_score_rows(batch)
+        rows.write.mode("overwrite").parquet(f"{rows_path.rstrip('/')}/epoch={epoch_id}")
         everything = spark.read.parquet(rows_path).drop("epoch")
         build_scorecard(everything).write.mode("overwrite").parquet(scorecard_path)
 
