@@ -13,11 +13,14 @@ def latest_run(items: DataFrame, model: str = "model", run: str = "run_id") -> D
     """Keep each model's latest run.
 
     Aggregate-then-join rather than a window partitioned by model: a window
-    would put every row of a hot model into one task, while the per-model
-    maximum is a tiny partial aggregate that AQE broadcasts back.
+    would put every row of a hot model into one task. The per-model maximum
+    (one row per model) is materialised, counted and broadcast, so the item
+    table is filtered in place — it is never shuffled for the join.
     """
-    latest = items.groupBy(model).agg(F.max(run).alias(run))
-    return items.join(latest, [model, run], "left_semi")
+    from ..session import cut_lineage
+    from .stats import checked_broadcast
+    latest = cut_lineage(items.groupBy(model).agg(F.max(run).alias(run)))
+    return items.join(checked_broadcast(latest), [model, run], "left_semi")
 
 
 def score_expr(points: str = "points", met: str = "criterion_met"):
