@@ -75,3 +75,32 @@ def smd_categorical(cat: DataFrame) -> DataFrame:
     per_pair = pairs.groupBy("variable", "sa", "sb").agg(F.sum(term).alias("cc"))
     smd = F.when(F.col("cc") < 4.0, F.sqrt(F.col("cc") / (F.lit(1.0) - F.col("cc") / F.lit(4.0))))
     return per_pair.groupBy("variable").agg(F.avg(smd).alias("smd"), F.count(F.lit(1)).alias("n_pairs"))
+
+
+def report(df: DataFrame, strat: str, continuous_vars: Sequence[str], categorical_vars: Sequence[str]) -> DataFrame:
+    """Printable Table One: rows 'n', '<var> (mean (SD))' and '<var> (%) = <level>',
+    one column per stratum (values rounded, then formatted), and the SMD of
+    the row's variable. Strata become columns with a pivot over their
+    (bounded) distinct values."""
+    cont = continuous(df, strat, continuous_vars)
+    cat = categorical(df, strat, categorical_vars)
+    sizes = df.groupBy(c(strat).alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+
+    def fmt(x, spec):
+        return F.when(x.isNull(), F.lit("NA")).otherwise(F.format_string(spec, x))
+
+    long = (sizes.select(F.lit("n").alias("row"), F.lit("").alias("variable"), "stratum",
+                         F.col("n").cast("string").alias("cell"))
+            .unionByName(cont.select(F.concat(F.col("variable"), F.lit(" (mean (SD))")).alias("row"), "variable",
+                                     "stratum", F.concat(fmt(F.round("mean", 2), "%.2f"), F.lit(" ("),
+                                                         fmt(F.round("sd", 2), "%.2f"), F.lit(")")).alias("cell")))
+            .unionByName(cat.select(F.concat(F.col("variable"), F.lit(" (%) = "), F.col("level")).alias("row"),
+                                    "variable", "stratum",
+                                    F.concat(F.format_string("%d", F.col("n")), F.lit(" ("),
+                                             F.format_string("%.1f", F.round("pct", 1)), F.lit(")")).alias("cell"))))
+    strata = [r[0] for r in sizes.select("stratum").orderBy("stratum").collect()]
+    wide = long.groupBy("row", "variable").pivot("stratum", strata).agg(F.first("cell"))
+    smd = smd_continuous(cont).select("variable", "smd").unionByName(smd_categorical(cat).select("variable", "smd"))
+    smd = smd.select("variable", F.when(F.col("smd").isNotNull(),
+                                        F.format_string("%.3f", F.round("smd", 3))).alias("SMD"))
+    return wide.join(smd, "variable", "left").select("row", "variable", *[F.col(f"`{s}`") for s in strata], "SMD")

@@ -13,6 +13,8 @@ from ..operators import effects, metrics, split, stats, tableone
 from ..sources.tables import table
 from .inputs import COHORT_BASE_SQL, cohort_raw
 from .registry import q, query, r6
+from ..session import scratch_path
+from ..sources import files
 
 # ------------------------------------------------------------ run parameters
 SPLIT_SEED = 1221
@@ -240,7 +242,7 @@ def _t1(spark, sf):
     return cohort(spark, sf).filter(F.col("years_followup_ge1") == 1)
 
 
-def _cont_sql() -> str:
+def _cont_ctes() -> str:
     from ..functions.exact import fixed_sql
     rows = []
     for v in CONTINUOUS:
@@ -248,7 +250,7 @@ def _cont_sql() -> str:
         rows.append(f"""SELECT intervention AS stratum, '{v}' AS variable, COUNT({_qid(v)}) AS n,
   CAST(SUM({xs}) AS DOUBLE) AS s1, CAST(SUM({xs} * {xs}) AS DOUBLE) AS s2, COUNT(*) AS n_all
   FROM t1 GROUP BY intervention""")
-    return _strat_sql() + ",\ncont_m AS (" + "\nUNION ALL\n".join(rows) + """),
+    return "cont_m AS (" + "\nUNION ALL\n".join(rows) + """),
 cont AS (
   SELECT stratum, variable, n, s1 / n / 1000000.0 AS mean,
          sqrt(CASE WHEN n > 1 THEN greatest((s2 - (s1 * s1) / n) / (n - 1), 0.0) / 1000000000000.0 END) AS sd,
@@ -257,6 +259,10 @@ cont AS (
 )"""
 
 
+def _cont_sql() -> str:
+    return _strat_sql() + ",\n" + _cont_ctes()
+
+
 @query("table_one_continuous", sql=_cont_sql() + """
 SELECT stratum, variable, CAST(n AS BIGINT) AS n, mean, round(sd, 6) AS sd, missing_pct FROM cont""")
 def table_one_continuous(spark, sf):
@@ -264,12 +270,12 @@ def table_one_continuous(spark, sf):
     return t.select("stratum", "variable", "n", "mean", r6("sd"), "missing_pct")
 
 
-def _cat_sql() -> str:
+def _cat_ctes() -> str:
     rows = []
     for v in CATEGORICAL:
         val = f"'y' || CAST({_qid(v)} AS VARCHAR)" if v == "index_year" else f"CAST({_qid(v)} AS VARCHAR)"
         rows.append(f"SELECT intervention AS stratum, '{v}' AS variable, coalesce({val}, 'NA') AS level FROM t1")
-    return _strat_sql() + ",\ncat_long AS (" + "\nUNION ALL\n".join(rows) + """),
+    return "cat_long AS (" + "\nUNION ALL\n".join(rows) + """),
 sizes AS (SELECT intervention AS stratum, COUNT(*) AS n_stratum FROM t1 GROUP BY intervention),
 cat AS (
   SELECT l.stratum, l.variable, l.level, CAST(COUNT(*) AS BIGINT) AS n, COUNT(*) * 100.0 / s.n_stratum AS pct
@@ -278,6 +284,10 @@ cat AS (
 )"""
 
 
+def _cat_sql() -> str:
+    return _strat_sql() + ",\n" + _cat_ctes()
+
+
 def _t1_cat(spark, sf):
     d = _t1(spark, sf)
     return d.withColumn("index_year", F.concat(F.lit("y"), F.col("index_year").cast("string")))
@@ -288,40 +298,88 @@ def table_one_categorical(spark, sf):
     return tableone.categorical(_t1_cat(spark, sf), "intervention", CATEGORICAL)
 
 
-@query("smd_continuous", sql=_cont_sql() + """
-, pairs AS (
+_SMD_C = """pairs_c AS (
   SELECT a.variable, CASE WHEN sqrt((a.sd * a.sd + b.sd * b.sd) / 2.0) > 0
          THEN abs(a.mean - b.mean) / sqrt((a.sd * a.sd + b.sd * b.sd) / 2.0) END AS d
   FROM cont a JOIN cont b ON a.variable = b.variable AND a.stratum < b.stratum
-)
-SELECT variable, round(AVG(d), 6) AS smd, CAST(COUNT(*) AS BIGINT) AS n_pairs FROM pairs GROUP BY variable""")
+),
+smd_c AS (SELECT variable, AVG(d) AS smd, CAST(COUNT(*) AS BIGINT) AS n_pairs FROM pairs_c GROUP BY variable)"""
+
+
+@query("smd_continuous", sql=_cont_sql() + ",\n" + _SMD_C + """
+SELECT variable, round(smd, 6) AS smd, n_pairs FROM smd_c""")
 def smd_continuous(spark, sf):
     t = tableone.continuous(_t1(spark, sf), "intervention", CONTINUOUS)
     return tableone.smd_continuous(t).select("variable", r6("smd"), "n_pairs")
 
 
-@query("smd_categorical", sql=_cat_sql() + """
-, strata AS (SELECT DISTINCT variable, stratum FROM cat),
-lv AS (SELECT DISTINCT variable, level FROM cat),
-shares AS (
+_SMD_K = """strata_k AS (SELECT DISTINCT variable, stratum FROM cat),
+lv_k AS (SELECT DISTINCT variable, level FROM cat),
+shares_k AS (
   SELECT g.variable, g.stratum, g.level, coalesce(c.pct / 100.0, 0.0) AS p
-  FROM (SELECT s.variable, s.stratum, l.level FROM strata s JOIN lv l ON s.variable = l.variable) g
+  FROM (SELECT s.variable, s.stratum, l.level FROM strata_k s JOIN lv_k l ON s.variable = l.variable) g
   LEFT JOIN cat c ON g.variable = c.variable AND g.stratum = c.stratum AND g.level = c.level
 ),
-per_pair AS (
+per_pair_k AS (
   SELECT a.variable, a.stratum AS sa, b.stratum AS sb,
          SUM(CASE WHEN a.p + b.p > 0 THEN (a.p - b.p) * (a.p - b.p) / ((a.p + b.p) / 2.0) ELSE 0.0 END) AS cc
-  FROM shares a JOIN shares b ON a.variable = b.variable AND a.level = b.level AND a.stratum < b.stratum
+  FROM shares_k a JOIN shares_k b ON a.variable = b.variable AND a.level = b.level AND a.stratum < b.stratum
   GROUP BY a.variable, a.stratum, b.stratum
-)
-SELECT variable, round(AVG(CASE WHEN cc < 4.0 THEN sqrt(cc / (1.0 - cc / 4.0)) END), 6) AS smd,
-       CAST(COUNT(*) AS BIGINT) AS n_pairs
-FROM per_pair GROUP BY variable""")
+),
+smd_k AS (
+  SELECT variable, AVG(CASE WHEN cc < 4.0 THEN sqrt(cc / (1.0 - cc / 4.0)) END) AS smd,
+         CAST(COUNT(*) AS BIGINT) AS n_pairs
+  FROM per_pair_k GROUP BY variable
+)"""
+
+
+@query("smd_categorical", sql=_cat_sql() + ",\n" + _SMD_K + """
+SELECT variable, round(smd, 6) AS smd, n_pairs FROM smd_k""")
 def smd_categorical(spark, sf):
     t = tableone.categorical(_t1_cat(spark, sf), "intervention", CATEGORICAL)
     return tableone.smd_categorical(t).select("variable", r6("smd"), "n_pairs")
 
 
+REPORT_LABEL = "Source=all years_followup_ge1"
+
+
+def _report_sql() -> str:
+    strata_cols = ", ".join(f"MAX(CASE WHEN stratum = '{v}' THEN cell END) AS {_qid(v)}" for v in _LEVELS)
+    sel = ", ".join(f"w.{_qid(v)}" for v in _LEVELS)
+    return (_strat_sql() + ",\n" + _cont_ctes() + ",\n" + _cat_ctes() + ",\n" + _SMD_C + ",\n" + _SMD_K + f""",
+long_ AS (
+  SELECT 'n' AS row_, '' AS variable, stratum, CAST(n_stratum AS VARCHAR) AS cell FROM sizes
+  UNION ALL
+  SELECT variable || ' (mean (SD))', variable, stratum,
+         coalesce(printf('%.2f', round(mean, 2)), 'NA') || ' (' || coalesce(printf('%.2f', round(sd, 2)), 'NA') || ')'
+  FROM cont
+  UNION ALL
+  SELECT variable || ' (%) = ' || level, variable, stratum,
+         printf('%d', n) || ' (' || printf('%.1f', round(pct, 1)) || ')'
+  FROM cat
+),
+smd_all AS (SELECT variable, smd FROM smd_c UNION ALL SELECT variable, smd FROM smd_k),
+wide AS (SELECT row_, variable, {strata_cols} FROM long_ GROUP BY row_, variable)
+SELECT w.row_ AS "{REPORT_LABEL}", {sel},
+       CASE WHEN s.smd IS NULL THEN NULL ELSE printf('%.3f', round(s.smd, 3)) END AS SMD
+FROM wide w LEFT JOIN smd_all s ON w.variable = s.variable""")
+
+
+@query("table_one_report", sql=_report_sql())
+def table_one_report(spark, sf):
+    """Table One as exported: one row per statistic (n, mean (SD), n (%) per
+    level), one column per stratum, SMD; written as TSV with the row label
+    moved first under a chosen header (K1, K2) and read back."""
+    d = cohort(spark, sf).filter(F.col("years_followup_ge1") == 1)
+    d = d.withColumn("index_year", F.concat(F.lit("y"), F.col("index_year").cast("string")))
+    wide = tableone.report(d, "intervention", CONTINUOUS, CATEGORICAL)
+    path = files.with_scheme(scratch_path(spark, "table-one"))
+    files.write_tsv(wide.drop("variable"), path, first_column="row", label=REPORT_LABEL)
+    cols = [c for c in wide.columns if c not in ("row", "variable")]
+    schema = ", ".join([f"`{REPORT_LABEL}` STRING"] + [f"`{c}` STRING" for c in cols])
+    return files.read_delimited(spark, path, schema).drop("source_file")
+
+
 # ------------------------------------------------------------ splits
 @query("hash_split", sql=CO + f"""
 SELECT patient_id, CASE WHEN {in_train_sql(str(SPLIT_SEED), 'patient_id', TRAIN_PCT)} THEN 'Train' ELSE 'Test' END AS "set"
