@@ -580,6 +580,52 @@ def multiclass_auprc(spark, sf):
     return metrics.auprc(long).select("grp", "target", r6("auprc"))
 
 
+_AUC_CTES = """
+, c2 AS (
+  SELECT *, coalesce(SUM(neg) OVER (PARTITION BY grp, target ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below,
+         SUM(pos) OVER (PARTITION BY grp, target) AS P, SUM(neg) OVER (PARTITION BY grp, target) AS N
+  FROM cnt
+),
+per_roc AS (SELECT grp, target, SUM(pos * (neg_below + neg / 2.0)) / (CAST(MIN(P) AS DOUBLE) * CAST(MIN(N) AS DOUBLE)) AS auc
+            FROM c2 GROUP BY grp, target),
+roc AS (SELECT grp, target, auc FROM per_roc UNION ALL
+        SELECT grp, 'macro', AVG(auc) FROM per_roc WHERE target <> 'micro' GROUP BY grp),
+d2 AS (
+  SELECT *, SUM(pos) OVER w AS tp, SUM(neg) OVER w AS fp, SUM(pos) OVER (PARTITION BY grp, target) AS P
+  FROM cnt WINDOW w AS (PARTITION BY grp, target ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+),
+d3 AS (SELECT *, tp / P AS recall, tp / (tp + fp) AS prec FROM d2),
+d4 AS (
+  SELECT *, coalesce(lag(recall) OVER (PARTITION BY grp, target ORDER BY score DESC), 0.0) AS r_prev,
+         coalesce(lag(prec) OVER (PARTITION BY grp, target ORDER BY score DESC), prec) AS p_prev
+  FROM d3
+),
+per_pr AS (SELECT grp, target, SUM((recall - r_prev) * (prec + p_prev) / 2.0) AS auprc FROM d4 GROUP BY grp, target),
+pr AS (SELECT grp, target, auprc FROM per_pr UNION ALL
+       SELECT grp, 'macro', AVG(auprc) FROM per_pr WHERE target <> 'micro' GROUP BY grp)"""
+
+
+@query("auc_table", sql=_scores_sql() + _AUC_CTES + """
+SELECT r.target AS Target,
+       round(MAX(CASE WHEN r.grp = 'Train' THEN r.auc END), 6) AS AUROC_Train,
+       round(MAX(CASE WHEN r.grp = 'Test' THEN r.auc END), 6) AS AUROC_Valid,
+       round(MAX(CASE WHEN p.grp = 'Train' THEN p.auprc END), 6) AS AUPRC_Train,
+       round(MAX(CASE WHEN p.grp = 'Test' THEN p.auprc END), 6) AS AUPRC_Valid
+FROM roc r JOIN pr p ON r.grp = p.grp AND r.target = p.target
+GROUP BY r.target""")
+def auc_table(spark, sf):
+    """The model-evaluation table: one row per target (classes, micro,
+    macro), ROC and PR AUC on the training and validation rows."""
+    long = metrics.stack_classes(_scores_wide(spark, sf), "patient_id", "set", _LEVELS)
+    both = metrics.auroc(long).join(metrics.auprc(long), ["grp", "target"])
+    wide = both.groupBy(F.col("target").alias("Target")).agg(
+        F.max(F.when(F.col("grp") == "Train", F.col("auc"))).alias("AUROC_Train"),
+        F.max(F.when(F.col("grp") == "Test", F.col("auc"))).alias("AUROC_Valid"),
+        F.max(F.when(F.col("grp") == "Train", F.col("auprc"))).alias("AUPRC_Train"),
+        F.max(F.when(F.col("grp") == "Test", F.col("auprc"))).alias("AUPRC_Valid"))
+    return wide.select("Target", *[r6(c) for c in ("AUROC_Train", "AUROC_Valid", "AUPRC_Train", "AUPRC_Valid")])
+
+
 @query("unpivot_scores", sql=_scores_sql() + """
 SELECT id AS patient_id, grp AS "set", target AS class, truth, score FROM long""")
 def unpivot_scores(spark, sf):
