@@ -6,7 +6,7 @@ a sum of binomial terms exp(ln C(n,k) + k ln p + (n-k) ln(1-p)) evaluated by
 higher-order functions, so the whole interval stays inside the JVM.
 
 Terms further than ``WINDOW_SD`` standard deviations (plus 10) from n*p are
-below ~1e-30 and are skipped, which keeps one evaluation at O(sqrt(n))
+below ~1e-17 and are skipped, which keeps one evaluation at O(sqrt(n))
 instead of O(n); only the comparison of the tail with alpha/2 matters to the
 bisection, and it is unaffected. For n = 1e8 one interval costs ~1e7 term
 evaluations, once per aggregated row.
@@ -23,7 +23,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STEPS = 45
-WINDOW_SD = 12.0
+WINDOW_SD = 9.0
 _SMALL = 17
 _LOG_FACT_SMALL = [math.lgamma(k + 1) for k in range(_SMALL)]
 _HALF_LN_2PI = 0.5 * math.log(2 * math.pi)
