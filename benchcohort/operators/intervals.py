@@ -40,7 +40,7 @@ def _replicate_quantiles(reps: DataFrame, keys: Sequence[str], stat: str) -> Dat
 
 
 def multinomial_replicates(units: DataFrame, keys: Sequence[str], order_key: str, value: str,
-                           R: int, seed: int) -> tuple[DataFrame, DataFrame]:
+                           R: int, seed: int, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Replicate means by exact resampling (B1).
 
     Units are numbered 0..n-1 inside their group by ``order_key``; replicate
@@ -52,7 +52,8 @@ def multinomial_replicates(units: DataFrame, keys: Sequence[str], order_key: str
     """
     w = Window.partitionBy(*keys).orderBy(order_key)
     indexed = cut_lineage(units.select(*keys, value, (F.row_number().over(w) - 1).alias("_idx")))
-    sizes = indexed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if sizes is None:
+        sizes = group_sizes(indexed, keys)
     per_rep = (sizes.select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(R - 1))).alias("r"))
                     .withColumn("_base", h(seed, F.col("r")))
                     .repartition(*keys, "r"))
@@ -63,7 +64,7 @@ def multinomial_replicates(units: DataFrame, keys: Sequence[str], order_key: str
     # to the planner and may be broadcast. The unit side is the one to build
     # from: broadcast it when its counted size is small (the draws then never
     # shuffle), otherwise shuffle both sides by (group, index) and hash it.
-    small = indexed.count() <= BROADCAST_MAX_UNITS
+    small = (sizes.agg(F.sum("_n")).first()[0] or 0) <= BROADCAST_MAX_UNITS
     side = F.broadcast(indexed) if small else indexed.hint("shuffle_hash")
     joined = draws.join(side, list(keys) + ["_idx"])
     return joined.groupBy(*keys, "r").agg(F.avg(value).alias("rep_mean")), indexed
@@ -103,14 +104,16 @@ def _replicates(units: DataFrame, keys: Sequence[str], order_key: str, value: st
 
     Returns the replicate means and a materialised copy of the units, so the
     point estimate reads the same checkpoint instead of recomputing them."""
+    sizes = None
     if method == "auto":
-        method = "poisson" if needs_poisson(units, keys, R) else "multinomial"
+        sizes = group_sizes(units, keys)
+        method = "poisson" if needs_poisson(sizes, keys, R) else "multinomial"
     if method == "poisson":
         base = cut_lineage(units.select(*keys, order_key, value))
         reps = poisson_replicates(base.filter(F.col(value).isNotNull()), keys, [F.col(order_key)], F.col(value),
                                   R, seed)
         return reps, base
-    return multinomial_replicates(units, keys, order_key, value, R, seed)
+    return multinomial_replicates(units, keys, order_key, value, R, seed, sizes)
 
 
 def poisson_bootstrap(units: DataFrame, keys: Sequence[str], unit_key: Sequence[Column], value: Column,
@@ -167,8 +170,16 @@ def bootstrap_mean_ci(units: DataFrame, keys: Sequence[str], order_key: str, val
                          F.lit(R).alias("R"), F.lit(seed).alias("seed")))
 
 
-def needs_poisson(units: DataFrame, keys: Sequence[str], R: int,
+def group_sizes(units: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per group, materialised once (one row per group) and reused for
+    the size guard, the draw generation and the broadcast decision."""
+    return cut_lineage(units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+
+
+def needs_poisson(units_or_sizes: DataFrame, keys: Sequence[str], R: int,
                   max_draws: int = MULTINOMIAL_MAX_DRAWS) -> bool:
-    """True when the largest group makes exact resampling too big (n*R)."""
-    biggest = units.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    """True when the largest group makes exact resampling too big (n*R).
+    Accepts the units or their :func:`group_sizes`."""
+    sizes = units_or_sizes if "_n" in units_or_sizes.columns else group_sizes(units_or_sizes, keys)
+    biggest = sizes.agg(F.max("_n")).first()[0] or 0
     return biggest * R > max_draws
