@@ -163,8 +163,8 @@ def multi_source_union(spark, sf):
     for name, df, schema in specs:
         path = f"{root}/{name}"
         df.write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
-        back = (spark.read.schema(schema).option("header", True).csv(path)
-                .withColumn("src", files.source_label(F.col("_metadata.file_path"))))
+        back = (files.read_delimited(spark, path, schema, sep=",", rebalance=True)
+                .withColumn("src", files.source_label(F.col("source_file"))).drop("source_file"))
         frames.append(back.filter(F.col("acctbal") >= MIN_BALANCE))
     out = files.union_sources(frames)
     return out.select("src", "key", "name", "nationkey", "acctbal", "mktsegment")

@@ -101,11 +101,20 @@ def write_stat_files(spark: SparkSession, records: DataFrame, root: str, bench:
 
 # ---------------------------------------------------------------- S4 / S6 / S7
 def read_delimited(spark: SparkSession, paths: str | Sequence[str], schema: str, sep: str = "\t",
-                   header: bool = True, null_value: str = "") -> DataFrame:
-    """Delimited text with header and an explicit schema; source file kept."""
-    return (spark.read.schema(schema).option("sep", sep).option("header", header)
-            .option("nullValue", null_value).csv(paths if isinstance(paths, str) else list(paths))
-            .withColumn("source_file", F.col("_metadata.file_path")))
+                   header: bool = True, null_value: str = "", rebalance: bool = False) -> DataFrame:
+    """Delimited text with header and an explicit schema; source file kept.
+
+    Gzip files are not splittable (one task per file). With ``rebalance``
+    the rows are spread over the cluster's parallelism when the input has
+    fewer files than that (decided from the file listing, not a job)."""
+    df = (spark.read.schema(schema).option("sep", sep).option("header", header)
+          .option("nullValue", null_value).csv(paths if isinstance(paths, str) else list(paths))
+          .withColumn("source_file", F.col("_metadata.file_path")))
+    if rebalance:
+        target = spark.sparkContext.defaultParallelism
+        if len(df.inputFiles()) < target:
+            df = df.repartition(target)
+    return df
 
 
 def source_label(path: Column) -> Column:
