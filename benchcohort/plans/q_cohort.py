@@ -34,8 +34,9 @@ CATEGORICAL = ["outcome_ip.visit.or.regimen.change.12mo", "outcome_ip.visit.any.
 HORIZONS = ("03mo", "06mo", "12mo")
 
 
-def cohort(spark: SparkSession, sf: str) -> DataFrame:
-    return co.clean_cohort(cohort_raw(spark, sf))
+def cohort(spark: SparkSession, sf: str, columns: list[str] | None = None) -> DataFrame:
+    """The cleaned cohort, checkpointed; ``columns`` limits what is kept."""
+    return co.clean_cohort(cohort_raw(spark, sf), keep=columns)
 
 
 # ------------------------------------------------------------ SQL twin of the clean cohort
@@ -114,12 +115,12 @@ def normalise_category(spark, sf):
 
 @query("pad_code", sql=CO + "\nSELECT patient_id, zip FROM cohort")
 def pad_code(spark, sf):
-    return cohort(spark, sf).select("patient_id", "zip")
+    return cohort(spark, sf, ["patient_id", "zip"]).select("patient_id", "zip")
 
 
 @query("date_offset", sql=CO + "\nSELECT patient_id, dob, index_date FROM cohort")
 def date_offset(spark, sf):
-    return cohort(spark, sf).select("patient_id", "dob", "index_date")
+    return cohort(spark, sf, ["patient_id", "dob", "index_date"]).select("patient_id", "dob", "index_date")
 
 
 _COMPOSITE = ", ".join(_qid(f"outcome_ip.visit.or.regimen.change.{hz}") for hz in HORIZONS)
@@ -128,7 +129,9 @@ _COMPOSITE = ", ".join(_qid(f"outcome_ip.visit.or.regimen.change.{hz}") for hz i
 @query("composite_outcome", sql=CO + f"""
 SELECT patient_id, years_followup, years_followup_ge1, {_COMPOSITE} FROM cohort WHERE years_followup_ge1 = 1""")
 def composite_outcome(spark, sf):
-    d = cohort(spark, sf).filter(F.col("years_followup_ge1") == 1)
+    keep = ["patient_id", "years_followup", "years_followup_ge1"] + [f"outcome_ip.visit.or.regimen.change.{hz}"
+                                                                    for hz in HORIZONS]
+    d = cohort(spark, sf, keep).filter(F.col("years_followup_ge1") == 1)
     return d.select("patient_id", "years_followup", "years_followup_ge1",
                     *[q(f"outcome_ip.visit.or.regimen.change.{hz}") for hz in HORIZONS])
 
@@ -141,7 +144,8 @@ _COMPLETE_SQL = " AND ".join(f"{_qid(t)} IS NOT NULL" for t in _TGT + ["interven
 
 
 def _one_hot(spark, sf):
-    d = cohort(spark, sf).select("patient_id", "intervention", *[q(t) for t in _TGT])
+    d = cohort(spark, sf, ["patient_id", "intervention", *_TGT]).select("patient_id", "intervention",
+                                                                        *[q(t) for t in _TGT])
     d = d.filter(" AND ".join(f"`{t}` IS NOT NULL" for t in _TGT))
     return co.one_hot(d, "intervention")
 
@@ -171,7 +175,7 @@ def marginal_means(spark, sf):
 @query("category_codes", sql=CO + """
 SELECT patient_id, intervention, CAST(dense_rank() OVER (ORDER BY intervention) - 1 AS INTEGER) AS code FROM cohort""")
 def category_codes(spark, sf):
-    return co.category_codes(cohort(spark, sf).select("patient_id", "intervention"), "intervention", "code")
+    return co.category_codes(cohort(spark, sf, ["patient_id", "intervention"]), "intervention", "code")
 
 
 _PROFILE_COLS = ["src", "intervention", "index_year", "ethnicity", "age", "baseline_totalprice", "cci_acctbal",
@@ -195,7 +199,7 @@ def _profile_sql() -> str:
 
 @query("column_profile", sql=_profile_sql())
 def column_profile(spark, sf):
-    p = co.column_profile(cohort(spark, sf), _PROFILE_COLS)
+    p = co.column_profile(cohort(spark, sf, _PROFILE_COLS), _PROFILE_COLS)
     return p.select("column", "n_rows", "n_missing", "n_distinct", "missing_share",
                     F.col("is_categorical").cast("int").alias("is_categorical"),
                     F.col("complete").cast("int").alias("complete"))
@@ -203,7 +207,7 @@ def column_profile(spark, sf):
 
 @query("complete_columns", sql=f"SELECT \"column\", complete FROM ({_profile_sql()}) WHERE complete = 1")
 def complete_columns(spark, sf):
-    d = cohort(spark, sf)
+    d = cohort(spark, sf, _PROFILE_COLS)
     keep = co.complete_columns(d, _PROFILE_COLS)
     return spark.createDataFrame([(n, 1) for n in keep], "column string, complete int") if keep else \
         spark.createDataFrame([], "column string, complete int")
@@ -212,7 +216,7 @@ def complete_columns(spark, sf):
 @query("frequency_table", sql=CO + """
 SELECT intervention, CAST(COUNT(*) AS BIGINT) AS Freq FROM cohort GROUP BY intervention""")
 def frequency_table(spark, sf):
-    return co.frequency_table(cohort(spark, sf), "intervention")
+    return co.frequency_table(cohort(spark, sf, ["intervention"]), "intervention")
 
 
 @query("contingency_share", sql=CO + """
@@ -220,7 +224,8 @@ def frequency_table(spark, sf):
           FROM cohort GROUP BY 1, 2)
 SELECT "row", "col", n, n / SUM(n) OVER (PARTITION BY "row") AS share FROM cnt""")
 def contingency_share(spark, sf):
-    return co.contingency_share(cohort(spark, sf), "intervention", "baseline_prior.med.groups")
+    return co.contingency_share(cohort(spark, sf, ["intervention", "baseline_prior.med.groups"]), "intervention",
+                                "baseline_prior.med.groups")
 
 
 @query("quantiles", sql="\nUNION ALL\n".join(
@@ -238,8 +243,11 @@ def _strat_sql(where: str = "WHERE years_followup_ge1 = 1") -> str:
     return CO + f",\nt1 AS (SELECT * FROM cohort {where})"
 
 
+_T1_COLUMNS = ["intervention", "years_followup_ge1", *CONTINUOUS, *CATEGORICAL]
+
+
 def _t1(spark, sf):
-    return cohort(spark, sf).filter(F.col("years_followup_ge1") == 1)
+    return cohort(spark, sf, _T1_COLUMNS).filter(F.col("years_followup_ge1") == 1)
 
 
 def _cont_ctes() -> str:
@@ -370,7 +378,7 @@ def table_one_report(spark, sf):
     """Table One as exported: one row per statistic (n, mean (SD), n (%) per
     level), one column per stratum, SMD; written as TSV with the row label
     moved first under a chosen header (K1, K2) and read back."""
-    d = cohort(spark, sf).filter(F.col("years_followup_ge1") == 1)
+    d = cohort(spark, sf, _T1_COLUMNS).filter(F.col("years_followup_ge1") == 1)
     d = d.withColumn("index_year", F.concat(F.lit("y"), F.col("index_year").cast("string")))
     wide = tableone.report(d, "intervention", CONTINUOUS, CATEGORICAL)
     path = files.with_scheme(scratch_path(spark, "table-one"))
@@ -385,7 +393,7 @@ def table_one_report(spark, sf):
 SELECT patient_id, CASE WHEN {in_train_sql(str(SPLIT_SEED), 'patient_id', TRAIN_PCT)} THEN 'Train' ELSE 'Test' END AS "set"
 FROM cohort""")
 def hash_split(spark, sf):
-    return split.hash_split(cohort(spark, sf).select("patient_id"), "patient_id", SPLIT_SEED, TRAIN_PCT)
+    return split.hash_split(cohort(spark, sf, ["patient_id"]), "patient_id", SPLIT_SEED, TRAIN_PCT)
 
 
 def _search_vars() -> dict[str, float]:
@@ -453,12 +461,12 @@ e AS (
 SELECT term, round(est, 6) AS estimate, round(se, 6) AS std_error, round(est / se, 6) AS t_value, n_obs,
        round(r_squared, 6) AS r_squared FROM e""")
 def ols_factor(spark, sf):
-    out = effects.ols_factor(cohort(spark, sf), "baseline_qty", "intervention")
+    out = effects.ols_factor(cohort(spark, sf, ["intervention", "baseline_qty"]), "baseline_qty", "intervention")
     return out.select("term", r6("estimate"), r6("std_error"), r6("t_value"), "n_obs", r6("r_squared"))
 
 
 def _aipw_input(spark, sf):
-    d = cohort(spark, sf)
+    d = cohort(spark, sf, [*STRATA, "intervention", AIPW_TARGET])
     return d.withColumn("y_flip", F.lit(1) - q(AIPW_TARGET))
 
 
@@ -503,12 +511,12 @@ SELECT arm, CAST(least(floor(e * 20.0), 19) AS INTEGER) AS bin, CAST(SUM(n_x) AS
        MIN(e) AS e_min, MAX(e) AS e_max
 FROM c3 GROUP BY arm, bin""")
 def propensity_histogram(spark, sf):
-    return effects.propensity_histogram(cohort(spark, sf), "intervention", STRATA)
+    return effects.propensity_histogram(cohort(spark, sf, [*STRATA, "intervention"]), "intervention", STRATA)
 
 
 # ------------------------------------------------------------ multi-class metrics
 def _scores_wide(spark, sf):
-    d = cohort(spark, sf).select("patient_id", "intervention").filter(F.col("intervention").isNotNull())
+    d = cohort(spark, sf, ["patient_id", "intervention"]).filter(F.col("intervention").isNotNull())
     d = split.hash_split(d, "patient_id", SPLIT_SEED, TRAIN_PCT)
     cols = []
     for k in _LEVELS:
