@@ -1,10 +1,12 @@
 """Deterministic pseudo-random draws as Column expressions.
 
 ``h(seed, k1, k2, ...)`` is the first 32 bits of ``md5(seed:k1:k2...)`` read
-as an unsigned integer. It depends only on its arguments, never on how the
-data is partitioned, so resampling and splits are reproducible on any
-cluster shape and have an exact SQL oracle. ``xxhash64`` is offered as the
-faster production hash (no portable SQL twin).
+as an unsigned integer; it is computed once per unit (or per replicate).
+Every further draw is ``stream(base, i)``: a Weyl step followed by a 32-bit
+integer finaliser — plain BIGINT arithmetic that stays in whole-stage
+codegen. Draws depend only on their arguments, never on how the data is
+partitioned, so resampling and splits are reproducible on any cluster shape,
+survive task retries, and have an exact SQL twin (``*_sql`` functions).
 """
 
 from __future__ import annotations
