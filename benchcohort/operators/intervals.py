@@ -40,7 +40,8 @@ def _replicate_quantiles(reps: DataFrame, keys: Sequence[str], stat: str) -> Dat
 
 
 def multinomial_replicates(units: DataFrame, keys: Sequence[str], order_key: str, value: str,
-                           R: int, seed: int, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                           R: int, seed: int, sizes: DataFrame | None = None,
+                           total_units: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Replicate means by exact resampling (B1).
 
     Units are numbered 0..n-1 inside their group by ``order_key``; replicate
@@ -64,7 +65,9 @@ def multinomial_replicates(units: DataFrame, keys: Sequence[str], order_key: str
     # to the planner and may be broadcast. The unit side is the one to build
     # from: broadcast it when its counted size is small (the draws then never
     # shuffle), otherwise shuffle both sides by (group, index) and hash it.
-    small = (sizes.agg(F.sum("_n")).first()[0] or 0) <= BROADCAST_MAX_UNITS
+    if total_units is None:
+        total_units = sizes.agg(F.sum("_n")).first()[0] or 0
+    small = total_units <= BROADCAST_MAX_UNITS
     side = F.broadcast(indexed) if small else indexed.hint("shuffle_hash")
     joined = draws.join(side, list(keys) + ["_idx"])
     return joined.groupBy(*keys, "r").agg(F.avg(value).alias("rep_mean")), indexed
@@ -104,16 +107,17 @@ def _replicates(units: DataFrame, keys: Sequence[str], order_key: str, value: st
 
     Returns the replicate means and a materialised copy of the units, so the
     point estimate reads the same checkpoint instead of recomputing them."""
-    sizes = None
+    sizes, total = None, None
     if method == "auto":
         sizes = group_sizes(units, keys)
-        method = "poisson" if needs_poisson(sizes, keys, R) else "multinomial"
+        biggest, total = sizes.agg(F.max("_n"), F.sum("_n")).first()  # one small job for both decisions
+        method = "poisson" if (biggest or 0) * R > MULTINOMIAL_MAX_DRAWS else "multinomial"
     if method == "poisson":
         base = cut_lineage(units.select(*keys, order_key, value))
         reps = poisson_replicates(base.filter(F.col(value).isNotNull()), keys, [F.col(order_key)], F.col(value),
                                   R, seed)
         return reps, base
-    return multinomial_replicates(units, keys, order_key, value, R, seed, sizes)
+    return multinomial_replicates(units, keys, order_key, value, R, seed, sizes, total or None)
 
 
 def poisson_bootstrap(units: DataFrame, keys: Sequence[str], unit_key: Sequence[Column], value: Column,
