@@ -34,3 +34,14 @@ def test_full_scorecard_properties(spark):
         if metas:
             top_meta = max(r.Center for r in metas)
             assert all(r.BestMeta == int(r.Meta == 1 and abs(r.Center - top_meta) < 1e-9) for r in rs), bench
+
+
+def test_aipw_ml_agrees_with_stratified_and_is_not_degenerate(spark):
+    qs = entry.queries()
+    sf = "/root/testdata/sf0.01"
+    ml = {r.arm: r for r in qs["aipw_ml"](spark, sf).collect()}
+    st = {r.arm: r for r in qs["aipw_stratified"](spark, sf).collect()}
+    assert set(ml) == set(st) and ml
+    for arm, r in ml.items():
+        assert r.std_err > 1e-4, arm  # a near-zero SE would mean the outcome leaked into the features
+        assert abs(r.estimate - st[arm].estimate) < 4 * max(r.std_err, st[arm].std_err), arm
