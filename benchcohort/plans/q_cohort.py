@@ -136,6 +136,27 @@ def composite_outcome(spark, sf):
                     *[q(f"outcome_ip.visit.or.regimen.change.{hz}") for hz in HORIZONS])
 
 
+# Years kept by the extract's row filter (S6, F1): the study window.
+STUDY_YEARS = [1996, 1997, 1998, 1999, 2000]
+
+
+@query("cohort_years", sql=CO + f"""
+SELECT index_year, intervention, CAST(COUNT(*) AS BIGINT) AS n_patients,
+       CAST(COUNT(baseline_qty) AS BIGINT) AS n_qty
+FROM cohort WHERE index_year IN ({", ".join(map(str, STUDY_YEARS))})
+GROUP BY index_year, intervention""")
+def cohort_years(spark, sf):
+    """The cleaned cohort landed as Parquet partitioned by index year, then
+    read back with the study-year filter: the filter becomes a partition
+    filter, so years outside the window are never read."""
+    path = files.with_scheme(scratch_path(spark, "cohort-by-year"))
+    files.write_partitioned(cohort(spark, sf, ["patient_id", "index_year", "intervention", "baseline_qty"]),
+                            path, "index_year")
+    landed = spark.read.parquet(path).filter(F.col("index_year").isin(STUDY_YEARS))
+    return (landed.groupBy(F.col("index_year").cast("int").alias("index_year"), "intervention")
+                  .agg(F.count(F.lit(1)).alias("n_patients"), F.count("baseline_qty").alias("n_qty")))
+
+
 # ------------------------------------------------------------ matrices and codes
 _LEVELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 _TGT = list(FOCUS_TARGETS)

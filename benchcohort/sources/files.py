@@ -138,6 +138,12 @@ def union_sources(frames: Iterable[DataFrame]) -> DataFrame:
     return out
 
 
+def write_partitioned(df: DataFrame, path: str, by: str) -> None:
+    """Land a table as Parquet partitioned by ``by`` (e.g. the cohort by
+    index year) so later filters on it prune whole directories."""
+    df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
+
+
 # ---------------------------------------------------------------- S5
 def newest_snapshot(spark: SparkSession, folder: str, prefix: str) -> tuple[str, DataFrame]:
     """Newest extract by file name (names carry sortable dates): a listing,
