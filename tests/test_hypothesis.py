@@ -49,3 +49,25 @@ def test_exact_quantiles_match_numpy(spark, values, p):
     df = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double")
     got = stats.exact_quantiles(df, "g", "v", [p], partitions=5).first().q
     assert got == pytest.approx(float(np.quantile(np.array(values), p)), rel=1e-12, abs=1e-9)
+
+
+def _smd_matrix(p, q):
+    """Yang & Dalton: sqrt((p-q)' S^-1 (p-q)) over the first k-1 levels,
+    S = (S_p + S_q) / 2 with S_x = diag(x) - x x'."""
+    p, q = np.asarray(p[:-1]), np.asarray(q[:-1])
+    s = (np.diag(p) - np.outer(p, p) + np.diag(q) - np.outer(q, q)) / 2
+    d = p - q
+    return float(np.sqrt(d @ np.linalg.solve(s, d)))
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(1, 60), st.integers(1, 60)), min_size=2, max_size=6))
+def test_categorical_smd_matches_matrix_form(spark, counts):
+    from benchcohort.operators import tableone
+    rows = [("A", f"l{i}") for i, (a, _) in enumerate(counts) for _ in range(a)]
+    rows += [("B", f"l{i}") for i, (_, b) in enumerate(counts) for _ in range(b)]
+    df = spark.createDataFrame(rows, "s string, v string")
+    got = tableone.smd_categorical(tableone.categorical(df, "s", ["v"])).first().smd
+    na, nb = sum(a for a, _ in counts), sum(b for _, b in counts)
+    expected = _smd_matrix([a / na for a, _ in counts], [b / nb for _, b in counts])
+    assert got == pytest.approx(expected, rel=1e-9, abs=1e-12)
