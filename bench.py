@@ -5,7 +5,8 @@ Runs the catalogue's headline queries at $BENCH_SF_DIR (default
 {"metric": ..., "value": total_seconds, "unit": "sec", "queries": {...}, "sf": ...}
 
 Each query is executed to completion through the no-op sink (every row is
-produced, nothing is collected to the driver). A small warm-up run at the
+produced, nothing is collected to the driver). Set BENCH_EVENT_LOG to a
+scratch folder to record Spark's event log for tools/stage_times.py. A small warm-up run at the
 smallest scale factor precedes the timings so JIT compilation is not billed
 to the first query.
 """
@@ -45,8 +46,14 @@ def main() -> None:
 
     # sf0.1 is ~100 MB of input: one shuffle partition per core (~12 MB
     # each) avoids scheduling overhead; AQE coalesces further.
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus,
-                          extra={"spark.driver.memory": "16g"})
+    extra = {"spark.driver.memory": "16g",
+             # small inputs: keep AQE from folding CPU-heavy stages into a single task
+             "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB"}
+    event_dir = os.environ.get("BENCH_EVENT_LOG")  # optional: stage/task times for tools/stage_times.py
+    if event_dir:
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir,
+                      "spark.eventLog.compress": "false"})
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus, extra=extra)
     warm = "/root/testdata/sf0.001"
     if os.path.isdir(warm):
         for name in ("binomial_ci", "table_one_continuous"):

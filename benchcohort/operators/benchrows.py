@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binomial import exact_binomial_ci
+from ..session import spread
 from ..sources.files import bench_from_dir, model_from_dir, run_dir
 from .scorecard import clean_model
 from .stats import best_stat
@@ -29,7 +30,7 @@ RESCALE_HALF_WIDTH = 0.025
 
 def medhelm_score_rows(records: DataFrame, n: int = MEDHELM_N) -> DataFrame:
     """records: stat records with ``file_path`` (from read_stat_files)."""
-    best = best_stat(records, ["file_path"])
+    best = spread(best_stat(records, ["file_path"]))
     d = run_dir(F.col("file_path"))
     b = bench_from_dir(d)
     is_bin = b.isin(*BINOMIAL_BENCHES)
@@ -68,7 +69,7 @@ def badge_score_rows(tbl: DataFrame, parity: bool = False) -> DataFrame:
                  ).alias("Bench"),
         clean_model(F.col("provider"), "badges").alias("Model_Orig"),
         n_report.cast("bigint").alias("n"), center.alias("Center"), n_ci.cast("bigint").alias("_n_ci"))
-    t = t.withColumn("_x", F.bround(F.col("Center") * F.col("_n_ci"), 0).cast("bigint"))
+    t = spread(t.withColumn("_x", F.bround(F.col("Center") * F.col("_n_ci"), 0).cast("bigint")))
     ci = exact_binomial_ci(F.col("_x"), F.col("_n_ci"))
     return t.select("Bench", "Model_Orig", "n", "_x", "Center", ci["lcl"].alias("L95"), ci["ucl"].alias("U95"),
                     F.lit(None).cast("int").alias("limits_not_ci"))

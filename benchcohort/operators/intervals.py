@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h, poisson1_of, stream
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 PROBS = (0.5, 0.025, 0.975)
 MULTINOMIAL_MAX_DRAWS = 100_000_000
@@ -31,12 +31,20 @@ BROADCAST_MAX_UNITS = 500_000  # ~25 MB of (group, value, index) rows
 
 
 def _replicate_quantiles(reps: DataFrame, keys: Sequence[str], stat: str) -> DataFrame:
-    """Percentiles of R replicate statistics per group (R rows per group, so
-    the exact ``percentile`` buffer is bounded by R)."""
-    qs = F.percentile(F.col(stat), F.array(*[F.lit(p) for p in PROBS]))
-    return (reps.groupBy(*keys).agg(qs.alias("_q"), F.count(stat).alias("R_used"))
-                .select(*keys, F.col("_q")[0].alias("Median"), F.col("_q")[1].alias("L95"),
-                        F.col("_q")[2].alias("U95"), "R_used"))
+    """Type-7 percentiles of R replicate statistics per group: the R values
+    of a group (bounded by R) are sorted once and the quantiles are read by
+    position with linear interpolation."""
+    vals = F.sort_array(F.collect_list(F.col(stat)))
+
+    def q(p: float):
+        h = (F.size("_v") - 1) * F.lit(p)
+        lo, hi = F.floor(h).cast("int"), F.ceil(h).cast("int")
+        v_lo, v_hi = F.element_at("_v", lo + 1), F.element_at("_v", hi + 1)
+        return v_lo + (v_hi - v_lo) * (h - lo)
+
+    return (reps.groupBy(*keys).agg(vals.alias("_v"))
+                .select(*keys, q(PROBS[0]).alias("Median"), q(PROBS[1]).alias("L95"), q(PROBS[2]).alias("U95"),
+                        F.size("_v").cast("bigint").alias("R_used")))
 
 
 def multinomial_replicates(units: DataFrame, keys: Sequence[str], order_key: str, value: str,
@@ -121,12 +129,14 @@ def _replicates(units: DataFrame, keys: Sequence[str], order_key: str, value: st
 
 
 def poisson_bootstrap(units: DataFrame, keys: Sequence[str], unit_key: Sequence[Column], value: Column,
-                      R: int, seed: int, scale: int = 1, width: int = 8) -> DataFrame:
+                      R: int, seed: int, scale: int = 1, width: int = 8, rebalance: bool = False) -> DataFrame:
     """B2 in one pass over the units: point estimate (n, mean) and the
     replicate percentiles come from the same exploded aggregate (block 0
     also carries the plain count and sum)."""
     blocks = (R + width - 1) // width
     base = units.select(*keys, h(seed, *unit_key).alias("_h0"), value.cast("bigint").alias("_x"))
+    if rebalance:  # input with fewer splits than cores: spread the narrow rows before the R-fold work
+        base = spread(base)
     exploded = base.select(*keys, "_h0", "_x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
     first = F.col("_b") == 0
     aggs = [F.sum(F.when(first, 1).otherwise(0)).cast("bigint").alias("_n"),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binomial import exact_binomial_ci
+from ..session import spread
 from ..functions.rules import (CANONICAL_MODEL_RULES, IMPROVEMENT_PATTERN, MODEL_CLEAN_RULES,
                                apply_assign_rules, apply_replace_rules)
 
@@ -66,6 +67,7 @@ def binomial_scores(units: DataFrame, bench: str, model: str, score: str) -> Dat
     """
     agg = (units.groupBy(F.col(bench).alias("Bench"), F.col(model).alias("Model_Orig"))
            .agg(F.count(score).alias("n"), F.sum(score).cast("bigint").alias("x")))
+    agg = spread(agg)  # few rows, heavy interval evaluation: use every core
     ci = exact_binomial_ci(F.col("x"), F.col("n"))
     return (agg.withColumn("Center", F.col("x") / F.col("n"))
                .withColumn("_ci", ci)

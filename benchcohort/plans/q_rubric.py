@@ -8,6 +8,7 @@ from ..functions.hashing import h_sql, poisson1_of_sql, stream_sql
 from ..functions.rules import MODEL_CLEAN_RULES, replace_rules_sql
 from ..operators import intervals, rubric
 from ..operators.scorecard import clean_model, with_model_names
+from ..session import under_parallel
 from ..sources.tables import table
 from .inputs import CASES_SQL, RUBRIC_SQL, cases
 from .inputs import rubric as rubric_input
@@ -191,6 +192,7 @@ def bootstrap_poisson(spark, sf):
     key = [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"),
            F.round(F.col("l_extendedprice") * 100).cast("bigint")]
     cents = F.round(F.col("l_discount") * 100).cast("bigint")
-    out = intervals.poisson_bootstrap(li, ["l_returnflag"], key, cents, R_POISSON, SEED, scale=100)
+    out = intervals.poisson_bootstrap(li, ["l_returnflag"], key, cents, R_POISSON, SEED, scale=100,
+                                      rebalance=under_parallel(li))
     return out.select("l_returnflag", "n", "mean", r6("L95"), r6("Median"), r6("U95"),
                       F.col("R_used").cast("bigint").alias("R_used"))

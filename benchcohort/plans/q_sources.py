@@ -11,7 +11,7 @@ from ..functions.rules import MODEL_CLEAN_RULES, replace_rules_sql
 from ..operators import benchrows, stats
 from ..operators.rubric import cleaned
 from ..operators.scorecard import clean_model, with_model_names
-from ..session import scratch_path
+from ..session import scratch_path, spread
 from ..sources import files
 from ..sources.tables import table
 from .inputs import CASES_SQL, RUBRIC_SQL
@@ -292,7 +292,7 @@ def _rescaled(spark, sf):
     cents = F.round(F.col("l_discount") * 100).cast("bigint")
     agg = (li.groupBy(bench.alias("b"), model.alias("Model_Orig"))
              .agg((F.sum(cents) / F.count(F.lit(1)) / F.lit(10.0)).alias("score01")))
-    agg = agg.withColumn("Model_Orig", clean_model(F.col("Model_Orig"), "med_helm"))
+    agg = spread(agg.withColumn("Model_Orig", clean_model(F.col("Model_Orig"), "med_helm")))
     is_bin = F.col("b").isin(*_BINOMIAL_BENCHES)
     val = F.when(is_bin, F.col("score01")).otherwise(F.col("score01") * 5.0)
     center = F.when(is_bin, val).otherwise(val / 5.0)

@@ -81,3 +81,18 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def spread(df: DataFrame, parallelism: int | None = None) -> DataFrame:
+    """Spread a small table (a few aggregated rows) over all cores before
+    CPU-heavy per-row work such as exact intervals. Without it AQE coalesces
+    the tiny shuffle output into one task and the rows are evaluated one
+    after another. A repartition with an explicit count is not coalesced."""
+    return df.repartition(parallelism or df.sparkSession.sparkContext.defaultParallelism)
+
+
+def under_parallel(scan: DataFrame) -> bool:
+    """True when a plain table scan has fewer splits than the cluster has
+    cores (small files locally; never on large inputs). Only call on scans:
+    the split count comes from the file listing, no job runs."""
+    return scan.rdd.getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism
