@@ -31,6 +31,9 @@ DEFAULT_CONF = {
     # Let AQE size post-shuffle partitions and split skewed ones.
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    # Reliable checkpoints serialise rows with spark.serializer: Kryo is far
+    # cheaper than Java serialisation for the cohort-sized checkpoints.
+    "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
     # Checkpoint files are removed once their DataFrame is no longer referenced.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
