@@ -171,3 +171,18 @@ def test_column_profile_exact_and_approx_agree(spark):
         assert exact[k].n_distinct == approx[k].n_distinct
         assert exact[k].is_categorical == approx[k].is_categorical
     assert exact["b"].n_missing == 40 and exact["c"].is_categorical == 1 and exact["a"].is_categorical == 0
+
+
+def test_recode_paths_agree(spark):
+    """Literal map, broadcast join and shuffle join give the same recode."""
+    vals = ["INTERVENTION_ARIPIPRAZOLE.ORAL.ANTIPSYCHOTIC", "REF_CLOZAPINE", None, "INTERVENTION_TYPICAL",
+            "ABILIFY.MAINTENA"]
+    df = spark.createDataFrame([(i, vals[i % len(vals)]) for i in range(50)], "k int, v string")
+    lit = co.recode_via_distinct(df, "v", "r")
+    bcast = co.recode_via_distinct(df, "v", "r", max_literal_rows=0)
+    shuffle = co.recode_via_distinct(df, "v", "r", max_literal_rows=0, max_broadcast_rows=0)
+    a, b, s = (sorted((r.k, r.v, r.r) for r in x.collect()) for x in (lit, bcast, shuffle))
+    assert a == b == s
+    got = {v: r for _, v, r in a}
+    assert got["INTERVENTION_ARIPIPRAZOLE.ORAL.ANTIPSYCHOTIC"] == "Oral.Ari"
+    assert got["REF_CLOZAPINE"] == ".Clozapine" and got[None] is None
