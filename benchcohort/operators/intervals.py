@@ -136,7 +136,7 @@ def poisson_bootstrap(units: DataFrame, keys: Sequence[str], unit_key: Sequence[
     blocks = (R + width - 1) // width
     base = units.select(*keys, h(seed, *unit_key).alias("_h0"), value.cast("bigint").alias("_x"))
     if rebalance:  # input with fewer splits than cores: spread the narrow rows before the R-fold work
-        base = spread(base)
+        base = spread(base, cap=None)
     exploded = base.select(*keys, "_h0", "_x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
     first = F.col("_b") == 0
     aggs = [F.sum(F.when(first, 1).otherwise(0)).cast("bigint").alias("_n"),

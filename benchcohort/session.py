@@ -86,12 +86,17 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def spread(df: DataFrame, parallelism: int | None = None) -> DataFrame:
-    """Spread a small table (a few aggregated rows) over all cores before
+SMALL_TABLE_TASKS = 64  # enough tasks for a few hundred heavy rows, few enough to stay cheap
+
+
+def spread(df: DataFrame, parallelism: int | None = None, cap: int | None = SMALL_TABLE_TASKS) -> DataFrame:
+    """Spread a small table (a few aggregated rows) over the cores before
     CPU-heavy per-row work such as exact intervals. Without it AQE coalesces
     the tiny shuffle output into one task and the rows are evaluated one
-    after another. A repartition with an explicit count is not coalesced."""
-    return df.repartition(parallelism or df.sparkSession.sparkContext.defaultParallelism)
+    after another. A repartition with an explicit count is not coalesced.
+    ``cap`` keeps a large cluster from scheduling thousands of empty tasks."""
+    target = parallelism or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(min(target, cap) if cap else target)
 
 
 def under_parallel(scan: DataFrame) -> bool:
