@@ -38,13 +38,24 @@ def canonical_rows(cols, rows):
     return sorted(tuple(_norm(r[i]) for i in order) for r in rows)
 
 
-def compare(spark_df, con, sql: str) -> tuple[bool, str]:
+# Spark type names and their DuckDB counterparts.
+SPARK_TO_DUCKDB = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+                   "boolean": "BOOLEAN", "smallint": "SMALLINT", "float": "FLOAT", "tinyint": "TINYINT"}
+
+
+def compare(spark_df, con, sql: str, check_types: bool = True) -> tuple[bool, str]:
     scols = spark_df.columns
+    stypes = dict(spark_df.dtypes)
     srows = [tuple(r) for r in spark_df.collect()]
     rel = con.sql(sql)
     ocols, orows = rel.columns, rel.fetchall()
     if sorted(scols) != sorted(ocols):
         return False, f"columns differ: spark={sorted(scols)} sql={sorted(ocols)}"
+    if check_types:
+        otypes = {c: str(t) for c, t in zip(ocols, rel.types)}
+        bad = [(c, stypes[c], otypes[c]) for c in scols if SPARK_TO_DUCKDB.get(stypes[c], stypes[c]) != otypes[c]]
+        if bad:
+            return False, f"column types differ (spark, sql): {bad}"
     a, b = canonical_rows(scols, srows), canonical_rows(ocols, orows)
     if len(a) != len(b):
         return False, f"rows differ: spark={len(a)} sql={len(b)}"
