@@ -6,12 +6,14 @@ nodes: built-in expressions only."""
 import pytest
 
 import __spark_entry__ as entry
+from benchcohort.plans import ORACLES as CATALOGUE_SQL
+from benchcohort.plans import QUERIES as CATALOGUE
 from benchcohort.plans.check import compare, oracle_connection
 
 from .conftest import SF_SMALL
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = CATALOGUE
+ORACLES = CATALOGUE_SQL
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "PythonUDF", "FlatMapGroupsInPandas", "MapInPandas")
 ML = {"feature_matrix", "treatment_model", "feature_importance", "outcome_model", "cv_outcome_model", "aipw_ml"}
