@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .q_bpe import op2_bpe
 from .q_mixing import OP8_SQL, op8_mix_sources
+from .q_tokencount import op3_token_counts
 from .q_urlfilter import OP4_SQL, op4_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_token_counts": op3_token_counts,
     "op4_url_filter": op4_url_filter,
     "op8_mix_sources": op8_mix_sources,
 }
