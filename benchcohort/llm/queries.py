@@ -10,15 +10,19 @@ from .q_bpe import op2_bpe
 from .q_mixing import OP8_SQL, op8_mix_sources
 from .q_tokencount import op3_token_counts
 from .q_urlfilter import OP4_SQL, op4_url_filter
+from .q_vectors import OP10_SQL, op5_rotated_codes, op10_voronoi_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_token_counts": op3_token_counts,
     "op4_url_filter": op4_url_filter,
+    "op5_rotated_codes": op5_rotated_codes,
     "op8_mix_sources": op8_mix_sources,
+    "op10_voronoi_top_k": op10_voronoi_top_k,
 }
 
 ORACLES: dict[str, str] = {
     "op4_url_filter": OP4_SQL,
     "op8_mix_sources": OP8_SQL,
+    "op10_voronoi_top_k": OP10_SQL,
 }
