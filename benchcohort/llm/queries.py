@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .q_bpe import op2_bpe
+from .q_classify import op6_quality, op7_language
 from .q_mixing import OP8_SQL, op8_mix_sources
 from .q_tokencount import op3_token_counts
 from .q_urlfilter import OP4_SQL, op4_url_filter
@@ -17,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_url_filter": op4_url_filter,
     "op5_rotated_codes": op5_rotated_codes,
+    "op6_quality": op6_quality,
+    "op7_language": op7_language,
     "op8_mix_sources": op8_mix_sources,
     "op10_voronoi_top_k": op10_voronoi_top_k,
 }
