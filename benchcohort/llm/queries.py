@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .q_bpe import op2_bpe
 from .q_classify import op6_quality, op7_language
 from .q_mixing import OP8_SQL, op8_mix_sources
+from .q_substring import op1_substring_dedup
 from .q_tokencount import op3_token_counts
 from .q_urlfilter import OP4_SQL, op4_url_filter
 from .q_vectors import OP10_SQL, op5_rotated_codes, op10_voronoi_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe": op2_bpe,
     "op3_token_counts": op3_token_counts,
     "op4_url_filter": op4_url_filter,
