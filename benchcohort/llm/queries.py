@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .q_bpe import op2_bpe
 from .q_classify import op6_quality, op7_language
 from .q_mixing import OP8_SQL, op8_mix_sources
+from .q_neardup import op9_near_duplicates
 from .q_substring import op1_substring_dedup
 from .q_tokencount import op3_token_counts
 from .q_urlfilter import OP4_SQL, op4_url_filter
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_language": op7_language,
     "op8_mix_sources": op8_mix_sources,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_voronoi_top_k": op10_voronoi_top_k,
 }
 

@@ -84,18 +84,18 @@ def block_join(queries: DataFrame, data: DataFrame, solve: Callable[[pa.Table, p
 
     Both sides have ``cell`` and ``vkey``. A cell's rows are cut by hash into
     blocks of about the given numbers of rows, so a hot cell is work for many
-    tasks and none holds more than two blocks. Cells are as many as pivots: the
-    counts that are broadcast have that many rows, whatever the data."""
+    tasks and none holds more than two blocks."""
     def blocks(side: DataFrame, rows: int, name: str) -> DataFrame:
         n = F.ceil(F.count("*") / rows).cast("int")
         return side.groupBy("cell").agg(n.alias(name))
 
     counts = blocks(queries, query_rows, "nq_").join(blocks(data, data_rows, "nd_"), "cell")
-    counts = F.broadcast(counts)
     own = lambda n: F.pmod(F.xxhash64("vkey"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = queries.join(counts, "cell").withColumn("qb_", own("nq_")).withColumn("db_", each("nd_")).drop("nq_", "nd_")
     right = data.join(counts, "cell").withColumn("db_", own("nd_")).withColumn("qb_", each("nq_")).drop("nq_", "nd_")
+    # both sides may stem from one table: new column identities keep them apart
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     on = ["cell", "qb_", "db_"]
     return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(solve, schema)
 
