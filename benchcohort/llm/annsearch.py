@@ -157,7 +157,7 @@ def nearest_neighbours(embeddings: DataFrame, query: Column, k: int, lists: int
     pivots = padded(pivots, width) if len(pivots) else np.zeros((1, width))
     index = encoded(distinct.select("vkey", "vector", "ids"), pivots)
     asked = probes(distinct.filter("is_query").select("vkey", "vector"), pivots, min(n_probes, len(pivots)))
-    found = block_join(asked, index, solver(k, pivots), FOUND, QUERY_BLOCK, DATA_BLOCK)
+    found = block_join(asked, index, solver(k, pivots), FOUND, QUERY_BLOCK, DATA_BLOCK, few_cells=True)
     queries = vectors.filter(query).select(F.col("vec_id").alias("query_id"),
                                            F.md5(F.to_json(F.struct("vector"))).alias("vkey")).distinct()
     return best_of(found, queries, k, [F.asc("score"), F.asc("vec_id")])

@@ -167,7 +167,7 @@ def exact_top_k(embeddings: DataFrame, query: Column, k: int, scale: float = 64.
     data = distinct.select("vkey", "vector", "ids")
     needed = lower_bounds(data, pivots, radii, k + 1)
     found = block_join(asked.select("cell", "vkey", "vector"), replicated(data, pivots, radii, needed), solver(k), FOUND,
-                       QUERY_BLOCK, DATA_BLOCK)
+                       QUERY_BLOCK, DATA_BLOCK, few_cells=True)
     rows = vectors.filter(query).select(F.col("vec_id").alias("query_id"),
                                         F.md5(F.to_json(F.struct("vector"))).alias("vkey")).distinct()
     return best_of(found, rows, k, [F.desc("score"), F.asc("vec_id")])

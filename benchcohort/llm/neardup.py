@@ -247,7 +247,8 @@ def across_components(lists: DataFrame, hubs: DataFrame, found: DataFrame, reps:
     sketches = reps.select("rep", "sketch")
     full = lambda side: side.filter(F.col("c") > LONG_LIST).join(sketches, "rep").select(
         F.col("value").alias("cell"), F.col("rep").cast("string").alias("vkey"), "rep", "n", "component", "sketch")
-    long_pairs = block_join(full(outside), full(mixed), solve_long_list, "x long, y long", BLOCK, BLOCK)
+    long_pairs = block_join(full(outside), full(mixed), solve_long_list, "x long, y long", BLOCK, BLOCK,
+                            few_cells=False)
     return estimated(pairs, reps).unionByName(long_pairs.select(*ordered("x", "y"))).distinct()
 
 

@@ -184,3 +184,15 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: Sequence[str] = ("
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array(scores)], names=schema.names)
 
     return picked.mapInArrow(score, schema)
+
+
+def keep_quality(docs: DataFrame, model: QualityModel, threshold: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, all columns as they are."""
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = model.score(described(batch.column(at)).astype(np.float64))
+            yield batch.filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

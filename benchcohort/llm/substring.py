@@ -271,15 +271,16 @@ def read_answers(parcels: Iterator[bytes]) -> dict[bytes, np.ndarray]:
     return out
 
 
-def apply_answers(hot: np.ndarray, id_at: int, text_at: int, n_keep: int, names: list[str]):
+def apply_answers(hot: np.ndarray, id_at: int, text_at: int, n_keep: int, names: list[str], rejoin: bool):
     """A block's texts without the words under repeated windows."""
     def apply(table: pa.Table, answers: pa.Table) -> pa.Table:
         known = read_answers(answers.column("data").to_pylist())
         ids = table.column(id_at).to_pylist()
         n_words = np.zeros(table.num_rows, np.int64)
         n_removed = np.zeros(table.num_rows, np.int64)
-        kept: list[bytes] = []
-        for start, texts in grouped(texts_as_bytes(table.column(text_at))):
+        kept: list[bytes | None] = []
+        column = texts_as_bytes(table.column(text_at))
+        for start, texts in grouped(column):
             usable = [t if ids[start + k] is not None else [] for k, t in enumerate(texts)]
             words, at, owner, least = minimisers(usable)
             gone = np.zeros(len(words) + 1, np.int64)
@@ -299,7 +300,10 @@ def apply_answers(hot: np.ndarray, id_at: int, text_at: int, n_keep: int, names:
                 a += len(t)
                 n_words[start + k] = len(texts[k])
                 n_removed[start + k] = flags.sum()
-                kept.append(b" ".join([w for w, f in zip(t, flags.tolist()) if not f]) if flags.any() else b" ".join(texts[k]))
+                if flags.any():
+                    kept.append(b" ".join([w for w, f in zip(t, flags.tolist()) if not f]))
+                else:
+                    kept.append(b" ".join(texts[k]) if rejoin else column[start + k])
         columns = [table.column(c).cast(table.schema.field(c).type) for c in range(n_keep)]
         return pa.table([*columns, pa.array(n_words), pa.array(n_removed), pa.array(kept, pa.binary()).cast(pa.string())],
                         names=names)
@@ -307,8 +311,11 @@ def apply_answers(hot: np.ndarray, id_at: int, text_at: int, n_keep: int, names:
     return apply
 
 
-def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``keep`` plus n_words, n_removed and kept (the remaining words joined by one blank)."""
+def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), key: str = "doc_id", text: str = "text",
+                   rejoin: bool = True) -> DataFrame:
+    """``keep`` plus n_words, n_removed and kept (the remaining words joined by one blank).
+
+    Without ``rejoin``, texts that lose nothing are returned as they are."""
     n = n_shuffle(docs.sparkSession)
     hot = hot_slots(docs, text)
     block = F.pmod(F.xxhash64(key), F.lit(2 * n)).cast("int").alias("block_")
@@ -319,4 +326,4 @@ def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), key: str
     schema = T.StructType([*(picked.schema[c] for c in keep), T.StructField("n_words", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     return picked.groupBy("block_").cogroup(answers.groupBy("block_")).applyInArrow(
-        apply_answers(hot, id_at, text_at, len(keep), schema.names), schema)
+        apply_answers(hot, id_at, text_at, len(keep), schema.names, rejoin), schema)

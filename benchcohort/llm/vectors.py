@@ -79,17 +79,19 @@ def padded(a: np.ndarray, width: int) -> np.ndarray:
 
 
 def block_join(queries: DataFrame, data: DataFrame, solve: Callable[[pa.Table, pa.Table], pa.Table], schema: T.StructType,
-               query_rows: int, data_rows: int) -> DataFrame:
+               query_rows: int, data_rows: int, few_cells: bool) -> DataFrame:
     """``solve(query block, data block)`` for every pair of blocks within a cell.
 
     Both sides have ``cell`` and ``vkey``. A cell's rows are cut by hash into
     blocks of about the given numbers of rows, so a hot cell is work for many
-    tasks and none holds more than two blocks."""
+    tasks and none holds more than two blocks. ``few_cells``: cells are pivots, so
+    their counts are a table of bounded size and broadcast."""
     def blocks(side: DataFrame, rows: int, name: str) -> DataFrame:
         n = F.ceil(F.count("*") / rows).cast("int")
         return side.groupBy("cell").agg(n.alias(name))
 
     counts = blocks(queries, query_rows, "nq_").join(blocks(data, data_rows, "nd_"), "cell")
+    counts = F.broadcast(counts) if few_cells else counts
     own = lambda n: F.pmod(F.xxhash64("vkey"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = queries.join(counts, "cell").withColumn("qb_", own("nq_")).withColumn("db_", each("nd_")).drop("nq_", "nd_")

@@ -6,10 +6,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from benchcohort.llm import stages
 from benchcohort.llm.common import scratch_path, table
 
-#: Filled in stage order by the operators' pipeline forms.
-STAGES: list = []
+STAGES = [
+    ("quality classifier", stages.keep_good),
+    ("near duplicates", stages.drop_near_duplicates),
+    ("substring dedup", stages.drop_repeated_passages),
+    ("source mix", stages.mix_sources),
+    ("bpe", stages.encode),
+]
 
 #: SQL cannot train the classifier of the first stage.
 ORACLE_SQL = None
