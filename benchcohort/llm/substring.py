@@ -16,9 +16,8 @@ most once a block. Buckets answer with the first documents of those strings
 that hold a repeated window, and each block applies the answers to its own texts
 in a cogroup. Minimisers that occur in many different contexts (a common line)
 would fill one bucket: a first pass counts minimisers by slot over all texts, and
-in slots with more than ``HOT`` times the mean every window travels by itself to
-a bucket of its own hash, which is as exact. The list of hot slots has at most
-``SLOTS`` / ``HOT`` entries.
+in slots that hold more than ``HOT_SHARE`` of a bucket's share every window
+travels by itself to a bucket of its own hash, which is as exact.
 
 Defined results: null and empty texts have no words; texts shorter than a window
 lose nothing; rows that share a doc_id are separate rows of one document and
@@ -44,11 +43,11 @@ from .common import n_shuffle, texts_as_bytes
 
 #: Words of a window and of the runs that its minimiser is chosen from.
 WINDOW, MINIMISER = 13, 3
-#: Slots in which minimisers are counted, and times the mean that make one hot.
-SLOTS, HOT = 1 << 16, 4
+#: Slots in which minimisers are counted, and the share of a bucket that makes one hot.
+SLOTS, HOT_SHARE = 1 << 16, 0.25
 #: Words whose hashes a worker keeps, strings that a block holds before it sends
 #: them off, and words that are handled at once.
-HASHES, HELD_STRINGS, GROUP_WORDS = 300_000, 250_000, 200_000
+HASHES, HELD_STRINGS, GROUP_WORDS = 200_000, 150_000, 100_000
 
 _MIX1, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -112,8 +111,8 @@ def grouped(texts: Sequence[bytes | None]) -> Iterator[tuple[int, list[list[byte
             start, held, out = k + 1, 0, []
 
 
-def hot_slots(docs: DataFrame, text: str) -> np.ndarray:
-    """Which slots have more than ``HOT`` times the mean number of super-k-mers, over all texts."""
+def hot_slots(docs: DataFrame, text: str, buckets: int) -> np.ndarray:
+    """Which slots would fill more than ``HOT_SHARE`` of a bucket, counted over all texts."""
     cold = np.zeros(SLOTS, bool)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,19 +125,17 @@ def hot_slots(docs: DataFrame, text: str) -> np.ndarray:
         slot = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(n[slot])], names=["slot", "n"])
 
-    counts = docs.select(text).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    mean = counts.agg(F.sum("n") / SLOTS)
-    found = counts.join(F.broadcast(mean.toDF("mean_")), F.col("n") > HOT * F.greatest("mean_", F.lit(1.0))).select("slot")
-    hot = cold.copy()
-    hot[[r.slot for r in found.collect()]] = True  # SLOTS / HOT rows at most
-    return hot
+    got = docs.select(text).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(SLOTS, np.int64)  # SLOTS rows at most
+    n[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return n > HOT_SHARE * n.sum() / buckets
 
 
 # -- parcels: strings with their smallest and largest document, compressed ------
 def parcel(strings: list[bytes], lo: np.ndarray, hi: np.ndarray) -> bytes:
     sizes = np.array([len(s) for s in strings], np.int32)
     raw = b"".join([np.int64(len(strings)).tobytes(), sizes.tobytes(), lo.tobytes(), hi.tobytes(), *strings])
-    return zstandard.compress(raw, 3)
+    return zstandard.compress(raw, 6)
 
 
 def unparcel(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -317,11 +314,11 @@ def remove_repeats(docs: DataFrame, keep: Sequence[str] = ("doc_id",), key: str
 
     Without ``rejoin``, texts that lose nothing are returned as they are."""
     n = n_shuffle(docs.sparkSession)
-    hot = hot_slots(docs, text)
+    hot = hot_slots(docs, text, 2 * n)
     block = F.pmod(F.xxhash64(key), F.lit(2 * n)).cast("int").alias("block_")
     picked = docs.select(*keep, F.col(key).cast("long").alias("key_"), F.col(text).alias("text_"), block).repartition(n, "block_")
     id_at, text_at = len(keep), len(keep) + 1
-    parcels = picked.groupBy("block_").applyInArrow(pack_block(hot, n, id_at, text_at), "bucket_ int, block_ int, data binary")
+    parcels = picked.groupBy("block_").applyInArrow(pack_block(hot, 2 * n, id_at, text_at), "bucket_ int, block_ int, data binary")
     answers = parcels.groupBy("bucket_").applyInArrow(solve_bucket, "block_ int, data binary")
     schema = T.StructType([*(picked.schema[c] for c in keep), T.StructField("n_words", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
