@@ -18,9 +18,9 @@ def kept_rows(df):
     return sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.kept) for r in df.collect())
 
 
-@pytest.mark.parametrize("hot", [substring.HOT, 0.0])
+@pytest.mark.parametrize("hot", [substring.HOT_SHARE, 0.0])
 def test_substring_equals_brute_force(spark, rows, monkeypatch, hot):
-    monkeypatch.setattr(substring, "HOT", hot)
+    monkeypatch.setattr(substring, "HOT_SHARE", hot)
     docs = spark.createDataFrame(rows, SCHEMA)
     want = sorted((k is None, k or 0, n, g, t) for k, n, g, t in substring_kept([r[:2] for r in rows]))
     assert kept_rows(substring.remove_repeats(docs)) == want
