@@ -4,20 +4,26 @@ A document's set holds the 64-bit hashes of its distinct shingles of ``SHINGLE``
 words; its sketch is the ``K`` smallest of them. Documents with equal sets are
 collapsed first. The others meet in inverted lists of retained values: taking
 the values of a sketch in one global order, rarest first (counted by slot over
-all sketches), two sketches that share at least ``SHARED`` of K values must share
-one among their first K - SHARED + 1, so only those are indexed; two documents
-with similarity 0.85 share fewer with a probability below 1e-7. Sets smaller than a
+all sketches), two sets that share at least ``SHARED`` of their ``INDEXED`` smallest
+must share one among the first INDEXED - SHARED + 1, so only those are indexed; two
+documents with similarity 0.85 share fewer with a probability below 1e-7. Sets smaller than a
 sketch are indexed by the same rule without any loss.
 
 Lists are not expanded into pairs. Each names ``HUBS`` members with the commonest
 values, the likely originals, and every member is paired with these only. Pairs
 pass if sizes allow the similarity and the similarity of the union sketch comes
-within ``MARGIN`` of it, and are verified on full sets. Components of the links
-follow. What could be lost are links between members of one list that fell into
-different components: in those lists, every member outside the list's largest
-component is compared with all members of other components (estimates inside the
-tasks, only passing pairs leave them), verified, and the components are taken
-again. So copies in thousands cost a few pairs each, and no link is dropped.
+near it, within five standard deviations of a sample of that size. Where both
+sketches hold the whole sets, that similarity is exact; other pairs are verified
+on full sets. Components of the links follow. What could be lost are links
+between members of one list that fell into different components: in those lists,
+every member outside the list's largest component is compared with all members of
+other components (inside the tasks, which pass on only pairs that could join two
+components), verified, and the components are taken again. So copies in thousands
+cost a few pairs each, and no link between components is dropped.
+
+Sketches and texts are joined to pairs after a filter by a bitmap of the ids in
+pairs; it has ``BITS`` bits at every size and lets some others through, which
+the join removes.
 
 Defined results: null and empty texts have empty sets and are linked with
 nothing; texts with fewer words than a shingle have one shingle; rows that
@@ -44,12 +50,15 @@ from .vectors import block_join
 SHINGLE = 5
 #: Similarity asked for, in hundredths.
 PERCENT = 85
-#: Values of a sketch, and values that similar sketches share at least.
-K, SHARED = 64, 38
+#: Values of a sketch; how many of its smallest are indexed from, and how many of
+#: those similar sketches share at least.
+K, INDEXED, SHARED = 128, 64, 38
 #: Slots in which values are counted, and hubs of a list.
 SLOTS, HUBS = 1 << 20, 3
-#: The estimate of a truncated pair may fall short of the similarity by this much (5 standard deviations).
-MARGIN = 0.22
+#: Standard deviations by which an estimate may fall short of the similarity.
+DEVIATIONS = 5.0
+#: Bits of the filter of ids in pairs, and of one row of it (a fixed value of Spark's bitmaps).
+BITS, BITMAP_ROW = 1 << 26, 32768
 #: Lists above this length are compared block by block, shorter ones by a join.
 LONG_LIST, BLOCK = 256, 4096
 
@@ -111,7 +120,7 @@ def value_counts(reps: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            rows = sketch_rows(batch.column(0))
+            rows = sketch_rows(batch.column(0))[:, :INDEXED]
             n += np.bincount(slots_of(rows[rows != NO_VALUE]), minlength=SLOTS)
         slot = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(n[slot])], names=["slot", "n"])
@@ -126,7 +135,7 @@ def indexed_values(n: np.ndarray) -> np.ndarray:
     """How many values of a sketch must be indexed for a set of ``n``."""
     # a partner of up to n / 0.85 values may be truncated only if that exceeds K
     whole = n - -(-PERCENT * n // 100) + 1
-    return np.where(n * 100 <= PERCENT * K, whole, np.minimum(n, K) - SHARED + 1)
+    return np.where(n * 100 <= PERCENT * INDEXED, whole, np.minimum(n, INDEXED) - SHARED + 1)
 
 
 def postings(reps: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -134,13 +143,13 @@ def postings(reps: DataFrame, counts: np.ndarray) -> DataFrame:
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column(1).to_numpy()
-            rows = sketch_rows(batch.column(2))
+            rows = sketch_rows(batch.column(2))[:, :INDEXED]
             there = rows != NO_VALUE
             common = np.where(there, counts[slots_of(rows)], np.inf)
             order = np.lexsort((rows, common), axis=1)
             rows = np.take_along_axis(rows, order, axis=1)
             weight = np.where(there, common, 0).sum(1) / np.maximum(there.sum(1), 1)
-            used = np.arange(K) < np.minimum(indexed_values(n), there.sum(1))[:, None]
+            used = np.arange(INDEXED) < np.minimum(indexed_values(n), there.sum(1))[:, None]
             owner = np.nonzero(used)[0]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows[used].view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array(n[owner]),
@@ -161,29 +170,74 @@ def estimates(a: np.ndarray, b: np.ndarray, truncated: np.ndarray) -> np.ndarray
     return (twin & (place <= limit[:, None])).sum(1) / np.maximum(size, 1)
 
 
-def passing(estimate: np.ndarray, truncated: np.ndarray) -> np.ndarray:
-    return estimate >= PERCENT / 100 - np.where(truncated, MARGIN, 1e-9)
+def passing(estimate: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Estimates that a pair of similar sets may have; exact where both sketches are whole."""
+    goal = PERCENT / 100
+    union = np.maximum((na + nb) / (1 + goal), K)
+    margin = DEVIATIONS * np.sqrt(goal * (1 - goal) / K * (1 - K / union)) + 1 / K
+    return estimate >= goal - np.where((na > K) | (nb > K), margin, 1e-9)
 
 
 def sizes_allow(a: str, b: str):
     return PERCENT * F.greatest(a, b) <= 100 * F.least(a, b)
 
 
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids (``id_``): BITS / BITMAP_ROW rows at most, whatever the ids."""
+    slot = slot_of("id_") + 1
+    rows = ids.groupBy(F.bitmap_bucket_number(slot).alias("row")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in rows:
+        at = (r.row - 1) * BITMAP_ROW // 8
+        out[at:at + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def slot_of(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(BITS))
+
+
+def maybe_in(rows: DataFrame, bitmap: np.ndarray, key: str) -> DataFrame:
+    """``rows`` whose key may be among the ids of the bitmap."""
+    names = rows.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column(batch.num_columns - 1).to_numpy()
+            hit = bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1
+            part = batch.filter(pa.array(hit.astype(bool)))
+            if part.num_rows:
+                yield pa.RecordBatch.from_arrays(part.columns[:-1], names=names)
+
+    return rows.withColumn("slot_", slot_of(key)).mapInArrow(keep, rows.schema)
+
+
+def ids_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id_"))
+
+
 def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose union sketch comes near enough."""
+    """Pairs (a, b, exact) whose union sketch comes near enough; exact: they are links."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            truncated = (batch.column(2).to_numpy() > K) | (batch.column(3).to_numpy() > K)
-            ok = passing(estimates(sketch_rows(batch.column(4)), sketch_rows(batch.column(5)), truncated), truncated)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            truncated = (na > K) | (nb > K)
+            for k in range(0, len(na), BLOCK):
+                part = slice(k, k + BLOCK)
+                ok = passing(estimates(sketch_rows(batch.column(4)[part]), sketch_rows(batch.column(5)[part]), truncated[part]),
+                             na[part], nb[part])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], pa.array(~truncated[part])],
+                                                 names=["a", "b", "exact"]).filter(pa.array(ok))
 
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
-    return rows.mapInArrow(check, "a long, b long")
+    near = maybe_in(reps.select("rep", "n", "sketch"), id_filter(ids_of(pairs)), "rep")
+    side = lambda x: near.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    rows = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    return rows.mapInArrow(check, "a long, b long, exact boolean")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough. Only texts in pairs move."""
+    """Links (a, b): exact pairs, and others whose full sets are similar enough. Only texts in pairs move."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, np.zeros(0, np.uint64)
         for batch in batches:
@@ -198,12 +252,13 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) \
                 .filter(pa.array(ok, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("id_")).unionByName(pairs.select(F.col("b").alias("id_"))).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("id_"), F.col(text).alias("text_")).join(wanted, "id_", "left_semi") \
-        .dropDuplicates(["id_"])
+    open_pairs = pairs.filter("not exact").select("a", "b")
+    wanted = ids_of(open_pairs).distinct()
+    rows = docs.select(F.col(key).cast("long").alias("id_"), F.col(text).alias("text_")).filter(F.col("id_").isNotNull())
+    texts = maybe_in(rows, id_filter(wanted), "id_").dropDuplicates(["id_"])
     side = lambda x: texts.select(F.col("id_").alias(x), F.col("text_").alias(f"t{x}"))
-    rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
-    return rows.mapInArrow(verify, "a long, b long")
+    both = open_pairs.hint("merge").join(side("b"), "b").hint("merge").join(side("a"), "a").select("a", "b", "ta", "tb")
+    return pairs.filter("exact").select("a", "b").unionByName(both.mapInArrow(verify, "a long, b long"))
 
 
 def ordered(x: str, y: str) -> list:
@@ -211,20 +266,32 @@ def ordered(x: str, y: str) -> list:
 
 
 def solve_long_list(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Passing pairs between the outsiders and the members of a block of a long list."""
-    out_a, out_b = [], []
+    """Passing pairs between the outsiders and the members of a block of a long list.
+
+    Exact pairs join components at once, and no pair within a joined one is passed on."""
+    out: list[tuple[int, int, bool]] = []
     if left.num_rows and right.num_rows:
         x, y = sketch_rows(left.column("sketch").combine_chunks()), sketch_rows(right.column("sketch").combine_chunks())
         nx, ny = left.column("n").to_numpy(), right.column("n").to_numpy()
-        cx, cy = left.column("component").to_numpy(), right.column("component").to_numpy()
+        names, place = np.unique(np.r_[left.column("component").to_numpy(), right.column("component").to_numpy()],
+                                 return_inverse=True)
+        joined = np.arange(len(names))  # which component each has become part of, here
+        cx, cy = place[:len(x)], place[len(x):]
         ids, others = left.column("rep").to_numpy(), right.column("rep").to_numpy()
         for k in range(len(x)):
-            at = np.flatnonzero((cy != cx[k]) & (PERCENT * np.maximum(ny, nx[k]) <= 100 * np.minimum(ny, nx[k])))
-            truncated = (ny[at] > K) | (nx[k] > K)
-            at = at[passing(estimates(np.repeat(x[k:k + 1], len(at), axis=0), y[at], truncated), truncated)]
-            out_a += [int(ids[k])] * len(at)
-            out_b += others[at].tolist()
-    return pa.table({"x": pa.array(out_a, pa.int64()), "y": pa.array(out_b, pa.int64())})
+            at = np.flatnonzero((joined[cy] != joined[cx[k]]) & (PERCENT * np.maximum(ny, nx[k]) <= 100 * np.minimum(ny, nx[k])))
+            for part in np.array_split(at, max(1, len(at) // BLOCK)):
+                truncated = (ny[part] > K) | (nx[k] > K)
+                near = passing(estimates(np.repeat(x[k:k + 1], len(part), axis=0), y[part], truncated),
+                               np.full(len(part), nx[k]), ny[part])
+                for j, exact in zip(part[near].tolist(), (~truncated[near]).tolist()):
+                    mine, other = joined[cx[k]], joined[cy[j]]
+                    if mine != other:
+                        out.append((int(ids[k]), int(others[j]), exact))
+                        if exact:
+                            joined[joined == other] = mine
+    a, b, exact = zip(*out) if out else ((), (), ())
+    return pa.table({"x": pa.array(a, pa.int64()), "y": pa.array(b, pa.int64()), "exact": pa.array(exact, pa.bool_())})
 
 
 def across_components(lists: DataFrame, hubs: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
@@ -247,9 +314,9 @@ def across_components(lists: DataFrame, hubs: DataFrame, found: DataFrame, reps:
     sketches = reps.select("rep", "sketch")
     full = lambda side: side.filter(F.col("c") > LONG_LIST).join(sketches, "rep").select(
         F.col("value").alias("cell"), F.col("rep").cast("string").alias("vkey"), "rep", "n", "component", "sketch")
-    long_pairs = block_join(full(outside), full(mixed), solve_long_list, "x long, y long", BLOCK, BLOCK,
+    long_pairs = block_join(full(outside), full(mixed), solve_long_list, "x long, y long, exact boolean", BLOCK, BLOCK,
                             few_cells=False)
-    return estimated(pairs, reps).unionByName(long_pairs.select(*ordered("x", "y"))).distinct()
+    return estimated(checkpointed(pairs, "across"), reps).unionByName(long_pairs.select(*ordered("x", "y"), "exact")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,6 +333,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         .select("value", F.col("rep").alias("hub"), F.col("n").alias("hub_n"))
     pairs = lists.join(hubs, "value").filter((F.col("rep") != F.col("hub")) & sizes_allow("n", "hub_n")) \
         .select(*ordered("rep", "hub")).distinct()
+    pairs = checkpointed(pairs, "near")
     links = checkpointed(verified(checkpointed(estimated(pairs, reps), "pairs"), docs, key, text), "links")
     # sets that one doc_id has hang together
     same = known.join(reps.select("setkey", "rep"), "setkey").filter("rep <> doc_id") \
