@@ -5,7 +5,9 @@ is partitioned. Summing values as fixed-point DECIMAL(38,0) (x scaled by
 10^scale and rounded) makes sums exact, so a mean or a standard deviation
 is the same on any cluster shape and in the SQL oracle. The 1e-6 default
 quantum is far below any reported precision; DECIMAL(38,0) holds sums up to
-1e38, i.e. ~1e15 rows of values up to 1e17 at 1e-6 resolution.
+1e38, i.e. ~1e15 rows of values up to 1e17 at 1e-6 resolution. Squares would
+leave it at values of 1e13, so a value is squared in two parts (high * 1e9 +
+low) whose products are summed apart: 1e10 rows of values up to 1e17.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCALE = 6
+PART = 1e9
 
 
 def fixed(x: Column, scale: int = SCALE) -> Column:
@@ -32,9 +35,17 @@ def fixed_mean(x: Column, scale: int = SCALE) -> Column:
 def fixed_moments(x: Column, prefix: str, scale: int = SCALE) -> list[Column]:
     """n, S1 = sum(xs), S2 = sum(xs^2) with xs = x * 10^scale (exact)."""
     xs = fixed(x, scale)
+    high = F.floor(F.round(x.cast("double") * F.lit(10.0 ** scale)) / F.lit(PART)).cast("decimal(18,0)")
+    low = (xs - high * F.lit(int(PART)).cast("decimal(10,0)")).cast("decimal(12,0)")
+    hh, hl, ll = F.sum(high * high), F.sum(high * low), F.sum(low * low)
+    # exact while the total fits a DECIMAL(38,0), in double beyond that
+    exact = F.try_add(F.try_add(F.try_multiply(hh, F.lit(int(PART * PART)).cast("decimal(19,0)")),
+                                F.try_multiply(hl, F.lit(int(2 * PART)).cast("decimal(10,0)"))), ll).cast("double")
+    rough = hh.cast("double") * F.lit(PART * PART) + hl.cast("double") * F.lit(2 * PART) + ll.cast("double")
+    squares = F.coalesce(exact, rough)
     return [F.count(x).alias(f"{prefix}_n"),
             F.sum(xs).cast("double").alias(f"{prefix}_s1"),
-            F.sum(xs * xs).cast("double").alias(f"{prefix}_s2")]
+            squares.alias(f"{prefix}_s2")]
 
 
 def mean_from_moments(n: Column, s1: Column, scale: int = SCALE) -> Column:

@@ -11,14 +11,28 @@ survive task retries, and have an exact SQL twin (``*_sql`` functions).
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TWO32 = 4294967296.0
 
-# Cumulative Poisson(1) probabilities P(K <= k) for k = 0..5,
-# rounded to 8 decimals; a draw above the last cut-off counts as 6.
-POISSON1_CDF = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]
+def _poisson1_cuts() -> list[int]:
+    """P(K <= k) * 2^32 of a Poisson(1) count, rounded, for every k up to the last
+    that a 32-bit draw can tell apart (k = 12)."""
+    cuts, p, total = [], math.exp(-1), 0.0
+    for k in range(1, 14):
+        total += p
+        p /= k
+        if (cut := round(total * TWO32)) >= TWO32:
+            break
+        cuts.append(cut)
+    return cuts
+
+
+POISSON1_CUTS = _poisson1_cuts()
 
 
 def _as_col(x) -> Column:
@@ -82,7 +96,7 @@ def unit_hash_sql(key: str) -> str:
     return h_sql("'unit'", key)
 
 
-def in_train(seed, key, train_pct: float = 0.70, method: str = "md5") -> Column:
+def in_train(seed, key, train_pct: float = 0.70) -> Column:
     """Approximate-size split: train iff draw #seed of the key's stream is
     below pct * 2^32. Independent of partitioning; one md5 per row however
     many seeds are tried."""
@@ -93,21 +107,17 @@ def in_train_sql(seed: str, key: str, train_pct: float = 0.70) -> str:
     return f"({stream_sql(unit_hash_sql(key), seed)} < {int(train_pct * TWO32)})"
 
 
-def fold(seed, key, k: int, method: str = "md5") -> Column:
+def fold(seed, key, k: int) -> Column:
     """Cross-validation fold id in 0..k-1."""
     return F.pmod(stream(unit_hash(key), F.lit(seed) + F.lit(7919)), F.lit(k)).cast("int")
 
 
 def poisson1_of(z: Column) -> Column:
-    """Poisson(1) draw from a 32-bit integer by inverse CDF."""
-    u = z / F.lit(TWO32)
-    expr = F.lit(6)
-    for k in reversed(range(len(POISSON1_CDF))):
-        expr = F.when(u < F.lit(POISSON1_CDF[k]), F.lit(k)).otherwise(expr)
-    return expr.cast("int")
+    """Poisson(1) draw from a 32-bit integer by inverse CDF: the number of
+    cut-offs at or below it."""
+    return reduce(lambda a, b: a + b, [(z >= F.lit(cut)).cast("int") for cut in POISSON1_CUTS])
 
 
 def poisson1_of_sql(z: str) -> str:
-    u = f"(({z}) / 4294967296.0)"
-    cases = " ".join(f"WHEN {u} < {c} THEN {k}" for k, c in enumerate(POISSON1_CDF))
-    return f"CAST(CASE {cases} ELSE 6 END AS INTEGER)"
+    cases = " ".join(f"WHEN d < {c} THEN {k}" for k, c in enumerate(POISSON1_CUTS))
+    return f"list_transform([{z}], lambda d: CAST(CASE {cases} ELSE {len(POISSON1_CUTS)} END AS INTEGER))[1]"

@@ -40,7 +40,8 @@ def ols_factor(df: DataFrame, y: str, w: str, scale: int = 6) -> DataFrame:
           .withColumn("ref_level", F.first("level").over(ordered))
           .withColumn("n_ref", F.first("n").over(ordered))
           .withColumn("mean_ref", F.first("mean").over(ordered)))
-    sigma = F.sqrt(F.col("ssw") / (F.col("n_tot") - F.col("k_tot")))
+    # no residual freedom or a constant outcome: null instead of a division by zero
+    sigma = F.sqrt(F.try_divide(F.col("ssw"), F.col("n_tot") - F.col("k_tot")))
     sst = F.col("tot_s2") - F.col("tot_s1") * F.col("tot_s1") / F.col("n_tot")
     is_ref = F.col("level") == F.col("ref_level")
     est = F.when(is_ref, F.col("mean_ref")).otherwise(F.col("mean") - F.col("mean_ref"))
@@ -48,8 +49,8 @@ def ols_factor(df: DataFrame, y: str, w: str, scale: int = 6) -> DataFrame:
         sigma * F.sqrt(F.lit(1.0) / F.col("n") + F.lit(1.0) / F.col("n_ref")))
     term = F.when(is_ref, F.lit("(Intercept)")).otherwise(F.concat(F.lit("W"), F.col("level")))
     return j.select(term.alias("term"), est.alias("estimate"), se.alias("std_error"),
-                    (est / se).alias("t_value"), F.col("n_tot").alias("n_obs"),
-                    (F.lit(1.0) - F.col("ssw") / sst).alias("r_squared"))
+                    F.try_divide(est, se).alias("t_value"), F.col("n_tot").alias("n_obs"),
+                    (F.lit(1.0) - F.try_divide(F.col("ssw"), sst)).alias("r_squared"))
 
 
 def cell_moments(df: DataFrame, y: str, w: str, strata: Sequence[str]) -> DataFrame:

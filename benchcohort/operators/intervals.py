@@ -4,30 +4,33 @@ Draws come from :mod:`benchcohort.functions.hashing`, so results depend only
 on (seed, replicate, unit key) and never on partitioning or task retries.
 
 * **Multinomial (B1)** — exactly n draws with replacement per replicate, as
-  the reference's ``sample(x, replace=TRUE)``. It materialises n x R draw
-  rows, so it is meant for groups with n * R up to ~1e8; ``method="auto"``
-  measures the largest group and falls back to B2 above that.
+  the reference's ``sample(x, replace=TRUE)``. Units are numbered by range
+  partition and block offsets, and draws are made in blocks, so no task holds
+  a group or a replicate; the work is n x R draw rows whatever the size.
 * **Poisson (B2)** — every unit gets an independent Poisson(1) weight per
   replicate; the replicate mean is sum(w x) / sum(w). Map-side partial
   aggregation keeps the shuffle at groups x R x partitions, independent of n.
   Each unit costs one md5 (its stream base); replicate weights are integer
   mixes of that base, so the per-replicate work stays in whole-stage codegen.
   Rows expand by R / 8 (eight replicates share one exploded row).
+
+The caller names the method; it never depends on the data's size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h, poisson1_of, stream
 from ..session import cut_lineage, spread
+from .stats import prefix_sums
 
 PROBS = (0.5, 0.025, 0.975)
-MULTINOMIAL_MAX_DRAWS = 100_000_000
-BROADCAST_MAX_UNITS = 500_000  # ~25 MB of (group, value, index) rows
+METHODS = ("multinomial", "poisson")
+DRAW_BLOCK = 100_000  # draws of a replicate that one exploded row stands for
 
 
 def _replicate_quantiles(reps: DataFrame, keys: Sequence[str], stat: str) -> DataFrame:
@@ -48,36 +51,30 @@ def _replicate_quantiles(reps: DataFrame, keys: Sequence[str], stat: str) -> Dat
 
 
 def multinomial_replicates(units: DataFrame, keys: Sequence[str], order_key: str, value: str,
-                           R: int, seed: int, sizes: DataFrame | None = None,
-                           total_units: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Replicate means by exact resampling (B1).
+                           R: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Replicate means by exact resampling (B1), and the numbered units.
 
     Units are numbered 0..n-1 inside their group by ``order_key``; replicate
     r draws index pmod(stream(h(seed, r), k), n) for k = 0..n-1 (the draw
-    depends on (r, k) only, as the reference re-seeds per group). Draws are
-    joined back on (group, index), which spreads a hot group over many
-    tasks. The numbering window holds one group per task, which B1's size
-    guard (n * R <= ~1e8) keeps small; larger groups use B2.
+    depends on (r, k) only, as the reference re-seeds per group). A replicate's
+    draws are dealt out in blocks of ``DRAW_BLOCK`` and joined back on (group,
+    index), which spreads a hot group over many tasks.
     """
-    w = Window.partitionBy(*keys).orderBy(order_key)
-    indexed = cut_lineage(units.select(*keys, value, (F.row_number().over(w) - 1).alias("_idx")))
-    if sizes is None:
-        sizes = group_sizes(indexed, keys)
-    per_rep = (sizes.select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(R - 1))).alias("r"))
-                    .withColumn("_base", h(seed, F.col("r")))
-                    .repartition(*keys, "r"))
-    draws = per_rep.select(*keys, "r", "_base", "_n",
-                           F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k"))
+    numbered = prefix_sums(units.select(*keys, order_key, value).withColumn("_one", F.lit(1).cast("bigint")),
+                           keys, order_key, ["_one"])
+    indexed = cut_lineage(numbered.select(*keys, value, (F.col("cum__one") - 1).alias("_idx")))
+    sizes = indexed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    blocks = (sizes.select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(R - 1))).alias("r"))
+                   .withColumn("_base", h(seed, F.col("r")))
+                   .select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / DRAW_BLOCK))).alias("_b"))
+                   .repartition(*keys, "r", "_b"))
+    first = F.col("_b") * DRAW_BLOCK
+    draws = blocks.select(*keys, "r", "_base", "_n",
+                          F.explode(F.sequence(first, F.least(first + DRAW_BLOCK, F.col("_n")) - 1)).alias("_k"))
     draws = draws.select(*keys, "r", F.pmod(stream(F.col("_base"), F.col("_k")), F.col("_n")).alias("_idx"))
-    # Spark sizes an explode like its input, so the n*R draw rows look tiny
-    # to the planner and may be broadcast. The unit side is the one to build
-    # from: broadcast it when its counted size is small (the draws then never
-    # shuffle), otherwise shuffle both sides by (group, index) and hash it.
-    if total_units is None:
-        total_units = sizes.agg(F.sum("_n")).first()[0] or 0
-    small = total_units <= BROADCAST_MAX_UNITS
-    side = F.broadcast(indexed) if small else indexed.hint("shuffle_hash")
-    joined = draws.join(side, list(keys) + ["_idx"])
+    # Spark sizes an explode like its input, so the n * R draw rows look tiny to
+    # the planner; the unit side is the one to hash.
+    joined = draws.join(indexed.hint("shuffle_hash"), list(keys) + ["_idx"])
     return joined.groupBy(*keys, "r").agg(F.avg(value).alias("rep_mean")), indexed
 
 
@@ -110,22 +107,15 @@ def poisson_replicates(units: DataFrame, keys: Sequence[str], unit_key: Sequence
 
 def _replicates(units: DataFrame, keys: Sequence[str], order_key: str, value: str, R: int, seed: int,
                 method: str) -> tuple[DataFrame, DataFrame]:
-    """B1 for groups small enough to resample exactly; B2 otherwise
-    (``method="auto"``), or forced with "multinomial" / "poisson".
-
-    Returns the replicate means and a materialised copy of the units, so the
-    point estimate reads the same checkpoint instead of recomputing them."""
-    sizes, total = None, None
-    if method == "auto":
-        sizes = group_sizes(units, keys)
-        biggest, total = sizes.agg(F.max("_n"), F.sum("_n")).first()  # one small job for both decisions
-        method = "poisson" if (biggest or 0) * R > MULTINOMIAL_MAX_DRAWS else "multinomial"
-    if method == "poisson":
-        base = cut_lineage(units.select(*keys, order_key, value))
-        reps = poisson_replicates(base.filter(F.col(value).isNotNull()), keys, [F.col(order_key)], F.col(value),
-                                  R, seed)
-        return reps, base
-    return multinomial_replicates(units, keys, order_key, value, R, seed, sizes, total or None)
+    """Replicate means by the named method and a materialised copy of the
+    units, so the point estimate reads the same checkpoint."""
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
+    if method == "multinomial":
+        return multinomial_replicates(units, keys, order_key, value, R, seed)
+    base = cut_lineage(units.select(*keys, order_key, value))
+    reps = poisson_replicates(base.filter(F.col(value).isNotNull()), keys, [F.col(order_key)], F.col(value), R, seed)
+    return reps, base
 
 
 def poisson_bootstrap(units: DataFrame, keys: Sequence[str], unit_key: Sequence[Column], value: Column,
@@ -136,7 +126,7 @@ def poisson_bootstrap(units: DataFrame, keys: Sequence[str], unit_key: Sequence[
     blocks = (R + width - 1) // width
     base = units.select(*keys, h(seed, *unit_key).alias("_h0"), value.cast("bigint").alias("_x"))
     if rebalance:  # input with fewer splits than cores: spread the narrow rows before the R-fold work
-        base = spread(base, cap=None)
+        base = spread(base)
     exploded = base.select(*keys, "_h0", "_x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
     first = F.col("_b") == 0
     aggs = [F.sum(F.when(first, 1).otherwise(0)).cast("bigint").alias("_n"),
@@ -160,7 +150,7 @@ def poisson_bootstrap(units: DataFrame, keys: Sequence[str], unit_key: Sequence[
 
 
 def bootstrap_distribution(units: DataFrame, keys: Sequence[str], order_key: str, value: str,
-                           R: int, seed: int, method: str = "auto") -> DataFrame:
+                           R: int, seed: int, method: str = "multinomial") -> DataFrame:
     """n = non-null count, Center = median of replicate means, 2.5/97.5 %
     limits. Nulls stay in the resampling population and are ignored in each
     replicate mean (the reference's ``mean(sample(x), na.rm=TRUE)``)."""
@@ -172,7 +162,7 @@ def bootstrap_distribution(units: DataFrame, keys: Sequence[str], order_key: str
 
 
 def bootstrap_mean_ci(units: DataFrame, keys: Sequence[str], order_key: str, value: str,
-                      R: int, seed: int, method: str = "auto") -> DataFrame:
+                      R: int, seed: int, method: str = "multinomial") -> DataFrame:
     """Nulls dropped first; Center = plain mean, limits from R replicate
     means; returns mean, lcl, ucl, n, R, seed."""
     clean = units.select(*keys, order_key, value).filter(F.col(value).isNotNull())
@@ -182,18 +172,3 @@ def bootstrap_mean_ci(units: DataFrame, keys: Sequence[str], order_key: str, val
     return (point.join(q, list(keys))
                  .select(*keys, "mean", F.col("L95").alias("lcl"), F.col("U95").alias("ucl"), "n",
                          F.lit(R).alias("R"), F.lit(seed).alias("seed")))
-
-
-def group_sizes(units: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows per group, materialised once (one row per group) and reused for
-    the size guard, the draw generation and the broadcast decision."""
-    return cut_lineage(units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
-
-
-def needs_poisson(units_or_sizes: DataFrame, keys: Sequence[str], R: int,
-                  max_draws: int = MULTINOMIAL_MAX_DRAWS) -> bool:
-    """True when the largest group makes exact resampling too big (n*R).
-    Accepts the units or their :func:`group_sizes`."""
-    sizes = units_or_sizes if "_n" in units_or_sizes.columns else group_sizes(units_or_sizes, keys)
-    biggest = sizes.agg(F.max("_n")).first()[0] or 0
-    return biggest * R > max_draws

@@ -95,7 +95,18 @@ def flag_best_worse(sc: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ base comparison
+def unique_entries(sc: DataFrame) -> DataFrame:
+    """``sc``, failing with the key if a (Bench, Model) entry occurs twice.
+
+    Two raw names that clean to one model would multiply in the self-joins."""
+    twice = F.count(F.lit(1)).over(Window.partitionBy("Bench", "Model")) > 1
+    said = F.concat(F.lit("two scorecard entries for "), F.concat_ws(" / ", "Bench", "Model"))
+    return sc.withColumn("_twice", twice).withColumn("Model", F.when(F.col("_twice"), F.raise_error(said))
+                                                     .otherwise(F.col("Model"))).drop("_twice")
+
+
 def compare_to_base(sc: DataFrame) -> DataFrame:
+    sc = unique_entries(sc)
     improved = (sc.filter(F.col("Improve") != "")
                   .select("Bench", "Model", "Center", "Improve",
                           F.replace(F.col("Model"), F.col("Improve"), F.lit("")).alias("Base")))

@@ -149,7 +149,7 @@ def cohort_years(spark, sf):
     """The cleaned cohort landed as Parquet partitioned by index year, then
     read back with the study-year filter: the filter becomes a partition
     filter, so years outside the window are never read."""
-    path = files.with_scheme(scratch_path(spark, "cohort-by-year"))
+    path = scratch_path(spark, "cohort-by-year")
     files.write_partitioned(cohort(spark, sf, ["patient_id", "index_year", "intervention", "baseline_qty"]),
                             path, "index_year")
     landed = spark.read.parquet(path).filter(F.col("index_year").isin(STUDY_YEARS))
@@ -402,7 +402,7 @@ def table_one_report(spark, sf):
     d = cohort(spark, sf, _T1_COLUMNS).filter(F.col("years_followup_ge1") == 1)
     d = d.withColumn("index_year", F.concat(F.lit("y"), F.col("index_year").cast("string")))
     wide = tableone.report(d, "intervention", CONTINUOUS, CATEGORICAL)
-    path = files.with_scheme(scratch_path(spark, "table-one"))
+    path = scratch_path(spark, "table-one")
     files.write_tsv(wide.drop("variable"), path, first_column="row", label=REPORT_LABEL)
     cols = [c for c in wide.columns if c not in ("row", "variable")]
     schema = ", ".join([f"`{REPORT_LABEL}` STRING"] + [f"`{c}` STRING" for c in cols])

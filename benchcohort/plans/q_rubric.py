@@ -15,10 +15,11 @@ from .inputs import rubric as rubric_input
 from .registry import query, r6
 from .sqlparts import canonical_sql, improvement_sql
 
+# The reference's seed and number of replicates.
 SEED = 46664
-R_CASES = 200
-R_RUBRIC = 200
-R_POISSON = 200
+R_CASES = 1000
+R_RUBRIC = 1000
+R_POISSON = 1000
 
 _CLEAN = replace_rules_sql("model", MODEL_CLEAN_RULES["rubric"])
 RUBRIC_CTES = f"""WITH rubric_raw AS ({RUBRIC_SQL}),
@@ -157,6 +158,29 @@ def bootstrap_mean_ci(spark, sf):
                       F.col("R").cast("int").alias("R"), F.col("seed").cast("int").alias("seed"))
 
 
+def _poisson_mean_sql(units: str, keys: list[str], order_key: str, value: str, R: int, seed: int) -> str:
+    """Replicate means of double values by Poisson weights, and their limits."""
+    k = ", ".join(keys)
+    w = poisson1_of_sql(stream_sql("base", "r"))
+    return f"""pw_units AS (SELECT {k}, {value} AS v, {h_sql(str(seed), order_key)} AS base FROM {units} WHERE {value} IS NOT NULL),
+pw_draws AS (SELECT {k}, v, r, {w} AS w FROM pw_units, range(0, {R}) t(r)),
+pw_means AS (SELECT {k}, r, SUM(w * v) / nullif(SUM(w), 0) AS rep_mean FROM pw_draws GROUP BY {k}, r),
+pw_q AS (SELECT {k}, quantile_cont(rep_mean, 0.025) AS q025, quantile_cont(rep_mean, 0.975) AS q975 FROM pw_means GROUP BY {k}),
+pw_point AS (SELECT {k}, AVG(v) AS mean_v, COUNT(*) AS n FROM pw_units GROUP BY {k})"""
+
+
+@query("bootstrap_mean_ci_poisson", sql=GROUPING_SQL + ",\n" + _poisson_mean_sql(
+    "scores", ["model", "run_id", "grp"], "conversation_id", "score", R_RUBRIC, SEED) + """
+SELECT p.model, p.run_id, p.grp, round(p.mean_v, 6) AS mean, round(q.q025, 6) AS lcl, round(q.q975, 6) AS ucl,
+       CAST(p.n AS BIGINT) AS n
+FROM pw_point p JOIN pw_q q ON p.model = q.model AND p.run_id = q.run_id AND p.grp = q.grp""")
+def bootstrap_mean_ci_poisson(spark, sf):
+    scores = rubric.grouping_set_scores(_latest(spark, sf))
+    out = intervals.bootstrap_mean_ci(scores, ["model", "run_id", "grp"], "conversation_id", "score",
+                                      R_RUBRIC, SEED, method="poisson")
+    return out.select("model", "run_id", "grp", r6("mean"), r6("lcl"), r6("ucl"), "n")
+
+
 def _poisson_sql(R: int, seed: int, width: int = 8) -> str:
     blocks = (R + width - 1) // width
     key = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "CAST(round(l_extendedprice * 100) AS BIGINT)")

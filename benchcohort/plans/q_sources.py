@@ -92,7 +92,7 @@ SELECT run_id AS bench, model, metric, 'test' AS split, pert,
        CASE WHEN pert IS NULL THEN NULL ELSE pert = 'robustness' END AS robustness, {_REC_COLS}
 FROM rec""")
 def scan_nested_json(spark, sf):
-    root = files.with_scheme(scratch_path(spark, "stats-tree"))
+    root = scratch_path(spark, "stats-tree")
     files.write_stat_files(spark, _stat_records(spark, sf), root, "run_id", "model")
     df = files.read_stat_files(spark, root)
     d = files.run_dir(F.col("file_path"))
@@ -128,7 +128,7 @@ SELECT '{_CUTOFFS[-1][0]}' AS snapshot, event_type, CAST(COUNT(*) AS BIGINT) AS
        CAST(SUM(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value_cents
 FROM events WHERE ts < TIMESTAMP '{_CUTOFFS[-1][1]}' GROUP BY event_type""")
 def newest_snapshot(spark, sf):
-    folder = files.with_scheme(scratch_path(spark, "snapshots"))
+    folder = scratch_path(spark, "snapshots")
     ev = table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
     for name, cutoff in _CUTOFFS:
         ev.filter(F.col("ts") < F.lit(cutoff).cast("timestamp")).write.mode("overwrite").parquet(f"{folder}/{name}")
@@ -150,7 +150,7 @@ UNION ALL BY NAME
 SELECT 'Supplier' AS src, s_suppkey AS "key", s_name AS name, s_nationkey AS nationkey, s_acctbal AS acctbal
 FROM supplier WHERE s_acctbal >= {MIN_BALANCE}""")
 def multi_source_union(spark, sf):
-    root = files.with_scheme(scratch_path(spark, "extracts"))
+    root = scratch_path(spark, "extracts")
     cust = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nationkey"),
         F.col("c_acctbal").alias("acctbal"), F.col("c_mktsegment").alias("mktsegment"))
@@ -182,7 +182,7 @@ def extract_codes(spark, sf):
     kept = frags.filter(F.col("frag").rlike("^a href=")).select(
         "page_id", F.replace(F.col("frag"), F.lit('"'), F.lit("'")).alias("line"))
     codes = kept.select("page_id", F.explode(files.quoted_values(F.col("line"))).alias("code")).distinct()
-    return codes.groupBy("code").agg(F.countDistinct("page_id").alias("n_pages"))
+    return codes.groupBy("code").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
 @query("enrich_codes", sql="""
@@ -206,7 +206,7 @@ def enrich_codes(spark, sf):
 SELECT c_name AS "Customer Name", c_custkey, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal,
        c_mktsegment, c_nationkey FROM customer""")
 def tsv_roundtrip(spark, sf):
-    path = files.with_scheme(scratch_path(spark, "tsv"))
+    path = scratch_path(spark, "tsv")
     cust = table(spark, sf, "customer").select(
         "c_custkey", "c_name", F.when(F.pmod("c_custkey", F.lit(11)) == 0, None).otherwise(F.col("c_acctbal")).alias("c_acctbal"),
         "c_mktsegment", "c_nationkey")

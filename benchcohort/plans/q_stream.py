@@ -70,7 +70,7 @@ SELECT {", ".join(f"round({c}, 6) AS {c}" if c in ROUNDED else c for c in OUT)}
 
 @query("stream_scorecard", sql=_sql())
 def stream_scorecard(spark, sf):
-    work = files.with_scheme(scratch_path(spark, "stream"))
+    work = scratch_path(spark, "stream")
     landing, rows, card, ckpt = (f"{work}/{x}" for x in ("landing", "rows", "card", "ckpt"))
     rec = _records(spark, sf)
     for arrival in (F.col("bench") != "medi_qa", F.col("bench") == "medi_qa"):

@@ -2,12 +2,14 @@
 
 Everything that needs a durable place to cut lineage or to land an
 intermediate table reads ``spark.checkpoint.dir`` from the running session.
-Only when that is unset (local tests, the bench) do we point it at a fresh
-scratch folder of our own.
+Only in local mode, when that is unset (tests, the bench), do we point it at a
+fresh scratch folder of our own; on a cluster an unset folder is an error,
+because executors could not see the driver's disk.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -68,6 +70,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # pragma: no cover - conf lookups differ by deploy
             current = None
     if not current:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="benchcohort-ckpt-")
     sc.setCheckpointDir(current)
     return sc.getCheckpointDir()
@@ -86,17 +90,12 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-SMALL_TABLE_TASKS = 64  # enough tasks for a few hundred heavy rows, few enough to stay cheap
-
-
-def spread(df: DataFrame, parallelism: int | None = None, cap: int | None = SMALL_TABLE_TASKS) -> DataFrame:
-    """Spread a small table (a few aggregated rows) over the cores before
-    CPU-heavy per-row work such as exact intervals. Without it AQE coalesces
-    the tiny shuffle output into one task and the rows are evaluated one
-    after another. A repartition with an explicit count is not coalesced.
-    ``cap`` keeps a large cluster from scheduling thousands of empty tasks."""
-    target = parallelism or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(min(target, cap) if cap else target)
+def spread(df: DataFrame, parallelism: int | None = None) -> DataFrame:
+    """Spread aggregated rows over all cores before CPU-heavy per-row work
+    such as exact intervals. Without it AQE coalesces a small shuffle output
+    into one task and the rows are evaluated one after another. A
+    repartition with an explicit count is not coalesced."""
+    return df.repartition(parallelism or df.sparkSession.sparkContext.defaultParallelism)
 
 
 def under_parallel(scan: DataFrame) -> bool:

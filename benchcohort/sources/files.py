@@ -44,10 +44,6 @@ def list_names(spark: SparkSession, uri: str) -> list[str]:
     return sorted(st.getPath().getName() for st in fs.listStatus(path))
 
 
-def with_scheme(uri: str) -> str:
-    return uri if re.match(r"^[a-zA-Z][a-zA-Z0-9+.-]*:", uri) else "file:" + uri
-
-
 # ---------------------------------------------------------------- S1 / S2 / S3
 def read_stat_files(spark: SparkSession, root: str, file_name: str = "stats.json") -> DataFrame:
     """Recursive scan of benchmark stats files: each file is a JSON array of
@@ -117,15 +113,15 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str], schema: str,
     return df
 
 
-def source_label(path: Column) -> Column:
+def source_label(path: Column, short_names: dict[str, str] | None = None) -> Column:
     """Source label from a file name: drop 'data_processed_' and extensions,
-    '_' -> ' ', title case, then the provider abbreviations (S6)."""
+    '_' -> ' ', title case, then the caller's abbreviations of providers (S6)."""
     base = F.element_at(F.split(path, "/"), -1)
     folder = F.element_at(F.split(path, "/"), -2)
     name = F.when(base.startswith("part-"), folder).otherwise(base)
     stem = F.regexp_replace(name, r"data_processed_|\.csv|\.gz", "")
     label = F.initcap(F.regexp_replace(stem, "_", " "))
-    for long, short in (("Norstella", "N"), ("Forian", "F"), ("Arcadia", "A")):
+    for long, short in (short_names or {}).items():
         label = F.replace(label, F.lit(long), F.lit(short))
     return label
 

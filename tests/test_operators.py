@@ -120,14 +120,44 @@ def test_bootstrap_variants_agree(spark):
     assert (b2.U95 - b2.L95) == pytest.approx(b1.U95 - b1.L95, rel=0.25)
 
 
-def test_bootstrap_auto_switches_to_poisson(spark):
+def test_bootstrap_method_is_named(spark, monkeypatch):
     rows = [("g", i, float(i % 3)) for i in range(300)]
     df = spark.createDataFrame(rows, "g string, k long, v double")
-    from benchcohort.operators.intervals import MULTINOMIAL_MAX_DRAWS, needs_poisson
-    assert not needs_poisson(df, ["g"], 200)
-    assert needs_poisson(df, ["g"], MULTINOMIAL_MAX_DRAWS)
     out = intervals.bootstrap_mean_ci(df, ["g"], "k", "v", 200, 1, method="poisson").first()
     assert out.lcl < out.mean < out.ucl
+    whole = intervals.bootstrap_mean_ci(df, ["g"], "k", "v", 50, 1).first()
+    monkeypatch.setattr(intervals, "DRAW_BLOCK", 7)  # blocks change nothing
+    assert intervals.bootstrap_mean_ci(df, ["g"], "k", "v", 50, 1).first() == whole
+    with pytest.raises(ValueError):
+        intervals.bootstrap_mean_ci(df, ["g"], "k", "v", 50, 1, method="auto")
+
+
+def test_edges_of_metrics_effects_codes_and_scorecard(spark):
+    from benchcohort.functions.exact import fixed_moments, sd_from_moments
+    from benchcohort.operators import cohort, effects, metrics, scorecard
+    long = spark.createDataFrame([("a", "x", 1, .5), ("a", "x", 0, .2), ("b", "x", 0, .5)],
+                                 "grp string, target string, truth int, score double")
+    for metric in (metrics.auroc, metrics.auprc):
+        got = {(r[0], r[1]): r[2] for r in metric(long).select("grp", "target", metric.__name__.replace("auroc", "auc")).collect()}
+        assert got[("a", "x")] is not None and got[("b", "x")] is None
+    flat = spark.createDataFrame([("p", 1.0), ("q", 1.0), ("p", 1.0)], "w string, y double")
+    assert all(r.t_value is None and r.r_squared is None for r in effects.ols_factor(flat, "y", "w").collect())
+    codes = spark.createDataFrame([(12345, "7"), (6, "007")], "n int, s string")
+    assert [r.n for r in cohort.pad_code(codes, "n", width=3).collect()] == ["12345", "006"]
+    assert [r.s for r in cohort.pad_code(codes, "s", width=5).collect()] == ["7", "007"]
+    big = spark.createDataFrame([(1e13,), (1e13 + 2,), (-1e13,), (0.25,)], "x double")
+    m = big.agg(*fixed_moments(F.col("x"), "m")).select(sd_from_moments(F.col("m_n"), F.col("m_s1"), F.col("m_s2"))).first()[0]
+    assert m == pytest.approx(np.std([1e13, 1e13 + 2, -1e13, 0.25], ddof=1), rel=1e-12)
+    rows = [("B", "m", "", .5, .4, .6), ("B", "m", "", .6, .5, .7)]
+    sc = spark.createDataFrame(rows, "Bench string, Model string, Improve string, Center double, L95 double, U95 double")
+    with pytest.raises(Exception, match="two scorecard entries for B / m"):
+        scorecard.compare_to_base(sc).collect()
+
+
+def test_poisson_counts_have_mean_one():
+    from benchcohort.functions.hashing import POISSON1_CUTS, TWO32
+    assert len(POISSON1_CUTS) == 12
+    assert sum(1 - cut / TWO32 for cut in POISSON1_CUTS) == pytest.approx(1, abs=1e-8)
 
 
 def test_exact_size_split_and_hash_split_agree(spark):

@@ -9,7 +9,7 @@ from benchcohort.operators.benchrows import medhelm_score_rows
 from benchcohort.operators.scorecard import build_scorecard
 from benchcohort.operators.stats import stat_records
 from benchcohort.plans.inputs import rubric
-from benchcohort.sources.files import read_stat_files, with_scheme, write_stat_files
+from benchcohort.sources.files import read_stat_files, write_stat_files
 from benchcohort.streaming.stat_stream import start_scorecard_stream
 
 from .conftest import SF_SMALL
@@ -27,7 +27,7 @@ def _records(spark):
 
 def test_stream_matches_batch(spark):
     work = tempfile.mkdtemp(prefix="bc-stream-")
-    landing = with_scheme(f"{work}/landing")
+    landing = f"{work}/landing"
     rec = _records(spark)
     first = rec.filter(F.col("bench") != "medi_qa")
     second = rec.filter(F.col("bench") == "medi_qa")
