@@ -130,13 +130,15 @@ def fit_centroids(docs: DataFrame, text: str = "text", label: str = "lang", key:
     """Fit on the rows of ``docs`` with a label and a letter in the text."""
     train = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
     idf = inverse_document_frequencies(train, text)
-    place = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    ids = train.select(F.col(key).alias("id_"), F.col(label).alias("label_"), place.alias("place_"))
+    sizes = train.groupBy(F.col(label).alias("label_")).agg(F.count("*").alias("size_"))
+    if len(sizes.select("label_").limit(MOST_LANGUAGES + 1).collect()) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    # places are uniform in [0, 1): the first four samples' worth is enough to rank, in any task
+    place = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") / 16.0**13
+    ids = train.select(F.col(key).alias("id_"), F.col(label).alias("label_"), place.alias("place_")) \
+        .join(F.broadcast(sizes), "label_").filter(F.col("place_") * F.col("size_") <= 4 * FIT_DOCS)
     ids = ids.withColumn("rn_", F.row_number().over(W.partitionBy("label_").orderBy("place_", "id_"))) \
         .filter(F.col("rn_") <= FIT_DOCS).select("id_").distinct()
-    n_languages = len(train.select(label).distinct().limit(MOST_LANGUAGES + 1).collect())
-    if n_languages > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     # at most FIT_DOCS ids for each of at most MOST_LANGUAGES languages
     chosen = train.join(F.broadcast(ids), F.col(key).eqNullSafe(F.col("id_"))).select(F.col(label).alias("label_"), text)
 
