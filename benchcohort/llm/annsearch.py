@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed
+from .common import cut_lineage
 from .vectors import best_of, block_join, collapse, fit_pivots, matrix, nearest, padded, usable
 
 #: Rows that centroids are fitted on, lists, and lists probed by a query.
@@ -151,7 +151,7 @@ def nearest_neighbours(embeddings: DataFrame, query: Column, k: int, lists: int
                              & F.exists("embedding", lambda x: x != 0))
     vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"),
                           F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("vector"))
-    distinct = checkpointed(collapse(vectors, k + 1, query), "ann")
+    distinct = cut_lineage(collapse(vectors, k + 1, query))
     width = distinct.agg(F.max(F.size("vector"))).first()[0] or 0
     pivots = fit_pivots(distinct, lists, FIT_ROWS)
     pivots = padded(pivots, width) if len(pivots) else np.zeros((1, width))

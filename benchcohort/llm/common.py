@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from ..session import cut_lineage, ensure_checkpoint_dir, scratch_path
 from ..sources.tables import table
 
-__all__ = ["checkpointed", "cut_lineage", "ensure_checkpoint_dir", "n_shuffle", "scratch_path", "table",
-           "texts_as_bytes"]
+__all__ = ["cut_lineage", "ensure_checkpoint_dir", "n_shuffle", "scratch_path", "table", "texts_as_bytes"]
 
 #: A word, everywhere in this subpackage: a run of characters that are neither
 #: a blank nor U+0009..U+000D. ``bytes.split()`` cuts UTF-8 text at exactly these.
@@ -27,11 +26,3 @@ def texts_as_bytes(column: pa.Array) -> list[bytes | None]:
         column = column.combine_chunks()
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return column.cast(kind).to_pylist()
-
-
-def checkpointed(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the cluster's checkpoint folder and read it
-    back: lineage ends at files every executor can reach."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

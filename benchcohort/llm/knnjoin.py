@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed
+from .common import cut_lineage
 from .vectors import best_of, block_join, collapse, fit_pivots, matrix, nearest, padded, usable
 
 #: Pivots (query cells at most), and the rows that they are fitted on.
@@ -160,7 +160,7 @@ def quantised(embeddings: DataFrame, scale: float) -> DataFrame:
 def exact_top_k(embeddings: DataFrame, query: Column, k: int, scale: float = 64.0) -> DataFrame:
     """query_id, rank, vec_id, score for every row that ``query`` (on vec_id) picks."""
     vectors = quantised(embeddings, scale)
-    distinct = checkpointed(collapse(vectors, k + 1, query), "knn")
+    distinct = cut_lineage(collapse(vectors, k + 1, query))
     pivots = fit_pivots(distinct, PIVOTS, FIT_ROWS)
     asked = cells_and_radii(distinct.filter("is_query").select("vkey", "vector"), pivots)
     radii = {r.cell: r.reach * (1 + SLACK) for r in asked.groupBy("cell").agg(F.max("reach").alias("reach")).collect()}

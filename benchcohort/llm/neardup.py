@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, texts_as_bytes
+from .common import cut_lineage, texts_as_bytes
 from .components import components
 from .substring import _HASHES, _MIX1, _MIX3, grouped, scrambled
 from .vectors import block_join
@@ -304,7 +304,7 @@ def across_components(lists: DataFrame, hubs: DataFrame, found: DataFrame, reps:
     shares = labelled.groupBy("value", "component").agg(F.count("*").alias("m"))
     mains = shares.groupBy("value").agg(F.max_by("component", F.struct("m", "component")).alias("main"),
                                         F.count("*").alias("parts")).filter("parts > 1")
-    mixed = checkpointed(labelled.join(mains, "value"), "mixed")
+    mixed = cut_lineage(labelled.join(mains, "value"))
     outside = mixed.filter("component <> main")
     short = outside.filter(F.col("c") <= LONG_LIST).select("value", "rep", "n", "component")
     members = mixed.filter(F.col("c") <= LONG_LIST).select("value", F.col("rep").alias("rep2"), F.col("n").alias("n2"),
@@ -316,30 +316,30 @@ def across_components(lists: DataFrame, hubs: DataFrame, found: DataFrame, reps:
         F.col("value").alias("cell"), F.col("rep").cast("string").alias("vkey"), "rep", "n", "component", "sketch")
     long_pairs = block_join(full(outside), full(mixed), solve_long_list, "x long, y long, exact boolean", BLOCK, BLOCK,
                             few_cells=False)
-    return estimated(checkpointed(pairs, "across"), reps).unionByName(long_pairs.select(*ordered("x", "y"), "exact")).distinct()
+    return estimated(cut_lineage(pairs), reps).unionByName(long_pairs.select(*ordered("x", "y"), "exact")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per input row."""
-    rows = checkpointed(sketched(docs, key, text), "sketches")
+    rows = cut_lineage(sketched(docs, key, text))
     known = rows.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    reps = checkpointed(known.groupBy("setkey").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"),
-                                                    F.first("sketch").alias("sketch")), "reps")
+    reps = cut_lineage(known.groupBy("setkey").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"),
+                                                    F.first("sketch").alias("sketch")))
     posted = postings(reps, value_counts(reps))
     sizes = posted.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1")
-    lists = checkpointed(posted.join(sizes, "value"), "lists")
+    lists = cut_lineage(posted.join(sizes, "value"))
     first = W.partitionBy("value").orderBy(F.desc("weight"), "rep")
     hubs = lists.withColumn("rn_", F.row_number().over(first)).filter(F.col("rn_") <= HUBS) \
         .select("value", F.col("rep").alias("hub"), F.col("n").alias("hub_n"))
     pairs = lists.join(hubs, "value").filter((F.col("rep") != F.col("hub")) & sizes_allow("n", "hub_n")) \
         .select(*ordered("rep", "hub")).distinct()
-    pairs = checkpointed(pairs, "near")
-    links = checkpointed(verified(checkpointed(estimated(pairs, reps), "pairs"), docs, key, text), "links")
+    pairs = cut_lineage(pairs)
+    links = cut_lineage(verified(cut_lineage(estimated(pairs, reps)), docs, key, text))
     # sets that one doc_id has hang together
     same = known.join(reps.select("setkey", "rep"), "setkey").filter("rep <> doc_id") \
         .groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
     found = components(links.unionByName(same))
-    more = checkpointed(verified(checkpointed(across_components(lists, hubs, found, reps), "more"), docs, key, text), "links")
+    more = cut_lineage(verified(cut_lineage(across_components(lists, hubs, found, reps)), docs, key, text))
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     labels = reps.join(found, F.col("rep") == F.col("node"), "left") \
