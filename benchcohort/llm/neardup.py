@@ -278,18 +278,29 @@ def solve_long_list(left: pa.Table, right: pa.Table) -> pa.Table:
         joined = np.arange(len(names))  # which component each has become part of, here
         cx, cy = place[:len(x)], place[len(x):]
         ids, others = left.column("rep").to_numpy(), right.column("rep").to_numpy()
+        # values of the members in order, to count the values that each shares with an outsider
+        there = y != NO_VALUE
+        order = np.argsort(y[there], kind="stable")
+        values, owners = y[there][order], np.nonzero(there)[0][order]
         for k in range(len(x)):
-            at = np.flatnonzero((joined[cy] != joined[cx[k]]) & (PERCENT * np.maximum(ny, nx[k]) <= 100 * np.minimum(ny, nx[k])))
-            for part in np.array_split(at, max(1, len(at) // BLOCK)):
-                truncated = (ny[part] > K) | (nx[k] > K)
-                near = passing(estimates(np.repeat(x[k:k + 1], len(part), axis=0), y[part], truncated),
-                               np.full(len(part), nx[k]), ny[part])
-                for j, exact in zip(part[near].tolist(), (~truncated[near]).tolist()):
-                    mine, other = joined[cx[k]], joined[cy[j]]
-                    if mine != other:
-                        out.append((int(ids[k]), int(others[j]), exact))
-                        if exact:
-                            joined[joined == other] = mine
+            mine = x[k][x[k] != NO_VALUE]
+            begin, end = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
+            shared = np.bincount(np.concatenate([owners[i:j] for i, j in zip(begin.tolist(), end.tolist())]), minlength=len(y))
+            truncated = (ny > K) | (nx[k] > K)
+            # sharing bounds the similarity of truncated sketches from above, and is exact for whole ones
+            most = np.where(truncated, shared / K, shared / np.maximum(nx[k] + ny - shared, 1))
+            at = np.flatnonzero((joined[cy] != joined[cx[k]]) & passing(most, np.full(len(y), nx[k]), ny)
+                                & (PERCENT * np.maximum(ny, nx[k]) <= 100 * np.minimum(ny, nx[k])))
+            unsure = at[truncated[at]]
+            for part in np.array_split(unsure, max(1, len(unsure) // BLOCK)):
+                most[part] = estimates(np.repeat(x[k:k + 1], len(part), axis=0), y[part], truncated[part])
+            at = at[passing(most[at], np.full(len(at), nx[k]), ny[at])]
+            for j, exact in zip(at.tolist(), (~truncated[at]).tolist()):
+                here, other = joined[cx[k]], joined[cy[j]]
+                if here != other:
+                    out.append((int(ids[k]), int(others[j]), exact))
+                    if exact:
+                        joined[joined == other] = here
     a, b, exact = zip(*out) if out else ((), (), ())
     return pa.table({"x": pa.array(a, pa.int64()), "y": pa.array(b, pa.int64()), "exact": pa.array(exact, pa.bool_())})
 
