@@ -36,10 +36,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import slices
+
 #: Words kept with their tokens by each Python worker.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Most text (characters) of one output batch.
-OUT_CHARS = 4_000_000
+OUT_CHARS = 2_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -292,7 +294,7 @@ def bpe_encode(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), te
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe_model(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(n_keep).to_pylist()
             for a, b in groups_of(texts, OUT_CHARS):
                 n, ids, decoded = model.encode_batch(texts[a:b])

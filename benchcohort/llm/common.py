@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
 from ..session import cut_lineage, ensure_checkpoint_dir, scratch_path
 from ..sources.tables import table
 
-__all__ = ["cut_lineage", "ensure_checkpoint_dir", "n_shuffle", "scratch_path", "table", "texts_as_bytes"]
+__all__ = ["cut_lineage", "ensure_checkpoint_dir", "n_shuffle", "scratch_path", "slices", "table",
+           "texts_as_bytes"]
 
 #: A word, everywhere in this subpackage: a run of characters that are neither
 #: a blank nor U+0009..U+000D. ``bytes.split()`` cuts UTF-8 text at exactly these.
@@ -20,6 +23,13 @@ def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that a task never holds many texts as Python objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def texts_as_bytes(column: pa.Array) -> list[bytes | None]:
     """A string column of an Arrow batch as UTF-8 bytes, nulls kept."""
     if isinstance(column, pa.ChunkedArray):

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, texts_as_bytes
+from .common import cut_lineage, slices, texts_as_bytes
 from .components import components
 from .substring import _HASHES, _MIX1, _MIX3, grouped, scrambled
 from .vectors import block_join
@@ -88,7 +88,7 @@ def shingle_sets(texts: Sequence[bytes | None]) -> Iterator[np.ndarray]:
 def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, n_shingles, setkey (digest of the set) and sketch for every row."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, keys, sketches = [], [], []
             for s in shingle_sets(texts_as_bytes(batch.column(1))):
                 n.append(len(s))
@@ -240,7 +240,7 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFram
     """Links (a, b): exact pairs, and others whose full sets are similar enough. Only texts in pairs move."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in slices(batches):
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             text_a, text_b = batch.column(2), texts_as_bytes(batch.column(3))
             ok = []
@@ -305,7 +305,7 @@ def solve_long_list(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"x": pa.array(a, pa.int64()), "y": pa.array(b, pa.int64()), "exact": pa.array(exact, pa.bool_())})
 
 
-def across_components(lists: DataFrame, hubs: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
+def across_components(lists: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
     """Passing pairs between members of one list that are in different components.
 
     A list has a largest component; a pair across components has a member
@@ -350,7 +350,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     same = known.join(reps.select("setkey", "rep"), "setkey").filter("rep <> doc_id") \
         .groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
     found = components(links.unionByName(same))
-    more = cut_lineage(verified(cut_lineage(across_components(lists, hubs, found, reps)), docs, key, text))
+    more = cut_lineage(verified(cut_lineage(across_components(lists, found, reps)), docs, key, text))
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     labels = reps.join(found, F.col("rep") == F.col("node"), "left") \

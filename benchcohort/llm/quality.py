@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts_as_bytes
+from .common import slices, texts_as_bytes
 
 #: Bounds of the samples that the model is fitted on.
 FIT_POSITIVE, FIT_UNLABELLED = 6000, 12000
 #: Bytes and texts that are described at once.
-GROUP_BYTES, GROUP_TEXTS = 4_000_000, 2048
+GROUP_BYTES, GROUP_TEXTS = 1_000_000, 512
 
 #: Character classes: bytes that are alike for this purpose (all others are class 0).
 CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n\r", b"\t\x0b\x0c", b".,",
@@ -148,7 +148,7 @@ def fit_quality(docs: DataFrame, positives: DataFrame, key: str = "doc_id", text
     sample = docs.select(F.col(key).alias("id_"), text).join(F.broadcast(chosen), "id_").select("id_", "trusted", text)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [r.tobytes() for r in described(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(rows, pa.binary())],
                                              names=["id", "trusted", "v"])
@@ -179,7 +179,7 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: Sequence[str] = ("
     n_keep = len(keep)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = model.score(described(batch.column(n_keep)).astype(np.float64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array(scores)], names=schema.names)
 
@@ -191,7 +191,7 @@ def keep_quality(docs: DataFrame, model: QualityModel, threshold: float, text: s
     at = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = model.score(described(batch.column(at)).astype(np.float64))
             yield batch.filter(pa.array(scores >= threshold))
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import n_shuffle, texts_as_bytes
+from .common import n_shuffle, slices, texts_as_bytes
 
 #: Words of a window and of the runs that its minimiser is chosen from.
 WINDOW, MINIMISER = 13, 3
@@ -47,7 +47,7 @@ WINDOW, MINIMISER = 13, 3
 SLOTS, HOT_SHARE = 1 << 16, 0.25
 #: Words whose hashes a worker keeps, strings that a block holds before it sends
 #: them off, and words that are handled at once.
-HASHES, HELD_STRINGS, GROUP_WORDS = 200_000, 150_000, 100_000
+HASHES, HELD_STRINGS, GROUP_WORDS = 100_000, 100_000, 100_000
 
 _MIX1, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -117,7 +117,7 @@ def hot_slots(docs: DataFrame, text: str, buckets: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SLOTS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for _, texts in grouped(texts_as_bytes(batch.column(0))):
                 _, at, owner, least = minimisers(texts)
                 first, _, _ = runs(at, owner, least, cold)
