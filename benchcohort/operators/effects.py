@@ -64,35 +64,38 @@ def cell_moments(df: DataFrame, y: str, w: str, strata: Sequence[str]) -> DataFr
 def aipw_stratified(df: DataFrame, y: str, w: str, strata: Sequence[str], ref: str | None = None) -> DataFrame:
     """ATE of each arm against ``ref`` (default: first arm alphabetically).
 
-    Strata lacking any arm have no estimable mu_k(x) and are dropped (the
-    count of rows kept is reported)."""
+    Each contrast takes the strata that hold its arm and the reference; in
+    others mu_k(x) or mu_ref(x) cannot be estimated. Per arm: ``n`` rows and
+    ``n_strata`` strata kept, ``n_dropped`` and ``strata_dropped`` left out. An
+    arm that shares no stratum with the reference has a null estimate."""
     cells = cell_moments(df, y, w, strata)
-    # Number of arms and the reference arm are scalar subqueries over the
-    # aggregated cells; completeness per stratum is a window by stratum.
-    n_arms = cells.select(F.countDistinct("arm")).scalar()
+    # The reference arm and the totals are scalar subqueries over the
+    # aggregated cells.
     ref_arm = F.lit(ref) if ref is not None else cells.select(F.min("arm")).scalar()
+    all_rows = cells.select(F.sum("n_xk")).scalar()
+    all_strata = cells.select(*strata).distinct().select(F.count(F.lit(1))).scalar()
     sx = Window.partitionBy(*strata)
-    cells = (cells.withColumn("_K", n_arms)
-                  .withColumn("_ref", ref_arm)
+    cells = (cells.withColumn("_ref", ref_arm)
                   .withColumn("n_x", F.sum("n_xk").over(sx))
-                  .withColumn("k_x", F.count(F.lit(1)).over(sx))
-                  .filter(F.col("k_x") == F.col("_K"))
                   .withColumn("mu", F.col("sy") / F.col("n_xk"))
                   .withColumn("e", F.col("n_xk") / F.col("n_x"))
                   .withColumn("ss", F.col("syy") - F.col("sy") * F.col("sy") / F.col("n_xk")))
     r = cells.filter(F.col("arm") == F.col("_ref")).select(*strata, F.col("mu").alias("mu_ref"),
                                                             F.col("e").alias("e_ref"), F.col("ss").alias("ss_ref"))
-    k = cells.filter(F.col("arm") != F.col("_ref")).join(r, list(strata))
+    k = cells.filter(F.col("arm") != F.col("_ref")).join(r, list(strata), "left")
     delta = F.col("mu") - F.col("mu_ref")
     sum_d = F.col("n_x") * delta
     sum_d2 = (F.col("n_x") * delta * delta + F.col("ss") / (F.col("e") * F.col("e"))
               + F.col("ss_ref") / (F.col("e_ref") * F.col("e_ref")))
-    per_arm = k.groupBy("arm", "_ref").agg(F.sum("n_x").alias("n"), F.sum(sum_d).alias("sd1"),
-                                          F.sum(sum_d2).alias("sd2"))
-    ate = F.col("sd1") / F.col("n")
-    var = (F.col("sd2") - F.col("n") * ate * ate) / (F.col("n") - F.lit(1))
+    per_arm = k.groupBy("arm", "_ref").agg(
+        F.coalesce(F.sum(F.when(F.col("mu_ref").isNotNull(), F.col("n_x"))), F.lit(0)).alias("n"),
+        F.count("mu_ref").alias("n_strata"), F.sum(sum_d).alias("sd1"), F.sum(sum_d2).alias("sd2"))
+    ate = F.try_divide(F.col("sd1"), F.col("n"))
+    var = F.try_divide(F.col("sd2") - F.col("n") * ate * ate, F.col("n") - F.lit(1))
     return per_arm.select("arm", F.col("_ref").alias("reference"), ate.alias("estimate"),
-                          F.sqrt(var / F.col("n")).alias("std_err"), "n")
+                          F.sqrt(F.try_divide(var, F.col("n"))).alias("std_err"), "n", "n_strata",
+                          (all_rows - F.col("n")).alias("n_dropped"),
+                          (all_strata - F.col("n_strata")).alias("strata_dropped"))
 
 
 def propensity_histogram(df: DataFrame, w: str, strata: Sequence[str], bins: int = 20) -> DataFrame:

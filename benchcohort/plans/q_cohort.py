@@ -523,6 +523,26 @@ def aipw_stratified(spark, sf):
     return out.select("arm", "reference", r6("estimate"), r6("std_err"), F.col("n").cast("bigint").alias("n"))
 
 
+# Rows and strata that each contrast keeps and leaves out.
+@query("aipw_dropped", sql=CO + f""",
+d AS (SELECT src, index_year, intervention AS arm FROM cohort
+      WHERE {_qid(AIPW_TARGET)} IS NOT NULL AND intervention IS NOT NULL),
+ref AS (SELECT MIN(arm) AS ref_arm FROM d),
+arms AS (SELECT DISTINCT arm FROM d WHERE arm <> (SELECT ref_arm FROM ref)),
+x AS (SELECT src, index_year, COUNT(*) AS n_x, list(DISTINCT arm) AS held FROM d GROUP BY src, index_year),
+m AS (SELECT a.arm, x.n_x, list_contains(held, a.arm) AND list_contains(held, (SELECT ref_arm FROM ref)) AS ok
+      FROM arms a CROSS JOIN x)
+SELECT arm, (SELECT ref_arm FROM ref) AS reference,
+       CAST(COALESCE(SUM(n_x) FILTER (WHERE ok), 0) AS BIGINT) AS n,
+       CAST(COALESCE(SUM(n_x) FILTER (WHERE NOT ok), 0) AS BIGINT) AS n_dropped,
+       CAST(COUNT(*) FILTER (WHERE ok) AS BIGINT) AS n_strata,
+       CAST(COUNT(*) FILTER (WHERE NOT ok) AS BIGINT) AS strata_dropped
+FROM m GROUP BY arm""")
+def aipw_dropped(spark, sf):
+    out = effects.aipw_stratified(_aipw_input(spark, sf), "y_flip", "intervention", STRATA)
+    return out.select("arm", "reference", "n", "n_dropped", "n_strata", "strata_dropped")
+
+
 @query("propensity_histogram", sql=CO + """
 , cells AS (SELECT src, index_year, intervention AS arm, COUNT(*) AS n_xk FROM cohort
             WHERE intervention IS NOT NULL GROUP BY ALL),

@@ -108,6 +108,20 @@ def test_aipw_closed_form_matches_row_level(spark):
     assert got.std_err == pytest.approx(d.std(ddof=1) / np.sqrt(n), abs=1e-9)
 
 
+def test_aipw_keeps_strata_that_lack_another_arm(spark):
+    rows = [(x, w, y) for x, w, y, times in (
+        ("full", "c", 0, 6), ("full", "c", 1, 2), ("full", "t", 1, 6), ("full", "t", 0, 2), ("full", "u", 1, 4),
+        ("no_u", "c", 0, 5), ("no_u", "c", 1, 5), ("no_u", "t", 1, 8), ("no_u", "t", 0, 2),
+        ("no_c", "t", 1, 3), ("no_c", "z", 0, 4)) for _ in range(times)]
+    got = {r.arm: r for r in effects.aipw_stratified(
+        spark.createDataFrame(rows, "x string, w string, y int"), "y", "w", ["x"]).collect()}
+    # t against c: 20 rows of both strata with a difference of 0.5 and 0.3
+    assert got["t"].estimate == pytest.approx((20 * 0.5 + 20 * 0.3) / 40)
+    kept = {k: (r.n, r.n_dropped, r.n_strata, r.strata_dropped) for k, r in got.items()}
+    assert kept == {"t": (40, 7, 2, 1), "u": (20, 27, 1, 2), "z": (0, 47, 0, 3)}
+    assert got["z"].estimate is None and got["z"].std_err is None
+
+
 def test_bootstrap_variants_agree(spark):
     rng = np.random.default_rng(7)
     rows = [("g", i, int(v)) for i, v in enumerate(rng.random(400) < 0.3)]
