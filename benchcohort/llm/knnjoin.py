@@ -1,7 +1,8 @@
 """Exact top-k search by largest integer inner product: a Voronoi kNN join.
 
-Queries and data are grouped by the nearest of a fixed number of pivots. For a
-query cell with pivot p and radius R (its farthest query), every query q of the
+Queries are grouped by the nearest of a fixed number of pivots. Data vectors are
+not: each is tested by its own norm against every query cell, and no summaries of
+data cells exist by which many could be skipped at once. For a query cell with pivot p and radius R (its farthest query), every query q of the
 cell and every vector x satisfy
 
     p.x - R |x|  <=  q.x  <=  p.x + R |x| .
