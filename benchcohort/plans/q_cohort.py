@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import h, h_sql, in_train_sql
+from ..functions.hashing import h, h_sql, in_train_sql, stream_sql, unit_hash_sql
 from ..functions.rules import INTERVENTION_RECODE_RULES, replace_rules_sql
 from ..operators import cohort as co
 from ..operators import effects, metrics, split, stats, tableone
@@ -450,6 +450,24 @@ def split_seed_search(spark, sf):
     return out.select(F.col("seed").cast("int").alias("seed"), "n_all", "n_train", "score", "is_best")
 
 
+def best_seed(spark: SparkSession, sf: str) -> int:
+    """The seed of the best balanced split."""
+    return split_seed_search(spark, sf).filter(F.col("is_best") == 1).first()["seed"]
+
+
+@query("exact_split", sql=f"""
+WITH search AS ({_search_sql()}),
+best AS (SELECT seed FROM search WHERE is_best = 1),
+{CO.removeprefix("WITH ")},
+drawn AS (SELECT patient_id, {stream_sql(unit_hash_sql('patient_id'), '(SELECT seed FROM best)')} AS z FROM cohort)
+SELECT patient_id, CASE WHEN row_number() OVER (ORDER BY z, patient_id) <= CAST(floor({TRAIN_PCT} * COUNT(*) OVER ()) AS BIGINT)
+                        THEN 'Train' ELSE 'Test' END AS "set"
+FROM drawn""")
+def exact_split(spark, sf):
+    """Exactly floor(0.70 n) rows in Train, drawn with the best seed."""
+    return split.exact_size_split(cohort(spark, sf, ["patient_id"]), "patient_id", best_seed(spark, sf), TRAIN_PCT)
+
+
 # ------------------------------------------------------------ effects
 @query("ols_factor", sql=CO + """
 , g AS (
