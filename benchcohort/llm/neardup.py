@@ -239,23 +239,24 @@ def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """Links (a, b): exact pairs, and others whose full sets are similar enough. Only texts in pairs move."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, np.zeros(0, np.uint64)
+        last, last_text, held = None, None, np.zeros(0, np.uint64)
         for batch in slices(batches):
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             text_a, text_b = batch.column(2), texts_as_bytes(batch.column(3))
             ok = []
             for k, s in enumerate(shingle_sets(text_b)):
-                if a[k] != last:  # rows come sorted by a
-                    last, held = a[k], next(iter(shingle_sets(texts_as_bytes(text_a.slice(k, 1)))))
+                if a[k] != last or not text_a[k].equals(last_text):  # rows come sorted by a, which may have several texts
+                    last, last_text, held = a[k], text_a[k], next(iter(shingle_sets(texts_as_bytes(text_a.slice(k, 1)))))
                 common = len(np.intersect1d(held, s, assume_unique=True))
-                ok.append(100 * common >= PERCENT * (len(held) + len(s) - common))
+                ok.append(common > 0 and 100 * common >= PERCENT * (len(held) + len(s) - common))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) \
                 .filter(pa.array(ok, pa.bool_()))
 
     open_pairs = pairs.filter("not exact").select("a", "b")
     wanted = ids_of(open_pairs).distinct()
     rows = docs.select(F.col(key).cast("long").alias("id_"), F.col(text).alias("text_")).filter(F.col("id_").isNotNull())
-    texts = maybe_in(rows, id_filter(wanted), "id_").dropDuplicates(["id_"])
+    # an id may have several texts, and a pair is a link if any two of them are
+    texts = maybe_in(rows, id_filter(wanted), "id_").dropDuplicates(["id_", "text_"])
     side = lambda x: texts.select(F.col("id_").alias(x), F.col("text_").alias(f"t{x}"))
     both = open_pairs.hint("merge").join(side("b"), "b").hint("merge").join(side("a"), "a").select("a", "b", "ta", "tb")
     return pairs.filter("exact").select("a", "b").unionByName(both.mapInArrow(verify, "a long, b long"))
@@ -347,8 +348,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     pairs = cut_lineage(pairs)
     links = cut_lineage(verified(cut_lineage(estimated(pairs, reps)), docs, key, text))
     # sets that one doc_id has hang together
-    same = known.join(reps.select("setkey", "rep"), "setkey").filter("rep <> doc_id") \
-        .groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
+    same = known.join(reps.select("setkey", "rep"), "setkey").groupBy("doc_id").agg(F.collect_set("rep").alias("r")) \
+        .filter(F.size("r") > 1).select(F.array_min("r").alias("a"), F.explode("r").alias("b")).filter("a <> b")
     found = components(links.unionByName(same))
     more = cut_lineage(verified(cut_lineage(across_components(lists, found, reps)), docs, key, text))
     if not more.isEmpty():

@@ -1,5 +1,7 @@
 """Substring and near-duplicate operators against brute force."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -63,6 +65,20 @@ def test_near_duplicates_equal_brute_force(spark, rows, monkeypatch, long_list,
     assert len({c for c in want.values()}) < len(want) - 30
 
 
+def test_near_duplicates_with_several_long_texts_under_one_id(spark):
+    rng = random.Random(8)
+    text = lambda: [f"w{rng.randrange(10**9)}" for _ in range(400)]
+    near = lambda t, k: [*t[:k], "other", *t[k + 1:]]
+    p, q, r, x, y, z = (text() for _ in range(6))
+    rows = [(1, p), (1, q), (2, near(p, 50)), (3, near(q, 70)), (4, near(p, 90)), (5, near(q, 110)),
+            (9, p), (9, r), (12, near(r, 30)), (20, x), (21, y), (22, z), (23, x), (23, y), (23, z)]
+    rows = [(k, " ".join(t)) for k, t in rows]
+    want = near_components(rows)
+    assert set(want.values()) == {1, 20}
+    got = neardup.near_duplicates(spark.createDataFrame([*rows, (1, None), (2, "")], "doc_id long, text string")).collect()
+    assert {(g.doc_id, g.component_id) for g in got if g.n_shingles} == set(want.items())
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
