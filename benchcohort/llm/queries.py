@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .q_bpe import op2_bpe
 from .q_classify import op6_quality, op7_language
+from .q_importance import op12_importance_resampling
 from .q_mixing import OP8_SQL, op8_mix_sources
 from .q_neardup import op9_near_duplicates
+from .q_periodic import op13_periodic_runs
+from .q_simhash import op11_simhash_duplicates
 from .q_substring import op1_substring_dedup
 from .q_tokencount import op3_token_counts
 from .q_urlfilter import OP4_SQL, op4_url_filter
@@ -26,6 +29,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_voronoi_top_k": op10_voronoi_top_k,
+    "op11_simhash_duplicates": op11_simhash_duplicates,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
