@@ -1,20 +1,31 @@
-"""Bootstrap intervals as single Spark aggregates.
+"""Bootstrap intervals as Spark aggregates.
 
-Draws come from :mod:`benchcohort.functions.hashing`, so results depend only
-on (seed, replicate, unit key) and never on partitioning or task retries.
+Draws come from :mod:`benchcohort.functions.hashing` and
+:mod:`benchcohort.functions.sampling`, so results depend only on (seed,
+replicate, cell) and never on partitioning or task retries.
+
+The units of a group are first collapsed to cells: a value and how many units
+have it (null is a value too). A replicate mean needs only how often each cell
+is drawn.
 
 * **Multinomial (B1)** — exactly n draws with replacement per replicate, as
-  the reference's ``sample(x, replace=TRUE)``. Units are numbered by range
-  partition and block offsets, and draws are made in blocks, so no task holds
-  a group or a replicate; the work is n x R draw rows whatever the size.
-* **Poisson (B2)** — every unit gets an independent Poisson(1) weight per
-  replicate; the replicate mean is sum(w x) / sum(w). Map-side partial
-  aggregation keeps the shuffle at groups x R x partitions, independent of n.
-  Each unit costs one md5 (its stream base); replicate weights are integer
-  mixes of that base, so the per-replicate work stays in whole-stage codegen.
-  Rows expand by R / 8 (eight replicates share one exploded row).
-
-The caller names the method; it never depends on the data's size.
+  the reference's ``sample(x, replace=TRUE)``. Values that at least ``LEAF``
+  units share, and null, are leaves of their own; the other cells are dealt in
+  order into leaves of at most 2 LEAF units. The n draws fall onto the leaves
+  by conditional binomial draws along the binary digits of the leaf numbers,
+  one draw for each pair of halves, whatever n is. A leaf of one value needs no
+  more; within a leaf of several, each draw picks a unit.
+* **Poisson (B2)** — every unit has an independent Poisson(1) weight per
+  replicate, so a cell of c units has one Poisson(c) weight; the replicate mean
+  is sum(w x) / sum(w).
+
+So few-valued scores cost cells x R draws however many units there are, and no
+unit is joined or copied R times by either. A task holds a group's leaves (one
+for LEAF / 2 units at most) or the cells of a leaf.
+
+``form="rows"`` draws unit by unit instead: for B1, n x R draw rows joined to
+the numbered units; for B2, a weight for each unit and replicate. The caller
+names method and form; neither depends on the data's size.
 """
 
 from __future__ import annotations
@@ -24,12 +35,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binomial import let
 from ..functions.hashing import h, poisson1_of, stream
-from ..session import cut_lineage, spread
+from ..functions.sampling import binomial_draw, poisson_draw
+from ..session import cut_lineage
 from .stats import prefix_sums
 
 PROBS = (0.5, 0.025, 0.975)
 METHODS = ("multinomial", "poisson")
+FORMS = ("cells", "rows")
+LEAF = 32  # units from which a value is a leaf of its own
+REPLICATE_BLOCK = 50  # replicates of a group that one row stands for until they are drawn
 DRAW_BLOCK = 100_000  # draws of a replicate that one exploded row stands for
 
 
@@ -42,7 +58,7 @@ def _replicate_quantiles(reps: DataFrame, keys: Sequence[str], stat: str) -> Dat
     def q(p: float):
         h = (F.size("_v") - 1) * F.lit(p)
         lo, hi = F.floor(h).cast("int"), F.ceil(h).cast("int")
-        v_lo, v_hi = F.element_at("_v", lo + 1), F.element_at("_v", hi + 1)
+        v_lo, v_hi = F.get("_v", lo), F.get("_v", hi)  # null for a group without any replicate mean
         return v_lo + (v_hi - v_lo) * (h - lo)
 
     return (reps.groupBy(*keys).agg(vals.alias("_v"))
@@ -105,70 +121,150 @@ def poisson_replicates(units: DataFrame, keys: Sequence[str], unit_key: Sequence
                    .select(*keys, "r", (F.try_divide(F.col("wx"), F.col("w")) / F.lit(float(scale))).alias("rep_mean")))
 
 
-def _replicates(units: DataFrame, keys: Sequence[str], order_key: str, value: str, R: int, seed: int,
-                method: str) -> tuple[DataFrame, DataFrame]:
-    """Replicate means by the named method and a materialised copy of the
-    units, so the point estimate reads the same checkpoint."""
-    if method not in METHODS:
-        raise ValueError(f"method must be one of {METHODS}")
+def _tasks(df: DataFrame) -> int:
+    """Tasks for rows of few bytes and much work, which AQE would put into one."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def cells_of(units: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, value, c): how many units of a group have each value; null is one of them."""
+    return units.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+
+
+def leaves_of(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, leaf, w, m, cells): a group's leaves, numbered from 0 in the order of their values.
+
+    A cell's leaf is the LEAF units of the group, in order of value, that its first
+    unit lies in, or the cell itself if it has that many or is null."""
+    numbered = prefix_sums(cells, keys, "v", ["c"])
+    alone = F.when(F.col("v").isNull(), 2).when(F.col("c") >= LEAF, 1).otherwise(0)
+    leaves = (numbered.withColumn("slot", F.floor((F.col("cum_c") - F.col("c")) / LEAF)).withColumn("alone", alone)
+              .groupBy(*keys, "slot", "alone")
+              .agg(F.sum("c").alias("w"), F.count(F.lit(1)).alias("m"), F.sort_array(F.collect_list(F.struct("v", "c"))).alias("cells")))
+    # null sorts first: its slot is the first one, before that slot's other leaves
+    order = F.when(F.col("alone") == 2, -1).otherwise(F.col("slot") * 2 + F.col("alone"))
+    return leaves.select(*keys, order.alias("place"), "w", "m", "cells")
+
+
+def multinomial_cells(units: DataFrame, keys: Sequence[str], value: str, R: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Replicate means by exact resampling of cells (B1), and the cells."""
+    keys = list(keys)
+    cells = cut_lineage(cells_of(units, keys, value))
+    leaves = cut_lineage(leaves_of(cells, keys))
+    # one row a group: its leaves, without the cells of those that have several
+    one = F.struct("place", "w", F.when(F.col("m") == 1, F.col("cells")[0]["v"]).alias("v"), (F.col("m") == 1).alias("single"))
+    groups = cut_lineage(leaves.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("leaves")))
+    depth = max((groups.agg(F.max(F.size("leaves"))).first()[0] or 1) - 1, 0).bit_length()
+    # weights of the nodes of each level: those leaves whose number ends in the node's binary digits
+    node = lambda level: F.sequence(F.lit(0), F.lit((1 << level) - 1))
+    shared = groups.withColumn(f"w{depth}", F.transform(node(depth), lambda i: F.coalesce(F.get(F.col("leaves"), i)["w"], F.lit(0))))
+    for level in range(depth - 1, -1, -1):
+        below = F.col(f"w{level + 1}")
+        shared = shared.withColumn(f"w{level}", F.transform(node(level), lambda i: F.get(below, i) + F.get(below, i + (1 << level))))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((R - 1) // REPLICATE_BLOCK)))
+    reps = (shared.withColumn("block", blocks).repartition(_tasks(units), *keys, "block")
+            .withColumn("r", F.explode(F.sequence(F.col("block") * REPLICATE_BLOCK,
+                                                  F.least((F.col("block") + 1) * REPLICATE_BLOCK, F.lit(R)) - 1)))
+            .withColumn("base", h(seed, F.col("r"))).withColumn("k0", F.transform("w0", lambda w: w.cast("double"))))
+    for level in range(depth):
+        here, total, below = (F.col(f"{x}{level + d}") for x, d in (("k", 0), ("w", 0), ("w", 1)))
+
+        def first_half(k, i):
+            share = F.when(F.get(total, i) > 0, F.get(below, i) / F.get(total, i)).otherwise(F.lit(0.0))
+            return binomial_draw(k, share, stream(F.col("base"), i + (1 << level)))
+
+        reps = reps.withColumn(f"k{level + 1}", let(F.transform(here, first_half), lambda some: F.concat(
+            some, F.zip_with(here, some, lambda k, x: k - x))))
+    reps = reps.withColumn("drawn", F.filter(F.arrays_zip(F.col(f"k{depth}").alias("k"), "leaves", node(depth).alias("i")),
+                                             lambda x: x["k"] > 0)).select(*keys, "r", "base", "drawn")
+    known = F.aggregate("drawn", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n")), lambda t, x: F.when(
+        x["leaves"]["single"] & x["leaves"]["v"].isNotNull(),
+        F.struct((t["s"] + x["k"] * x["leaves"]["v"]).alias("s"), (t["n"] + x["k"]).alias("n"))).otherwise(t))
+    several = F.filter("drawn", lambda x: ~x["leaves"]["single"])
+    reps = cut_lineage(reps.select(*keys, "r", "base", known.alias("known"), several.alias("several")))
+    # draws within leaves of several values: all replicates of a leaf meet its cells in one row
+    wanted = (reps.select(*keys, "r", "base", F.explode("several").alias("x"))
+              .groupBy(*keys, F.col("x.leaves.place").alias("place"), F.col("x.i").alias("i"))
+              .agg(F.collect_list(F.struct("r", "base", F.col("x.k").cast("int").alias("k"))).alias("asked")))
+    held = wanted.join(leaves.filter("m > 1").select(*keys, "place", "w", "cells"), [*keys, "place"])
+    values = F.flatten(F.transform("cells", lambda x: F.array_repeat(x["v"], x["c"].cast("int"))))
+
+    def picked(x):
+        return let(stream(stream(x["base"], 0), F.col("i")), lambda base: F.aggregate(
+            F.sequence(F.lit(1), x["k"]), F.lit(0.0), lambda t, j: t + F.get(F.col("values"), F.pmod(stream(base, j), F.col("w")).cast("int"))))
+
+    parts = (held.select(*keys, "i", "w", values.alias("values"), "asked")
+             .select(*keys, F.explode(F.transform("asked", lambda x: F.struct(x["r"].alias("r"), picked(x).alias("s"), x["k"].cast("double").alias("n")))).alias("x"))
+             .select(*keys, "x.r", "x.s", "x.n"))
+    total = (reps.select(*keys, "r", "known.s", "known.n").unionByName(parts)
+             .groupBy(*keys, "r").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    return total.select(*keys, "r", F.try_divide("s", "n").alias("rep_mean")), cells
+
+
+def poisson_cells(units: DataFrame, keys: Sequence[str], value: str, R: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Replicate means by a Poisson(c) weight for each cell of c units (B2), and the cells."""
+    keys = list(keys)
+    cells = cut_lineage(cells_of(units, keys, value))
+    base = h(seed, *[F.coalesce(F.col(k).cast("string"), F.lit("NA")) for k in keys], F.col("v").cast("decimal(38,6)"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((R - 1) // REPLICATE_BLOCK)))
+    draws = (cells.filter("v IS NOT NULL").withColumn("base", base).withColumn("block", blocks)
+             .repartition(_tasks(units), *keys, "v", "block")
+             .withColumn("r", F.explode(F.sequence(F.col("block") * REPLICATE_BLOCK,
+                                                   F.least((F.col("block") + 1) * REPLICATE_BLOCK, F.lit(R)) - 1)))
+             .withColumn("own", stream(F.col("base"), F.col("r"))))
+    # one unit's weight needs no loop
+    weight = F.when(F.col("c") == 1, poisson1_of(stream(F.col("own"), 1)).cast("double")).otherwise(poisson_draw(F.col("c"), F.col("own")))
+    total = (draws.select(*keys, "r", "v", weight.alias("w")).groupBy(*keys, "r")
+             .agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("n")))
+    return total.select(*keys, "r", F.try_divide("s", "n").alias("rep_mean")), cells
+
+
+def _replicates(units: DataFrame, keys: Sequence[str], order_key: str, value: str, R: int, seed: int, method: str,
+                form: str) -> tuple[DataFrame, DataFrame, str, Column]:
+    """Replicate means by the named method and form; and materialised units or
+    cells with their value column and weight, for the point estimate."""
+    if method not in METHODS or form not in FORMS:
+        raise ValueError(f"method must be one of {METHODS} and form one of {FORMS}")
+    if form == "cells":
+        reps, cells = (multinomial_cells if method == "multinomial" else poisson_cells)(units, keys, value, R, seed)
+        return reps, cells, "v", F.col("c")
     if method == "multinomial":
-        return multinomial_replicates(units, keys, order_key, value, R, seed)
+        return *multinomial_replicates(units, keys, order_key, value, R, seed), value, F.lit(1)
     base = cut_lineage(units.select(*keys, order_key, value))
     reps = poisson_replicates(base.filter(F.col(value).isNotNull()), keys, [F.col(order_key)], F.col(value), R, seed)
-    return reps, base
-
-
-def poisson_bootstrap(units: DataFrame, keys: Sequence[str], unit_key: Sequence[Column], value: Column,
-                      R: int, seed: int, scale: int = 1, width: int = 8, rebalance: bool = False) -> DataFrame:
-    """B2 in one pass over the units: point estimate (n, mean) and the
-    replicate percentiles come from the same exploded aggregate (block 0
-    also carries the plain count and sum)."""
-    blocks = (R + width - 1) // width
-    base = units.select(*keys, h(seed, *unit_key).alias("_h0"), value.cast("bigint").alias("_x"))
-    if rebalance:  # input with fewer splits than cores: spread the narrow rows before the R-fold work
-        base = spread(base)
-    exploded = base.select(*keys, "_h0", "_x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    first = F.col("_b") == 0
-    aggs = [F.sum(F.when(first, 1).otherwise(0)).cast("bigint").alias("_n"),
-            F.sum(F.when(first, F.col("_x")).otherwise(0)).alias("_sx")]
-    for j in range(width):
-        wj = poisson1_of(stream(F.col("_h0"), F.col("_b") * width + j)).cast("bigint")
-        aggs.append(F.sum(wj * F.col("_x")).alias(f"_wx{j}"))
-        aggs.append(F.sum(wj).alias(f"_w{j}"))
-    # groups x blocks rows: checkpoint so both outputs come from one pass
-    # over the units (otherwise Catalyst prunes the point branch into a
-    # second, narrower scan).
-    per_block = cut_lineage(exploded.groupBy(*keys, "_b").agg(*aggs))
-    point = per_block.filter(F.col("_b") == 0).select(
-        *keys, F.col("_n").alias("n"), (F.col("_sx") / F.col("_n") / F.lit(float(scale))).alias("mean"))
-    stacked = per_block.select(*keys, F.explode(F.array(*[
-        F.struct((F.col("_b") * width + j).alias("r"), F.col(f"_wx{j}").alias("wx"), F.col(f"_w{j}").alias("w"))
-        for j in range(width)])).alias("_s"))
-    reps = (stacked.select(*keys, "_s.r", "_s.wx", "_s.w").filter(F.col("r") < R)
-                   .select(*keys, (F.try_divide(F.col("wx"), F.col("w")) / F.lit(float(scale))).alias("rep_mean")))
-    return point.join(_replicate_quantiles(reps, keys, "rep_mean"), list(keys))
+    return reps, base, value, F.lit(1)
 
 
 def bootstrap_distribution(units: DataFrame, keys: Sequence[str], order_key: str, value: str,
-                           R: int, seed: int, method: str = "multinomial") -> DataFrame:
+                           R: int, seed: int, method: str = "multinomial", form: str = "cells") -> DataFrame:
     """n = non-null count, Center = median of replicate means, 2.5/97.5 %
     limits. Nulls stay in the resampling population and are ignored in each
     replicate mean (the reference's ``mean(sample(x), na.rm=TRUE)``)."""
-    reps, base = _replicates(units, keys, order_key, value, R, seed, method)
+    reps, base, v, weight = _replicates(units, keys, order_key, value, R, seed, method, form)
     q = _replicate_quantiles(reps, keys, "rep_mean")
-    n = base.groupBy(*keys).agg(F.count(value).alias("n"))
+    n = base.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col(v).isNotNull(), weight)), F.lit(0)).cast("bigint").alias("n"))
     return (n.join(q, list(keys))
              .select(*keys, "n", F.col("Median").alias("Center"), "L95", "U95"))
 
 
 def bootstrap_mean_ci(units: DataFrame, keys: Sequence[str], order_key: str, value: str,
-                      R: int, seed: int, method: str = "multinomial") -> DataFrame:
+                      R: int, seed: int, method: str = "multinomial", form: str = "cells") -> DataFrame:
     """Nulls dropped first; Center = plain mean, limits from R replicate
     means; returns mean, lcl, ucl, n, R, seed."""
     clean = units.select(*keys, order_key, value).filter(F.col(value).isNotNull())
-    reps, base = _replicates(clean, keys, order_key, value, R, seed, method)
+    reps, base, v, weight = _replicates(clean, keys, order_key, value, R, seed, method, form)
     q = _replicate_quantiles(reps, keys, "rep_mean")
-    point = base.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    n = F.sum(weight).cast("bigint")
+    point = base.groupBy(*keys).agg((F.sum(F.col(v) * weight) / n).alias("mean"), n.alias("n"))
     return (point.join(q, list(keys))
                  .select(*keys, "mean", F.col("L95").alias("lcl"), F.col("U95").alias("ucl"), "n",
                          F.lit(R).alias("R"), F.lit(seed).alias("seed")))
+
+
+def poisson_summary(units: DataFrame, keys: Sequence[str], value: str, R: int, seed: int) -> DataFrame:
+    """B2 on cells with its point estimate: n, mean, median and limits of the replicate means."""
+    reps, cells = poisson_cells(units, keys, value, R, seed)
+    n = F.sum(F.when(F.col("v").isNotNull(), F.col("c")))
+    point = cells.groupBy(*keys).agg(n.alias("n"), (F.sum(F.col("v") * F.col("c")) / n).alias("mean"))
+    return point.join(_replicate_quantiles(reps, keys, "rep_mean"), list(keys))

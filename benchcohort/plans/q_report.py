@@ -44,9 +44,9 @@ def score_rows(spark, sf):
 
 def _sql() -> str:
     clean_cases = replace_rules_sql("raw_model", MODEL_CLEAN_RULES["cases"])
-    hb = _multinomial_sql("scores", ["model", "run_id", "grp"], "conversation_id", "score", R_RUBRIC, SEED,
+    hb = _multinomial_sql("scores", ["model", "run_id", "grp"], "score", R_RUBRIC, SEED,
                           drop_null=True, prefix="hb")
-    cp = _multinomial_sql("cp_acc", ["Model_Orig"], "case_id", "correct", R_CASES, SEED, drop_null=False,
+    cp = _multinomial_sql("cp_acc", ["Model_Orig"], "correct", R_CASES, SEED, drop_null=False,
                           prefix="cp")
     rubric_ctes = GROUPING_SQL.replace("WITH ", "", 1)
     return (_RESCALED_SQL_CTES + ",\n" + _BADGE_SQL_CTES.replace("WITH RECURSIVE ", "") + ",\n" + rubric_ctes

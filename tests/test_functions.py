@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from benchcohort.functions import hashing
-from benchcohort.functions.binomial import exact_binomial_ci, exact_binomial_ci_py
+from benchcohort.functions.binomial import exact_binomial_ci, exact_binomial_ci_py, fraction_terms
 from benchcohort.functions.rules import (CANONICAL_MODEL_RULES, rename_columns, resolve_assign_rules)
 
 KNOWN = [(50, 100, 0.398321, 0.601679), (862, 1000, 0.839057, 0.882786),
@@ -49,6 +49,34 @@ def test_stream_matches_sql_twin(spark):
     assert all(0 <= v < 2 ** 32 for v in got.values())
 
 
+@pytest.mark.parametrize("conf", [0.5, 0.95, 0.999])
+def test_exact_limits_solve_their_equation_for_any_n(spark, conf):
+    """By the JVM's own incomplete beta function, half of what is left out lies beyond each limit, give or take 1e-10."""
+    tail = spark._jvm.org.apache.commons.math3.special.Beta.regularizedBeta
+    cases = sorted({(min(n, round(f * n)), n) for n in (1, 2, 7, 40, 10**3, 10**5, 10**7, 10**10)
+                    for f in (0, 1e-9, 1e-4, 0.03, 0.5, 0.97, 1)} | {(1, 10**9), (10**9 - 1, 10**9)})
+    df = spark.createDataFrame(cases, "x long, n long")
+    half, off = (1 - conf) / 2, 1e-10
+    for r in df.select("x", "n", exact_binomial_ci(F.col("x"), F.col("n"), conf).alias("ci")).collect():
+        lo, hi = r.ci
+        assert (lo == 0.0) == (r.x == 0) and (hi == 1.0) == (r.x == r.n)
+        above = lambda p: tail(min(max(p, 0.0), 1.0), float(r.x), float(r.n - r.x + 1), 1e-15, 10**6)
+        if r.x > 0:
+            assert above(lo - off) <= half <= above(lo + off)
+            assert lo < 1e-6 or above(lo) == pytest.approx(half, rel=1e-5)
+        below = lambda q: tail(min(max(q, 0.0), 1.0), float(r.n - r.x), float(r.x + 1), 1e-15, 10**6)
+        if r.x < r.n:
+            assert below(1 - hi - off) <= half <= below(1 - hi + off)
+
+
+def test_exact_limits_cost_the_same_for_any_n(spark):
+    """The number of terms depends on the confidence alone."""
+    rows = lambda n: spark.createDataFrame([(n // 3, n)], "x long, n long")
+    plans = [rows(n).select(exact_binomial_ci(F.col("x"), F.col("n"))).first()[0] for n in (10**2, 10**10)]
+    assert plans[0].ucl - plans[0].lcl > 1000 * (plans[1].ucl - plans[1].lcl) > 0
+    assert fraction_terms(0.95) < 130 and fraction_terms(0.999) < fraction_terms(0.5) < 1000
+
+
 def test_poisson_weights_have_mean_one(spark):
     df = spark.range(0, 200000).select(hashing.poisson1_of(hashing.stream(F.lit(12345), F.col("id"))).alias("w"))
     row = df.agg(F.avg("w").alias("m"), F.variance("w").alias("v")).first()

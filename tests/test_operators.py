@@ -139,13 +139,67 @@ def test_bootstrap_method_is_named(spark, monkeypatch):
     df = spark.createDataFrame(rows, "g string, k long, v double")
     out = intervals.bootstrap_mean_ci(df, ["g"], "k", "v", 200, 1, method="poisson").first()
     assert out.lcl < out.mean < out.ucl
-    whole = intervals.bootstrap_mean_ci(df, ["g"], "k", "v", 50, 1).first()
+    whole = intervals.bootstrap_mean_ci(df, ["g"], "k", "v", 50, 1, form="rows").first()
     monkeypatch.setattr(intervals, "DRAW_BLOCK", 7)  # blocks change nothing
-    assert intervals.bootstrap_mean_ci(df, ["g"], "k", "v", 50, 1).first() == whole
+    assert intervals.bootstrap_mean_ci(df, ["g"], "k", "v", 50, 1, form="rows").first() == whole
+    whole = intervals.bootstrap_mean_ci(df, ["g"], "k", "v", 60, 1).first()
+    monkeypatch.setattr(intervals, "REPLICATE_BLOCK", 7)
+    assert intervals.bootstrap_mean_ci(df, ["g"], "k", "v", 60, 1).first() == whole
     with pytest.raises(ValueError):
         intervals.bootstrap_mean_ci(df, ["g"], "k", "v", 50, 1, method="auto")
 
 
+@pytest.mark.parametrize("method", intervals.METHODS)
+def test_cells_and_rows_draw_from_one_distribution(spark, method):
+    """Few and many values, heavy ones, nulls: means and spreads of replicate means, by either form."""
+    rng = np.random.default_rng(3)
+    groups = {"binary": (rng.random(900) < 0.2).astype(float).tolist(), "many": rng.normal(5, 2, 500).tolist(),
+              "mixed": [0.0] * 300 + [1.0] * 40 + rng.random(60).tolist() + [None] * 100, "one": [2.5], "null": [None] * 3}
+    rows = [(g, i, v) for g, vs in groups.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "g string, k long, v double")
+    R, found = 600, {}
+    for form in intervals.FORMS:
+        reps = intervals._replicates(df, ["g"], "k", "v", R, 9, method, form)[0]
+        found[form] = {r.g: r for r in reps.groupBy("g").agg(F.avg("rep_mean").alias("m"), F.stddev("rep_mean").alias("s"),
+                                                             F.count("rep_mean").alias("n")).collect()}
+    for g in ("binary", "many", "mixed"):
+        known = np.array([v for v in groups[g] if v is not None])
+        se = known.std() / np.sqrt(len(known))
+        for form in intervals.FORMS:
+            r = found[form][g]
+            assert r.n == R and abs(r.m - known.mean()) < 5 * se / np.sqrt(R)
+            assert r.s == pytest.approx(se, rel=0.2)
+    assert found["cells"]["one"].m == 2.5
+    assert "null" not in found["cells"] or found["cells"]["null"].m is None
+    out = intervals.bootstrap_distribution(df, ["g"], "k", "v", 100, 9, method).collect()
+    assert {r.g: r.n for r in out if r.n} == {g: sum(v is not None for v in vs) for g, vs in groups.items() if g != "null"}
+
+
+def test_multinomial_cells_draw_every_unit_once_on_average(spark, monkeypatch):
+    """Each replicate has exactly n draws, whatever the leaves; cell shares are right over all replicates."""
+    monkeypatch.setattr(intervals, "LEAF", 4)
+    rows = [(i, float(v)) for i, v in enumerate([0] * 50 + [1] * 3 + [2] * 30 + list(range(3, 40)))]
+    df = spark.createDataFrame(rows, "k long, v double").withColumn("g", F.lit("a"))
+    leaves = intervals.leaves_of(intervals.cells_of(df, ["g"], "v"), ["g"]).orderBy("place").collect()
+    assert sum(r.w for r in leaves) == len(rows) and max(r.w for r in leaves if r.m > 1) <= 8
+    assert [c.v for r in leaves for c in r.cells] == sorted({v for _, v in rows})
+    for value in (0.0, 2.0, 17.0):  # the mean of an indicator is the share drawn
+        one = df.withColumn("v", F.when(F.col("v") == value, 1.0).otherwise(F.col("v") * 1e-9))
+        shares = [r.rep_mean for r in intervals.multinomial_cells(one, ["g"], "v", 400, 5)[0].collect()]
+        n, p = len(rows), sum(v == value for _, v in rows) / len(rows)
+        assert all(abs(s * n - round(s * n)) < 1e-3 for s in shares)
+        assert abs(np.mean(shares) - p) < 5 * np.sqrt(p * (1 - p) / n / 400)
+
+
+def test_bootstrap_cost_does_not_grow_with_equal_units(spark):
+    """A million units of two values cost what their two cells cost."""
+    df = spark.range(1_000_000).select(F.lit("g").alias("g"), F.col("id").alias("k"), (F.col("id") % 4 == 0).cast("double").alias("v"))
+    r = intervals.bootstrap_mean_ci(df, ["g"], "k", "v", 1000, 4).first()
+    half = 1.96 * np.sqrt(0.1875 / 1e6)
+    assert r.mean == 0.25 and r.n == 1_000_000
+    assert r.lcl == pytest.approx(0.25 - half, abs=half / 5) and r.ucl == pytest.approx(0.25 + half, abs=half / 5)
+
+
 def test_edges_of_metrics_effects_codes_and_scorecard(spark):
     from benchcohort.functions.exact import fixed_moments, sd_from_moments
     from benchcohort.operators import cohort, effects, metrics, scorecard
