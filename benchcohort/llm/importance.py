@@ -188,7 +188,8 @@ def resample(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str
     ``percent`` of the documents with at least ``least_words`` words are drawn towards
     the texts of ``target``; the others have a null rank."""
     gains = bucket_gains(bucket_counts(docs, text, buckets), bucket_counts(target, "text", buckets))
-    scored = weigh(docs, gains, key, text).withColumn("score", F.col("weight") + gumbel(F.col("key"), seed))
+    # written once: sorting by ranges reads its input twice, for the bounds and for the rows
+    scored = cut_lineage(weigh(docs, gains, key, text).withColumn("score", F.col("weight") + gumbel(F.col("key"), seed)))
     return ranked(scored, F.col("n_words") >= least_words, percent).withColumnRenamed("key", key)
 
 

@@ -44,7 +44,7 @@ from .common import slices, texts_as_bytes
 
 DIRECT = 32  # periods under this are scanned for lag by lag; a power of two
 LEAST = 12  # words of the shortest run reported
-BATCH = 1 << 18  # words of short texts worked on together
+BATCH = 1 << 16  # words of short texts worked on together
 STEP = 64  # words compared at once when a seed is extended
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -300,7 +300,7 @@ def collapse(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
     keyed = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 250):
             done = 0
             for texts in groups(texts_as_bytes(batch.column(1))):
                 ids, offsets = numbered(texts)
