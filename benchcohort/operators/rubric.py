@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .scorecard import clean_model
+from .stats import checked_broadcast
 
 
 def latest_run(items: DataFrame, model: str = "model", run: str = "run_id") -> DataFrame:
@@ -14,15 +16,21 @@ def latest_run(items: DataFrame, model: str = "model", run: str = "run_id") -> D
 
     Aggregate-then-join rather than a window partitioned by model: a window
     would put every row of a hot model into one task. The per-model maximum
-    (one row per model) is materialised, counted and broadcast, so the item
-    table is filtered in place — it is never shuffled for the join.
+    (one row per model) is materialised, measured and broadcast, so the item
+    table is filtered in place — it is never shuffled for the join. Scores need
+    not read the items for this: they are filtered after their aggregate, by
+    :func:`latest_scores`.
     """
-    from ..session import cut_lineage
-    from .stats import checked_broadcast
     latest = cut_lineage(items.groupBy(model).agg(F.max(run).alias(run)))
     return items.join(checked_broadcast(latest), [model, run], "left_semi")
 
 
+def latest_scores(scores: DataFrame) -> DataFrame:
+    """Scores of each model's latest run (J1 after A5 or A6): every run is scored
+    in one pass over the items, and the run is chosen on the scores."""
+    return latest_run(cut_lineage(scores))
+
+
 def score_expr(points: str = "points", met: str = "criterion_met"):
     """sum(points * met) / sum(positive points); null when the denominator is
     0 (R's NaN/-Inf) or when any term is null (R's NA propagation) (A5, P14)."""

@@ -11,7 +11,7 @@ from ..functions.rules import MODEL_CLEAN_RULES, replace_rules_sql
 from ..operators import intervals, rubric
 from ..operators.scorecard import build_scorecard, clean_model
 from .inputs import CASES_SQL, cases
-from .q_rubric import GROUPING_SQL, R_CASES, R_RUBRIC, SEED, _latest, _multinomial_sql, _title_sql
+from .q_rubric import GROUPING_SQL, R_CASES, R_RUBRIC, SEED, _multinomial_sql, _title_sql, latest_grouped
 from .q_sources import _BADGE_SQL_CTES, _RESCALED_SQL_CTES, _badge_scores_rows, _rescaled
 from .registry import query, r6
 from .sqlparts import scorecard_ctes
@@ -24,7 +24,7 @@ ROUNDED = {"Center", "L95", "U95", "Center_Best", "Center_Base", "L95_Base", "U9
 
 def score_rows(spark, sf):
     # Rubric: T2 bootstrap per (model, run, group); the bench label is the group title.
-    scores = rubric.grouping_set_scores(_latest(spark, sf))
+    scores = latest_grouped(spark, sf)
     hb = intervals.bootstrap_mean_ci(scores, ["model", "run_id", "grp"], "conversation_id", "score", R_RUBRIC, SEED)
     hb = hb.select(rubric.bench_title(F.col("grp")).alias("Bench"), F.col("model").alias("Model_Orig"), "n",
                    F.col("mean").alias("Center"), F.col("lcl").alias("L95"), F.col("ucl").alias("U95"))

@@ -48,28 +48,33 @@ scores AS (
 )"""
 
 
-def _latest(spark, sf):
-    return rubric.latest_run(rubric.cleaned(rubric_input(spark, sf)))
+def _items(spark, sf):
+    return rubric.cleaned(rubric_input(spark, sf))
+
+
+def latest_grouped(spark, sf):
+    """Grouping-set scores of each model's latest run."""
+    return rubric.latest_scores(rubric.grouping_set_scores(_items(spark, sf)))
 
 
 @query("latest_run", sql=RUBRIC_CTES + """
 SELECT model, run_id, conversation_id, rubric_criterion_index, points, criterion_met FROM latest""")
 def latest_run(spark, sf):
-    return _latest(spark, sf).select("model", "run_id", "conversation_id", "rubric_criterion_index",
-                                     "points", "criterion_met")
+    return rubric.latest_run(_items(spark, sf)).select("model", "run_id", "conversation_id", "rubric_criterion_index",
+                                                       "points", "criterion_met")
 
 
 @query("rubric_score", sql=RUBRIC_CTES + f"""
 SELECT model, run_id, conversation_id, {_SCORE_SQL} AS score
 FROM latest GROUP BY model, run_id, conversation_id""")
 def rubric_score(spark, sf):
-    return rubric.conversation_scores(_latest(spark, sf))
+    return rubric.latest_scores(rubric.conversation_scores(_items(spark, sf)))
 
 
 @query("rubric_grouping_sets", sql=GROUPING_SQL + """
 SELECT model, run_id, grp, conversation_id, score FROM scores""")
 def rubric_grouping_sets(spark, sf):
-    return rubric.grouping_set_scores(_latest(spark, sf))
+    return latest_grouped(spark, sf)
 
 
 def _title_sql(x: str) -> str:
@@ -82,7 +87,7 @@ def _title_sql(x: str) -> str:
 @query("title_label", sql=GROUPING_SQL + f"""
 SELECT grp, {_title_sql('grp')} AS Bench FROM (SELECT DISTINCT grp FROM scores)""")
 def title_label(spark, sf):
-    grps = rubric.grouping_set_scores(_latest(spark, sf)).select("grp").distinct()
+    grps = latest_grouped(spark, sf).select("grp").distinct()
     return grps.select("grp", rubric.bench_title(F.col("grp")).alias("Bench"))
 
 
@@ -192,7 +197,7 @@ SELECT s.model, s.run_id, s.grp, round(s.mean_v, 6) AS mean, round(q.q025, 6) AS
        CAST(s.n_nonnull AS BIGINT) AS n, {R_RUBRIC} AS R, {SEED} AS seed
 FROM bs_sizes s JOIN bs_q q ON s.model = q.model AND s.run_id = q.run_id AND s.grp = q.grp""")
 def bootstrap_mean_ci(spark, sf):
-    scores = rubric.grouping_set_scores(_latest(spark, sf))
+    scores = latest_grouped(spark, sf)
     out = intervals.bootstrap_mean_ci(scores, ["model", "run_id", "grp"], "conversation_id", "score",
                                       R_RUBRIC, SEED)
     return out.select("model", "run_id", "grp", r6("mean"), r6("lcl"), r6("ucl"), "n",
@@ -205,7 +210,7 @@ SELECT p.model, p.run_id, p.grp, round(p.mean_v, 6) AS mean, round(q.q025, 6) AS
        CAST(p.n AS BIGINT) AS n
 FROM pw_point p JOIN pw_q q ON p.model = q.model AND p.run_id = q.run_id AND p.grp = q.grp""")
 def bootstrap_mean_ci_poisson(spark, sf):
-    scores = rubric.grouping_set_scores(_latest(spark, sf))
+    scores = latest_grouped(spark, sf)
     out = intervals.bootstrap_mean_ci(scores, ["model", "run_id", "grp"], "conversation_id", "score",
                                       R_RUBRIC, SEED, method="poisson")
     return out.select("model", "run_id", "grp", r6("mean"), r6("lcl"), r6("ucl"), "n")

@@ -1,9 +1,8 @@
 """File sources and sinks.
 
-Small control files (one JSON array per benchmark run) are written through
-the Hadoop FileSystem API of the session, so the same code writes to a
-local folder in tests and to the cluster's shared store in production.
-Bulk data is always read and written by Spark itself.
+Bulk data is read and written by Spark itself; trees of stats files are written
+by the executors through the data source of :mod:`.statfiles`. The driver lists
+folders and writes single control files through the session's Hadoop FileSystem.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .statfiles import StatFiles
+
 # Schema of one record in a benchmark stats file (explicit: run directories
 # contain ':' which breaks schema inference and globbing).
 STAT_RECORD_DDL = ("name STRUCT<name: STRING, split: STRING, perturbation: STRUCT<name: STRING, "
@@ -75,24 +76,20 @@ def model_from_dir(d: Column) -> Column:
 def write_stat_files(spark: SparkSession, records: DataFrame, root: str, bench: str, model: str,
                      provider: str = "local", decoy: bool = True) -> int:
     """Write one ``stats.json`` (a JSON array) per (bench, model) run into
-    ``<root>/<bench>:model=<provider>_<model>,model_deployment=<provider>_<model>/``.
-
-    ``records`` are aggregated stat records (one per metric and
-    perturbation), so the per-run arrays are small; Spark serialises each
-    record and assembles the arrays, the driver only writes the files."""
-    arrays = (records.groupBy(F.col(bench).alias("_b"), F.col(model).alias("_m"))
-              .agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list(F.to_json(F.struct(
-                  "name", "count", "sum", "sum_squared", "min", "max", "mean", "variance", "stddev")))),
-                  F.lit("]")).alias("_json")))
-    n = 0
-    for row in arrays.toLocalIterator():
-        deployment = f"{provider}_{row['_m']}"
-        folder = f"{root.rstrip('/')}/{row['_b']}:model={deployment},model_deployment={deployment}"
-        write_text_file(spark, f"{folder}/stats.json", row["_json"])
-        if decoy:
-            write_text_file(spark, f"{folder}/instance_stats.json", '[{"instance_id": "decoy"}]')
-        n += 1
-    return n
+    ``<root>/<bench>:model=<provider>_<model>,model_deployment=<provider>_<model>/``
+    and return the number of runs.
+
+    Spark serialises each record and brings a run's records together in order;
+    executors stream them into files, which appear under ``root`` when all are
+    complete. No record passes through the driver."""
+    spark.dataSource.register(StatFiles)
+    run = [F.col(bench).alias("_b"), F.col(model).alias("_m")]
+    deployment = F.concat(F.lit(f"{provider}_"), F.col("_m"))
+    folder = F.concat(F.col("_b"), F.lit(":model="), deployment, F.lit(",model_deployment="), deployment)
+    rows = records.select(*run, F.to_json(F.struct("name", "count", "sum", "sum_squared", "min", "max", "mean", "variance", "stddev")).alias("record"))
+    rows = rows.select(folder.alias("folder"), "record").repartition("folder").sortWithinPartitions("folder", "record")
+    rows.write.format(StatFiles.name()).mode("append").option("root", root).option("decoy", str(decoy).lower()).save()
+    return records.select(*run).distinct().count()
 
 
 # ---------------------------------------------------------------- S4 / S6 / S7
@@ -136,8 +133,12 @@ def union_sources(frames: Iterable[DataFrame]) -> DataFrame:
 
 def write_partitioned(df: DataFrame, path: str, by: str) -> None:
     """Land a table as Parquet partitioned by ``by`` (e.g. the cohort by
-    index year) so later filters on it prune whole directories."""
-    df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
+    index year) so later filters on it prune whole directories.
+
+    Rows of one value come together so that a small value is one file, and
+    adaptive execution splits a value whose rows exceed the advisory partition
+    size: a hot year is several tasks and several files."""
+    df.hint("rebalance", F.col(f"`{by}`")).write.mode("overwrite").partitionBy(by).parquet(path)
 
 
 # ---------------------------------------------------------------- S5

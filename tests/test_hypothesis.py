@@ -47,7 +47,7 @@ def test_stream_matches_sql_twin_on_random_inputs(spark, pairs):
        st.sampled_from([0.0, 0.025, 0.5, 0.9, 1.0]))
 def test_exact_quantiles_match_numpy(spark, values, p):
     df = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double")
-    got = stats.exact_quantiles(df, "g", "v", [p], partitions=5).first().q
+    got = stats.exact_quantiles(df, "g", "v", [p]).first().q
     assert got == pytest.approx(float(np.quantile(np.array(values), p)), rel=1e-12, abs=1e-9)
 
 

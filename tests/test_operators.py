@@ -24,7 +24,7 @@ def test_exact_quantiles_hot_group_spread(spark):
     vals = rng.normal(size=3000)
     rows = [("hot", float(v)) for v in vals] + [("cold", float(v)) for v in vals[:10]]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {(r.g, r.p): r.q for r in stats.exact_quantiles(df, "g", "v", [0.1, 0.9], partitions=7).collect()}
+    got = {(r.g, r.p): r.q for r in stats.exact_quantiles(df, "g", "v", [0.1, 0.9]).collect()}
     assert got[("hot", 0.1)] == pytest.approx(np.quantile(vals, 0.1))
     assert got[("cold", 0.9)] == pytest.approx(np.quantile(vals[:10], 0.9))
 
@@ -149,6 +149,68 @@ def test_bootstrap_method_is_named(spark, monkeypatch):
         intervals.bootstrap_mean_ci(df, ["g"], "k", "v", 50, 1, method="auto")
 
 
+@pytest.mark.parametrize("bins,few", [(stats.BINS, stats.FEW), (4, 3), (64, 0)])
+def test_exact_quantiles_with_ties_outliers_and_odd_values(spark, monkeypatch, bins, few):
+    """Refinement ends at the exact order statistics whatever the spread of the values."""
+    monkeypatch.setattr(stats, "BINS", bins)
+    monkeypatch.setattr(stats, "FEW", few)
+    rng = np.random.default_rng(5)
+    groups = {"ties": [3.5] * 900 + rng.normal(size=100).tolist(), "huge": [1e300, -1e300, 5e-324, 1e-323, -0.0, 0.0, 1.0, 1.0 + 2**-52],
+              "normal": rng.normal(1e6, 1e-3, 300).tolist(), "one": [7.0], "lognormal": np.exp(rng.normal(0, 30, 200)).tolist(), None: [2.0, 1.0]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("ties", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = [0.0, 0.3, 0.5, 0.987, 1.0]
+    got = {(r.g, r.p): r for r in stats.exact_quantiles(df, "g", "v", probs).collect()}
+    assert set(got) == {(g, p) for g in groups for p in probs}
+    for g, vs in groups.items():
+        for p in probs:
+            x, h = sorted(vs), (len(vs) - 1) * p
+            low, high = x[int(np.floor(h))], x[int(np.ceil(h))]
+            assert got[g, p].q == (low if low == high else low + (high - low) * (h - np.floor(h))), (g, p)
+            assert got[g, p].n == len(vs)
+
+
+def test_tied_values_cost_one_count(spark):
+    """No shuffle of the plans that count carries a row for each of the tied rows."""
+    df = spark.range(0, 300_000, numPartitions=6).select(F.lit("g").alias("g"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(5).cast("double").alias("v"))
+    ends = stats.exact_quantiles(df, "g", "v", [0.25, 0.99]).collect()
+    x = np.sort(np.where(np.arange(300_000) % 10 == 0, np.arange(300_000), 5).astype(float))
+    assert [r.q for r in sorted(ends, key=lambda r: r.p)] == np.quantile(x, [0.25, 0.99]).tolist()
+    counted = df.groupBy("g", stats._first_bins(F.col("v"))).count()
+    assert counted.count() < 1000
+
+
+@pytest.mark.parametrize("seeds", [[7], [3, 1, 2], list(range(1, 101))])
+def test_seed_search_counts_every_seed(spark, seeds):
+    """Packed counters against the split applied seed by seed."""
+    from benchcohort.operators import split
+    rng = np.random.default_rng(2)
+    rows = [(i, int(rng.random() < 0.3), int(rng.random() < 0.6), float(i % 3)) for i in range(500)] + [(900, None, 1, 1.0)]
+    df = spark.createDataFrame(rows, "k long, a int, `b.c` int, d double").repartition(3)
+    weights = {"a": 1.0, "b.c": 0.25, "d": 2.0}
+    got = split.split_seed_search(df, "k", weights, seeds).collect()
+    clean, want = [r for r in rows if r[1] is not None], {}
+    for seed in seeds[:3]:
+        train = {r.k for r in split.hash_split(df.select("k"), "k", seed).filter("set = 'Train'").collect()}
+        sums = [(sum(r[j] for r in clean), sum(r[j] for r in clean if r[0] in train)) for j in (1, 2, 3)]
+        m = sum(r[0] in train for r in clean)
+        want[seed] = (m, sum(abs(w * s / 500 - w * t / m) for w, (s, t) in zip(weights.values(), sums)))
+    for r in got:
+        assert r.n_all == 500
+        if r.seed in want:
+            assert (r.n_train, pytest.approx(r.score, abs=1e-12)) == want[r.seed]
+    best = min(got, key=lambda r: (r.score, r.seed))
+    assert [r.seed for r in got if r.is_best] == [best.seed] and len(got) == len(seeds)
+
+
+def test_exact_split_sizes_are_whole_number_arithmetic(spark):
+    """0.7 x 90 falls short of 63 in floating point."""
+    from benchcohort.operators import split
+    for n in (90, 170, 10, 1, 0):
+        df = split.exact_size_split(spark.range(n).withColumnRenamed("id", "k"), "k", 3)
+        assert df.filter("set = 'Train'").count() == n * 7 // 10
+
+
 @pytest.mark.parametrize("method", intervals.METHODS)
 def test_cells_and_rows_draw_from_one_distribution(spark, method):
     """Few and many values, heavy ones, nulls: means and spreads of replicate means, by either form."""

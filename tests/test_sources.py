@@ -1,8 +1,10 @@
 """File sources and sinks on small fixtures written to a fresh folder."""
 
+import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from benchcohort.sources import files
@@ -60,3 +62,52 @@ def test_stats_scan_skips_lookalike_files_and_reads_colon_paths(spark):
     d = files.run_dir(F.col("file_path"))
     r = df.select(files.bench_from_dir(d).alias("b"), files.model_from_dir(d).alias("m"), "mean").collect()
     assert [tuple(x) for x in r] == [("medhallu", "m-rag", 0.9)]
+
+
+def test_hot_year_lands_in_several_files(spark, tmp_path):
+    """A year with most rows is split by its measured size; small years stay whole."""
+    df = spark.range(0, 400_000, numPartitions=4).select(F.when(F.col("id") % 50 == 0, 2001).otherwise(2000).alias("year"),
+                                                         F.md5(F.col("id").cast("string")).alias("x"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(1 << 20))
+    try:
+        files.write_partitioned(df, str(tmp_path / "t"), "year")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    count = {y: len(list((tmp_path / "t" / f"year={y}").glob("*.parquet"))) for y in (2000, 2001)}
+    assert count[2000] > 3 and count[2001] <= 2
+    assert spark.read.parquet(str(tmp_path / "t")).filter("year = 2000").count() == 392_000
+
+
+def test_stat_file_writer_commits_whole_folders(spark, tmp_path):
+    """Staged until the commit, nothing left of failed attempts; arrays of one and many records, odd names."""
+    from benchcohort.sources.statfiles import DECOY, FILE, STAGING, StatFilesWriter
+    root = tmp_path / "tree"
+    writer = StatFilesWriter(f"file://{root}", decoy=True)
+    rows = [("a:model=x_m,model_deployment=x_m", '{"n": 1}'), ("b c", '{"n": "é"}'), ("b c", '{"n": 3}')]
+    lost, kept = writer.write(iter(rows)), writer.write(iter(rows))
+    assert not list(root.glob(f"*/{FILE}")) and lost.staged != kept.staged
+    writer.commit([kept, None, writer.write(iter([]))])
+    assert sorted(p.parent.name for p in root.glob(f"*/{FILE}")) == sorted({f for f, _ in rows})
+    assert json.loads((root / "b c" / FILE).read_text()) == [{"n": "é"}, {"n": 3}]
+    assert json.loads((root / "b c" / DECOY).read_text()) and not (root / STAGING).exists()
+    writer.write(iter([("late", "{}")]))
+    writer.abort([])
+    assert not (root / STAGING).exists() and not (root / "late").exists()
+
+
+def test_stat_files_round_trip_with_a_failing_task(spark, tmp_path):
+    """All runs appear, or none."""
+    records = spark.createDataFrame([("b1", "m1", 1.0), ("b1", "m1", 2.0), ("b2", "m1", 3.0)], "bench string, model string, mean double")
+    name = F.struct(F.lit("acc").alias("name"), F.lit("test").alias("split"), F.lit(None).cast(
+        "struct<name:string,robustness:boolean,fairness:boolean,computed_on:string>").alias("perturbation"))
+    full = records.select("bench", "model", name.alias("name"), F.lit(1).cast("bigint").alias("count"),
+                          *[F.col("mean").alias(c) for c in ("sum", "sum_squared", "min", "max", "mean", "variance", "stddev")])
+    root = str(tmp_path / "ok")
+    assert files.write_stat_files(spark, full, root, "bench", "model") == 2
+    got = files.read_stat_files(spark, root)
+    assert sorted((files_row["mean"]) for files_row in got.collect()) == [1.0, 2.0, 3.0]
+    bad = full.withColumn("mean", F.when(F.col("bench") == "b2", F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("mean")))
+    with pytest.raises(Exception, match="lost"):
+        files.write_stat_files(spark, bad, str(tmp_path / "bad"), "bench", "model")
+    assert not list((tmp_path / "bad").glob("*/stats.json"))
