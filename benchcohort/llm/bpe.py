@@ -11,8 +11,9 @@ each merge makes a token of its own, a merge of rank r creates pairs of higher
 rank only, so one sweep over ascending ranks equals merging word by word.
 
 The work is one pass over the table, without shuffle: a task's memory holds a
-batch, its symbols and a word cache of at most ``CACHE_WORDS`` words, which is
-emptied when full. Encoded words, ids and decoded text follow the tokenizer
+batch, its symbols and two generations of a word cache, of ``CACHE_WORDS`` words
+and those of a batch each: when the newer one is full it becomes the older one,
+and words met again come back from there, so common words stay. Encoded words, ids and decoded text follow the tokenizer
 file's own rules: special tokens found in a text are matched before
 normalisation, letters are lower-cased after NFC, white space is dropped, and
 decoding joins the tokens by blanks, as a file without decoder asks.
@@ -31,6 +32,7 @@ import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -67,30 +69,25 @@ class BpeModel:
             raise ValueError(f"{path}: not a lower-casing BPE file with word ends")
         vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
         self.token_of = {i: t for t, i in vocab.items()}
-        self.first = [vocab[s] for s in byte_symbols()]
-        self.last = [vocab[s + end] for s in byte_symbols()]
-        #: both ids of a pair in one number -> rank; by rank: the pair and the token it makes
-        self.rank_of: dict[int, int] = {}
-        self.made: list[tuple[int, int, int]] = []
-        for rank, (a, b) in enumerate(model["merges"]):
-            self.rank_of[vocab[a] << 32 | vocab[b]] = rank
-            self.made.append((vocab[a], vocab[b], vocab[a + b]))
+        self.first = np.array([vocab[s] for s in byte_symbols()])
+        self.last = np.array([vocab[s + end] for s in byte_symbols()])
+        #: by rank: the pair and the token it makes; ranks by the left token and then the right one, and the other way
+        self.made = [(vocab[a], vocab[b], vocab[a + b]) for a, b in model["merges"]]
+        self.followed: dict[int, dict[int, int]] = {}
+        self.preceded: dict[int, dict[int, int]] = {}
+        for rank, (a, b, _) in enumerate(self.made):
+            self.followed.setdefault(a, {})[b] = rank
+            self.preceded.setdefault(b, {})[a] = rank
         if len({new for _, _, new in self.made}) != len(self.made):
             raise ValueError(f"{path}: a token is made by two merges")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token_of |= {i: t for t, i in self.special.items()}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.token_of |= {i: t for t, i in self.special.items()}
-        pattern = split["pattern"]["Regex"]
-        self.words = regex.compile(pattern)
-        #: letters and digits that only the regex module's newer Unicode tables know
-        newer = "".join(c for c in map(chr, range(0x530, 0x110000)) if unicodedata.category(c) == "Cn")
-        newer = "".join(regex.findall(r"[\p{L}\p{N}]", newer))
-        self.newer = regex.compile(f"[{newer}]") if newer else None
-        self.older_words = regex.compile(pattern.replace("[\\p{L}]", f"[\\p{{L}}--[{newer}]]")
-                                         .replace("[\\p{N}]", f"[\\p{{N}}--[{newer}]]")
-                                         .replace("[^\\s\\p{L}\\p{N}]", f"[^\\s[\\p{{L}}\\p{{N}}--[{newer}]]]"),
-                                         flags=regex.V1) if newer else self.words
+        #: the same by the ids as text
+        self.token_named = {str(i): t for i, t in self.token_of.items()}
+        self.name_of = {i: str(i) for i in self.token_of}
+        pairs = np.array([a << 32 | b for a, b, _ in self.made], np.int64)
+        self.pair_order = np.argsort(pairs)  # ranks in the order of the pairs
+        self.pairs = pairs[self.pair_order]
         pattern = split["pattern"]["Regex"]
         self.words = regex.compile(pattern)
         self.latin_words = latin_pattern(pattern)
@@ -98,8 +95,9 @@ class BpeModel:
         self.newer = frozenset(map(chr, [*self.stand_in, *self.lowered]))
         self.back = {v: k for k, v in self.stand_in.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        #: word -> (number of tokens, ids joined by blanks, tokens joined by blanks)
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        #: word -> ids joined by blanks, in two generations
+        self.cache: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def normalised(self, text: str) -> str:
         """NFC and lower case, each character by itself (no final sigma). White
@@ -127,103 +125,102 @@ class BpeModel:
             return self.latin_words.findall(plain)
         return self.words.findall(plain)
 
+    def pair_index(self, sym: np.ndarray, inside: np.ndarray) -> dict[int, list[int]]:
+        """Rank -> places of its pair, for the neighbours that are in one word."""
+        pair = sym[:-1] << 32 | sym[1:]
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        places = np.flatnonzero((self.pairs[at] == pair) & inside) if len(self.pairs) else np.zeros(0, np.int64)
+        rank = self.pair_order[at[places]]
+        order = np.argsort(rank, kind="stable")
+        ranks, starts = np.unique(rank[order], return_index=True)
+        return dict(zip(ranks.tolist(), (x.tolist() for x in np.split(places[order], starts[1:]))))
+
     def encode_words(self, words: Sequence[str]) -> list[list[int]]:
         """Token ids of distinct words, by the pair occurrence index over all of them."""
-        sym: list[int] = []
-        after: list[int] = []
-        starts: list[int] = []
-        first, last = self.first, self.last
-        for w in words:
-            starts.append(len(sym))
-            data = w.encode("utf-8")
-            sym += [first[b] for b in data[:-1]]
-            sym.append(last[data[-1]])
-            after += range(len(after) + 1, len(sym))
-            after.append(-1)
-        before = [-1] * len(sym)
-        rank_of = self.rank_of.get
-        index: dict[int, list[int]] = {}
-        for i, j in enumerate(after):
-            if j >= 0:
-                before[j] = i
-                rank = rank_of(sym[i] << 32 | sym[j])
-                if rank is not None:
-                    if rank in index:
-                        index[rank].append(i)
-                    else:
-                        index[rank] = [i]
+        if not words:
+            return []
+        coded = [w.encode() for w in words]
+        ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
+        data = np.frombuffer(b"".join(coded), np.uint8)
+        symbols = self.first[data]
+        symbols[ends - 1] = self.last[data[ends - 1]]
+        last_of_word = np.zeros(len(data), bool)
+        last_of_word[ends - 1] = True
+        index = self.pair_index(symbols, ~last_of_word[:-1])
+        after = np.where(last_of_word, -1, np.arange(1, len(data) + 1)).tolist()
+        before = np.where(np.r_[True, last_of_word[:-1]], -1, np.arange(-1, len(data) - 1)).tolist()
+        sym = symbols.tolist()
+        followed, preceded, made = self.followed, self.preceded, self.made
         heap = list(index)
         heapq.heapify(heap)
         while heap:
             rank = heapq.heappop(heap)
-            a, b, new = self.made[rank]
+            a, b, new = made[rank]
             places = index.pop(rank)
             if a == b:
                 places.sort()  # overlapping pairs merge from the left
+            rights, lefts = followed.get(new), preceded.get(new)
             for i in places:
                 j = after[i]
                 if j < 0 or sym[i] != a or sym[j] != b:
                     continue
                 k = after[j]
-                h = before[i]
                 sym[i], sym[j], after[i] = new, -1, k
                 if k >= 0:
                     before[k] = i
-                    rank = rank_of(new << 32 | sym[k])
-                    if rank is not None:
+                    if rights is not None and (rank := rights.get(sym[k])) is not None:
                         if rank in index:
                             index[rank].append(i)
                         else:
                             index[rank] = [i]
                             heapq.heappush(heap, rank)
-                if h >= 0:
-                    rank = rank_of(sym[h] << 32 | new)
-                    if rank is not None:
-                        if rank in index:
-                            index[rank].append(h)
-                        else:
-                            index[rank] = [h]
-                            heapq.heappush(heap, rank)
-        out = []
-        for i in starts:
-            ids = []
-            while i >= 0:
-                ids.append(sym[i])
-                i = after[i]
-            out.append(ids)
-        return out
+                if lefts is not None and (h := before[i]) >= 0 and (rank := lefts.get(sym[h])) is not None:
+                    if rank in index:
+                        index[rank].append(h)
+                    else:
+                        index[rank] = [h]
+                        heapq.heappush(heap, rank)
+        left = np.array(sym)
+        alive = left >= 0
+        kept = np.r_[0, np.cumsum(alive)[ends - 1]].tolist()
+        ids = left[alive].tolist()
+        return [ids[i:j] for i, j in zip(kept, kept[1:])]
 
     def learn(self, texts: Sequence[list[str]]) -> None:
-        """Bring the words of these texts into the cache."""
-        cache = self.cache
+        """Bring the words of these texts into the newer generation of the cache."""
         met = set().union(*texts)
-        unseen = met - cache.keys()
-        if len(cache) + len(unseen) > CACHE_WORDS:
-            cache.clear()
+        unseen = met - self.cache.keys()
+        if len(self.cache) + len(unseen) > CACHE_WORDS:
+            self.older, self.cache = self.cache, {}
             unseen = met
+        cache, older, name_of = self.cache, self.older, self.name_of
         for t, i in self.special.items():
-            cache[t] = (1, str(i), t)
-        fresh = [w for w in unseen if w not in self.special]
-        token_of = self.token_of
+            cache[t] = str(i)
+        known = unseen & older.keys()
+        cache.update((w, older[w]) for w in known)
+        fresh = [w for w in unseen - known if w not in self.special]
         for w, ids in zip(fresh, self.encode_words(fresh)):
-            cache[w] = (len(ids), " ".join(map(str, ids)), " ".join([token_of[i] for i in ids]))
+            cache[w] = " ".join([name_of[i] for i in ids])
 
-    def encode_batch(self, texts: Sequence[str | None]) -> tuple[list[int], list[str], list[str]]:
-        """Numbers of tokens, ids joined by blanks and decoded texts."""
+    def encode_batch(self, texts: Sequence[str | None]) -> tuple[list[int], list[str]]:
+        """Numbers of tokens, and ids joined by blanks."""
         cut = [self.pieces(t) if t else [] for t in texts]
         self.learn(cut)
         cache = self.cache
-        n, ids, decoded = [], [], []
-        for words in cut:
-            counts, numbers, tokens = zip(*map(cache.__getitem__, words)) if words else ((), (), ())
-            n.append(sum(counts))
-            ids.append(" ".join(numbers))
-            decoded.append(" ".join(tokens))
-        return n, ids, decoded
+        ids = [" ".join(map(cache.__getitem__, words)) for words in cut]
+        return [x.count(" ") + 1 if x else 0 for x in ids], ids
+
+    def decode_joined(self, ids: str | None) -> str:
+        """Text of ids joined by blanks; ids outside the vocabulary are passed over."""
+        names = (ids or "").split()
+        try:
+            return " ".join(map(self.token_named.__getitem__, names))
+        except KeyError:
+            return " ".join([self.token_named[i] for i in names if i in self.token_named])
 
     def decode(self, ids: Sequence[int]) -> str:
-        """Text of token ids; ids outside the vocabulary are passed over."""
-        return " ".join([self.token_of[i] for i in ids if i in self.token_of])
+        """Text of token ids."""
+        return self.decode_joined(" ".join(map(str, ids)))
 
 
 def is_latin(text: str) -> bool:
@@ -286,7 +283,8 @@ def groups_of(texts: Sequence[str | None], most: int) -> Iterator[tuple[int, int
 
 
 def bpe_encode(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keep`` plus n_tokens, ids (decimal, joined by blanks) and decoded."""
+    """``keep`` plus n_tokens, ids (decimal, joined by blanks) and decoded, the text
+    that :func:`bpe_decode` makes of the ids."""
     picked = docs.select(*keep, text)
     schema = T.StructType([*(picked.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids", T.StringType()), T.StructField("decoded", T.StringType())])
@@ -297,7 +295,8 @@ def bpe_encode(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), te
         for batch in slices(batches):
             texts = batch.column(n_keep).to_pylist()
             for a, b in groups_of(texts, OUT_CHARS):
-                n, ids, decoded = model.encode_batch(texts[a:b])
+                n, ids = model.encode_batch(texts[a:b])
+                decoded = list(map(model.decode_joined, ids))
                 kept = [batch.column(c).slice(a, b - a) for c in range(n_keep)]
                 yield pa.RecordBatch.from_arrays(
                     [*kept, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
@@ -315,7 +314,7 @@ def bpe_decode(encoded: DataFrame, path: str, keep: Sequence[str] = ("doc_id",),
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe_model(path)
         for batch in batches:
-            texts = [model.decode(list(map(int, (x or "").split()))) for x in batch.column(n_keep).to_pylist()]
+            texts = list(map(model.decode_joined, batch.column(n_keep).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array(texts, pa.string())],
                                              names=[*keep, "decoded"])
 

@@ -1,11 +1,13 @@
 """Token operators against the tokenizers library."""
 
+import hashlib
 import random
 
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from benchcohort.llm import bpe
 from benchcohort.llm.bpe import BpeModel, bpe_decode, bpe_encode
 from benchcohort.llm.tokencount import TokenTransducer, count_tokens
 
@@ -33,13 +35,36 @@ def texts():
 def test_bpe_equals_the_library(texts):
     model, library = BpeModel(WORD), Tokenizer.from_file(WORD)
     want = library.encode_batch(texts, add_special_tokens=False)
-    n, ids, decoded = model.encode_batch(texts)
+    n, ids = model.encode_batch(texts)
+    decoded = [model.decode_joined(x) for x in ids]
     for k, e in enumerate(want):
         assert n[k] == len(e.ids) and ids[k] == " ".join(map(str, e.ids)), repr(texts[k][:80])
         assert decoded[k] == library.decode(e.ids, skip_special_tokens=False)
         assert model.decode(e.ids) == decoded[k]
 
 
+def test_bpe_cache_of_two_generations_changes_nothing(texts, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 40)
+    small, large = BpeModel(WORD), BpeModel(WORD)
+    want = large.encode_batch(texts)
+    got = [small.encode_batch([t]) for t in texts]
+    assert [x for n, _ in got for x in n] == want[0] and [x for _, ids in got for x in ids] == want[1]
+    assert small.decode_joined("5 99999999 6 x") == small.decode([5, 6]) and small.decode_joined(None) == ""
+
+
+def test_bpe_query_columns_equal_the_library(spark, tmp_path):
+    from benchcohort.llm.queries import QUERIES
+    rows = documents()
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    library, sha = Tokenizer.from_file(WORD), lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = []
+    for k, t, *_ in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((str(k), len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    got = [(str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op2_bpe"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_transducer_equals_the_library(texts):
     library = Tokenizer.from_file(BYTE)
     want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
