@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,10 +27,21 @@ def n_shuffle(spark: SparkSession) -> int:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Batches of at most ``rows`` rows, so that a task never holds many texts as Python objects."""
+    """Batches of at most ``rows`` rows, so that a task never holds many texts as Python objects.
+
+    After the last one, memory that the allocators keep is given back: a worker lives
+    on for tasks of other stages, whose needs would come on top."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def texts_as_bytes(column: pa.Array) -> list[bytes | None]:

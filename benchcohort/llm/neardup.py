@@ -1,13 +1,16 @@
 """Near-duplicate detection with bottom-k sketches from one hash function.
 
 A document's set holds the 64-bit hashes of its distinct shingles of ``SHINGLE``
-words; its sketch is the ``K`` smallest of them. Documents with equal sets are
-collapsed first. The others meet in inverted lists of retained values: taking
-the values of a sketch in one global order, rarest first (counted by slot over
-all sketches), two sets that share at least ``SHARED`` of their ``INDEXED`` smallest
-must share one among the first INDEXED - SHARED + 1, so only those are indexed; two
-documents with similarity 0.85 share fewer with a probability below 1e-7. Sets smaller than a
-sketch are indexed by the same rule without any loss.
+words; its sketch is the ``K`` smallest of them, or the whole set up to ``WHOLE``.
+Documents with equal sets are collapsed first. The others meet in inverted lists of
+retained values, taken in one global order, rarest first (counted by slot over all
+sketches). Two whole sets of the wanted similarity share all but a few of either's
+values, so they share one of each's few rarest and one more; these are indexed, without
+any loss. A set that may have a partner beyond WHOLE is indexed by its ``INDEXED``
+smallest values: if two share at least ``SHARED`` of these they share one among the first
+INDEXED - SHARED + 1; two documents with similarity 0.85 share fewer with a probability
+below 1e-7. The two indexes have lists of their own. As many values of a short text are
+looked at, what it shares with very many others is indexed only where it is nearly all of it.
 
 Lists are not expanded into pairs. Each names ``HUBS`` members with the commonest
 values, the likely originals, and every member is paired with these only. Pairs
@@ -53,6 +56,8 @@ PERCENT = 85
 #: Values of a sketch; how many of its smallest are indexed from, and how many of
 #: those similar sketches share at least.
 K, INDEXED, SHARED = 128, 64, 38
+#: Values up to which a sketch is the whole set.
+WHOLE = 256
 #: Slots in which values are counted, and hubs of a list.
 SLOTS, HUBS = 1 << 20, 3
 #: Standard deviations by which an estimate may fall short of the similarity.
@@ -93,7 +98,7 @@ def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
             for s in shingle_sets(texts_as_bytes(batch.column(1))):
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sketches.append(s[:K].tobytes())
+                sketches.append((s if len(s) <= WHOLE else s[:K]).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())],
                 names=["doc_id", "n_shingles", "setkey", "sketch"])
@@ -103,11 +108,12 @@ def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def sketch_rows(column: pa.Array) -> np.ndarray:
-    """Sketches as rows of K values, short ones filled up."""
+    """Sketches as rows of as many values as the longest has, short ones filled up."""
     parts = column.to_pylist()
     sizes = np.array([len(p) // 8 for p in parts], np.int64)
-    out = np.full((len(parts), K), NO_VALUE, np.uint64)
-    out[np.arange(K) < sizes[:, None]] = np.frombuffer(b"".join(parts), np.uint64)
+    width = max(int(sizes.max(initial=0)), 1)
+    out = np.full((len(parts), width), NO_VALUE, np.uint64)
+    out[np.arange(width) < sizes[:, None]] = np.frombuffer(b"".join(parts), np.uint64)
     return out
 
 
@@ -119,8 +125,8 @@ def value_counts(reps: DataFrame) -> np.ndarray:
     """How many sketches hold a value of each slot."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            rows = sketch_rows(batch.column(0))[:, :INDEXED]
+        for batch in slices(batches):
+            rows = sketch_rows(batch.column(0))
             n += np.bincount(slots_of(rows[rows != NO_VALUE]), minlength=SLOTS)
         slot = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(n[slot])], names=["slot", "n"])
@@ -131,43 +137,50 @@ def value_counts(reps: DataFrame) -> np.ndarray:
     return out
 
 
-def indexed_values(n: np.ndarray) -> np.ndarray:
-    """How many values of a sketch must be indexed for a set of ``n``."""
-    # a partner of up to n / 0.85 values may be truncated only if that exceeds K
-    whole = n - -(-PERCENT * n // 100) + 1
-    return np.where(n * 100 <= PERCENT * INDEXED, whole, np.minimum(n, INDEXED) - SHARED + 1)
+def indexes_of(rows: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]]:
+    """(place of the sketches, their values, how many of them are indexed, mark of the lists) of each index."""
+    whole = np.flatnonzero(n <= WHOLE)
+    yield whole, rows[whole], n[whole] - -(-PERCENT * n[whole] // 100) + 1, np.uint64(0)
+    # a partner has n / 0.85 values at most
+    cut = np.flatnonzero(100 * n > PERCENT * WHOLE)
+    yield cut, rows[cut, :INDEXED], np.full(len(cut), INDEXED - SHARED + 1), np.uint64(1 << 63)
 
 
 def postings(reps: DataFrame, counts: np.ndarray) -> DataFrame:
     """value, rep, n, weight (how common the sketch's values are) for the indexed values."""
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n = batch.column(1).to_numpy()
-            rows = sketch_rows(batch.column(2))[:, :INDEXED]
-            there = rows != NO_VALUE
-            common = np.where(there, counts[slots_of(rows)], np.inf)
-            order = np.lexsort((rows, common), axis=1)
-            rows = np.take_along_axis(rows, order, axis=1)
-            weight = np.where(there, common, 0).sum(1) / np.maximum(there.sum(1), 1)
-            used = np.arange(INDEXED) < np.minimum(indexed_values(n), there.sum(1))[:, None]
-            owner = np.nonzero(used)[0]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[used].view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array(n[owner]),
-                 pa.array(weight[owner])], names=["value", "rep", "n", "weight"])
+            all_rows = sketch_rows(batch.column(2))
+            for at, rows, indexed, mark in indexes_of(all_rows, n):
+                there = rows != NO_VALUE
+                common = np.where(there, counts[slots_of(rows)], np.inf)
+                weight = np.where(there, common, 0).sum(1) / np.maximum(there.sum(1), 1)
+                order = np.lexsort((rows, common), axis=1)[:, :int(indexed.max(initial=0))]
+                rows = np.take_along_axis(rows, order, axis=1)
+                used = np.arange(rows.shape[1]) < indexed[:, None]
+                owner = np.nonzero(used)[0]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((rows[used] >> np.uint64(1) | mark).view(np.int64)), batch.column(0).take(pa.array(at[owner])),
+                     pa.array(n[at[owner]]), pa.array(weight[owner])], names=["value", "rep", "n", "weight"])
 
     return reps.select("rep", "n", "sketch").mapInArrow(post, "value long, rep long, n long, weight double")
 
 
 def estimates(a: np.ndarray, b: np.ndarray, truncated: np.ndarray) -> np.ndarray:
     """Similarity by union sketches; exact where neither side is truncated."""
-    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
-    real = both != NO_VALUE
-    twin = np.zeros(both.shape, bool)
-    twin[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
-    place = np.cumsum(real & ~twin, axis=1)  # of each value in the union, counted from 1
-    limit = np.where(truncated, K, 2 * K)
-    size = np.minimum(place[:, -1], limit)
-    return (twin & (place <= limit[:, None])).sum(1) / np.maximum(size, 1)
+    out = np.zeros(len(a))
+    for rows, limit in ((np.flatnonzero(truncated), K), (np.flatnonzero(~truncated), 2 * WHOLE)):
+        if not len(rows):
+            continue
+        both = np.sort(np.concatenate([a[rows, :limit], b[rows, :limit]], axis=1), axis=1)
+        real = both != NO_VALUE
+        twin = np.zeros(both.shape, bool)
+        twin[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+        place = np.cumsum(real & ~twin, axis=1)  # of each value in the union, counted from 1
+        size = np.minimum(place[:, -1], limit)
+        out[rows] = (twin & (place <= limit)).sum(1) / np.maximum(size, 1)
+    return out
 
 
 def passing(estimate: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -175,7 +188,7 @@ def passing(estimate: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     goal = PERCENT / 100
     union = np.maximum((na + nb) / (1 + goal), K)
     margin = DEVIATIONS * np.sqrt(goal * (1 - goal) / K * (1 - K / union)) + 1 / K
-    return estimate >= goal - np.where((na > K) | (nb > K), margin, 1e-9)
+    return estimate >= goal - np.where((na > WHOLE) | (nb > WHOLE), margin, 1e-9)
 
 
 def sizes_allow(a: str, b: str):
@@ -222,7 +235,7 @@ def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            truncated = (na > K) | (nb > K)
+            truncated = (na > WHOLE) | (nb > WHOLE)
             for k in range(0, len(na), BLOCK):
                 part = slice(k, k + BLOCK)
                 ok = passing(estimates(sketch_rows(batch.column(4)[part]), sketch_rows(batch.column(5)[part]), truncated[part]),
@@ -287,7 +300,7 @@ def solve_long_list(left: pa.Table, right: pa.Table) -> pa.Table:
             mine = x[k][x[k] != NO_VALUE]
             begin, end = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
             shared = np.bincount(np.concatenate([owners[i:j] for i, j in zip(begin.tolist(), end.tolist())]), minlength=len(y))
-            truncated = (ny > K) | (nx[k] > K)
+            truncated = (ny > WHOLE) | (nx[k] > WHOLE)
             # sharing bounds the similarity of truncated sketches from above, and is exact for whole ones
             most = np.where(truncated, shared / K, shared / np.maximum(nx[k] + ny - shared, 1))
             at = np.flatnonzero((joined[cy] != joined[cx[k]]) & passing(most, np.full(len(y), nx[k]), ny)
