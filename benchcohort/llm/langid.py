@@ -139,8 +139,10 @@ def fit_centroids(docs: DataFrame, text: str = "text", label: str = "lang", key:
         .join(F.broadcast(sizes), "label_").filter(F.col("place_") * F.col("size_") <= 4 * FIT_DOCS)
     ids = ids.withColumn("rn_", F.row_number().over(W.partitionBy("label_").orderBy("place_", "id_"))) \
         .filter(F.col("rn_") <= FIT_DOCS).select("id_").distinct()
-    # at most FIT_DOCS ids for each of at most MOST_LANGUAGES languages
-    chosen = train.join(F.broadcast(ids), F.col(key).eqNullSafe(F.col("id_"))).select(F.col(label).alias("label_"), text)
+    # at most FIT_DOCS ids for each of at most MOST_LANGUAGES languages, and one text (the least) for each id and label
+    chosen = train.select(F.col(key).alias("key_"), F.col(label).alias("label_"), F.col(text).alias("text_")) \
+        .join(F.broadcast(ids), F.col("key_").eqNullSafe(F.col("id_"))) \
+        .groupBy("id_", "label_").agg(F.min("text_").alias("text_")).select("label_", "text_")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

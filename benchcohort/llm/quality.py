@@ -5,18 +5,22 @@ negative: a logistic score is fitted by minimising the non-negative unbiased
 risk  pi E_P[l(+)] + max(0, E_U[l(-)] - pi E_P[l(-)]), where l is the logistic
 loss and pi the share of positives among the unlabelled. The prior pi is
 estimated from the data: over the sets {score > t} of a first positive-versus-
-unlabelled fit, the smallest ratio of the unlabelled to the positive share,
-measured on the half of the sample that the first fit has not seen.
+unlabelled fit, the smallest ratio of the unlabelled to the positive share, both
+measured on documents that the first fit has not seen.
 
 A text is described by what does not depend on its language: shares of pairs of
 adjacent character classes, how far words, adjacent words and lines repeat, and
-lengths. Fitting uses at most ``FIT_POSITIVE`` and ``FIT_UNLABELLED`` documents
-(those with the smallest hashes of their ids); scoring is one pass over whole
-texts, without shuffle.
-
-Defined results: a null text is scored as an empty one; with no positives or no
-unlabelled rows every score is the prior 0.5; repeated rows give repeated rows;
-an empty table gives none; columns that are not asked for are ignored.
+lengths. Means and scales of these, and the unlabelled shares that the prior rests
+on, are counted over all documents, a pass each. Only the gradients use samples, of
+at most ``FIT_POSITIVE`` trusted and ``FIT_UNLABELLED`` unlabelled documents (those
+with the smallest hashes of their ids). Scoring is one more pass over whole texts;
+nothing is shuffled but sums.
+
+Defined results: a null text is scored as an empty one; with fewer than two trusted
+or two unlabelled documents there is nothing to hold a fit against, and every score
+is 0.5; of rows that share an id one is fitted on (the least text) and each is
+scored; rows without an id count in the statistics; an empty table gives none;
+columns that are not asked for are ignored.
 """
 
 from __future__ import annotations
@@ -102,50 +106,87 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def descend(p: np.ndarray, u: np.ndarray, prior: float | None, rounds: int, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights by Adam on the non-negative PU risk; without a prior, on plain P-versus-U loss."""
+def losses(theta: np.ndarray, x: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Mean losses of rows taken as positive and as negative, and their derivatives by the rows' scores."""
+    z = x @ theta[:-1] + theta[-1]
+    s = sigmoid(z)
+    return np.logaddexp(0, -z).mean(), np.logaddexp(0, z).mean(), (s - 1) / len(x), s / len(x)
+
+
+def pu_risk(theta: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> float:
+    """The non-negative unbiased risk."""
+    p_plus, p_minus, *_ = losses(theta, p)
+    return prior * p_plus + max(0.0, losses(theta, u)[1] - prior * p_minus)
+
+
+def pu_gradient(theta: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float | None) -> np.ndarray:
+    """Direction of descent: the gradient of the risk, or, where the estimated negative risk falls
+    below zero, of what pushes it back up. Without a prior, of the plain P-versus-U loss."""
+    p_plus, p_minus, as_plus, as_minus = losses(theta, p)
+    _, u_minus, _, u_as_minus = losses(theta, u)
+    if prior is None:
+        dp, du = as_plus, u_as_minus
+    elif u_minus - prior * p_minus >= 0:
+        dp, du = prior * (as_plus - as_minus), u_as_minus
+    else:
+        dp, du = prior * as_minus, -u_as_minus
+    return np.r_[p.T @ dp + u.T @ du, dp.sum() + du.sum()]
+
+
+def descend(p: np.ndarray, u: np.ndarray, prior: float | None, rounds: int, decay: float = 1e-3) -> np.ndarray:
+    """Weights and bias by Adam, with a small decay of the weights."""
     theta = np.zeros(p.shape[1] + 1)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
-        w, b = theta[:-1], theta[-1]
-        zp, zu = p @ w + b, u @ w + b
-        sp, su = sigmoid(zp), sigmoid(zu)
-        # derivatives of the losses l(+) = log(1 + e^-z) and l(-) = log(1 + e^z)
-        up, down_p, down_u = (sp - 1) / len(p), sp / len(p), su / len(u)
-        if prior is None:
-            dp, du = up, down_u
-        else:
-            rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            # where the estimated negative risk falls below zero it is pushed back up
-            sign = 1.0 if rest >= 0 else -1.0
-            dp, du = (prior * up if rest >= 0 else 0 * up) - sign * prior * down_p, sign * down_u
-        grad = np.r_[p.T @ dp + u.T @ du + decay * w, dp.sum() + du.sum()]
+        grad = pu_gradient(theta, p, u, prior) + decay * np.r_[theta[:-1], 0.0]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= 0.03 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
-    return theta[:-1], float(theta[-1])
+    return theta
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Share of positives among ``u``, from a split of both samples."""
-    w, b = descend(p[::2], u[::2], None, 150)
-    sp, su = np.sort(p[1::2] @ w + b), np.sort(u[1::2] @ w + b)
-    cuts = np.quantile(sp, np.linspace(0.0, 0.7, 29))  # sets that keep 30 % of the positives or more
-    in_p = 1 - np.searchsorted(sp, cuts) / len(sp)
-    in_u = 1 - np.searchsorted(su, cuts) / len(su)
-    return float(np.clip((in_u / in_p).min(), 0.05, 0.98))
+def cuts_of(scores: np.ndarray) -> np.ndarray:
+    """Scores that 30 % or more of the positives reach."""
+    return np.quantile(scores, np.linspace(0.0, 0.7, 29))
 
 
-def fit_quality(docs: DataFrame, positives: DataFrame, key: str = "doc_id", text: str = "text") -> QualityModel:
-    """Fit on ``docs``; ``positives`` has the keys of its trusted documents.
+def reaching(scores: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many scores reach each cut."""
+    return len(scores) - np.searchsorted(np.sort(scores), cuts)
+
 
-    The unlabelled sample is drawn from all of ``docs``."""
+def prior_of(in_p: np.ndarray, in_u: np.ndarray) -> float:
+    """Share of positives among the unlabelled, from the shares that reach each cut."""
+    return float(np.clip((in_u / np.maximum(in_p, 1e-12)).min(), 0.05, 0.98))
+
+
+def totals(docs: DataFrame, text: str, of, names: str) -> np.ndarray:
+    """``of(features)`` (one row of numbers for any rows of features) added up over all
+    documents: each task adds up its own, and Spark the tasks', place by place."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = of(np.zeros((0, N_FEATURES)))
+        for batch in slices(batches):
+            total = total + of(described(batch.column(0)).astype(np.float64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["place", names])
+
+    added = docs.select(text).mapInArrow(work, f"place long, {names} double").groupBy("place").agg(F.sum(names).alias(names))
+    rows = sorted(added.collect())
+    return np.array([r[1] for r in rows]) if rows else of(np.zeros((0, N_FEATURES)))
+
+
+def moments(x: np.ndarray) -> np.ndarray:
+    return np.r_[float(len(x)), x.sum(0), (x * x).sum(0)]
+
+
+def fit_quality(docs: DataFrame, positives: DataFrame, key: str = "doc_id", text: str = "text") -> QualityModel:
+    """Fit on ``docs``; ``positives`` has the keys of its trusted documents."""
     ids = docs.select(F.col(key).alias("id_")).dropna()
     place_ids = place_of(ids)
     trusted = place_ids.join(positives.select(F.col(key).alias("id_")).distinct(), "id_", "left_semi")
     chosen = trusted.orderBy("place_", "id_").limit(FIT_POSITIVE).select("id_", F.lit(1).alias("trusted")).unionByName(
         place_ids.orderBy("place_", "id_").limit(FIT_UNLABELLED).select("id_", F.lit(0).alias("trusted")))
-    # FIT_POSITIVE + FIT_UNLABELLED ids at most
-    sample = docs.select(F.col(key).alias("id_"), text).join(F.broadcast(chosen), "id_").select("id_", "trusted", text)
+    # FIT_POSITIVE + FIT_UNLABELLED ids at most, and one text of each
+    sample = docs.select(F.col(key).alias("id_"), F.col(text).alias("text_")).join(F.broadcast(chosen), "id_") \
+        .groupBy("id_", "trusted").agg(F.min("text_").alias("text_"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -158,13 +199,23 @@ def fit_quality(docs: DataFrame, positives: DataFrame, key: str = "doc_id", text
     read = lambda flag: np.frombuffer(b"".join(bytes(r.v) for r in rows if r.trusted == flag),
                                       np.float32).reshape(-1, N_FEATURES).astype(np.float64)
     p, u = read(1), read(0)
-    if len(p) < 4 or len(u) < 4:
+    if len(p) < 2 or len(u) < 2:
         return QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, 0.5)
-    mean, scale = u.mean(0), u.std(0) + 1e-3
-    p, u = np.clip((p - mean) / scale, -8, 8), np.clip((u - mean) / scale, -8, 8)
-    prior = estimate_prior(p, u)
-    w, b = descend(p, u, prior, 400)
-    return QualityModel(mean, scale, w, b, prior)
+    n, *sums = totals(docs, text, moments, "moment")
+    mean, squares = np.array(sums).reshape(2, N_FEATURES) / n
+    # rounded, so that the order of the sums does not matter
+    mean, scale = mean.round(9), (np.sqrt(np.maximum(squares - mean * mean, 0)) + 1e-3).round(9)
+    scaled = lambda x: np.clip((x - mean) / scale, -8, 8)
+    p, u = scaled(p), scaled(u)
+    first = descend(p[::2], u[::2], None, 150)
+    scores = lambda x: x @ first[:-1] + first[-1]
+    cuts = cuts_of(scores(p[1::2]))
+    # all documents but those of the first fit
+    reach = totals(docs, text, lambda x: np.r_[float(len(x)), reaching(scores(scaled(x)), cuts)], "reach") \
+        - np.r_[float(len(u[::2])), reaching(scores(u[::2]), cuts)]
+    prior = prior_of(reaching(scores(p[1::2]), cuts) / len(p[1::2]), np.maximum(reach[1:], 0) / max(reach[0], 1))
+    theta = descend(p, u, prior, 400)
+    return QualityModel(mean, scale, theta[:-1], float(theta[-1]), prior)
 
 
 def place_of(ids: DataFrame) -> DataFrame:

@@ -19,6 +19,11 @@ from .quality import keep_quality
 from .substring import remove_repeats
 
 
+def neutral(docs: DataFrame) -> DataFrame:
+    """The same columns under names of our own."""
+    return docs.toDF(*[f"c{k}_" for k in range(len(docs.columns))])
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     return keep_quality(docs, trained_quality(spark, docs, sf_dir), THRESHOLD)
@@ -26,9 +31,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, and all others."""
+    names, plain = docs.columns, neutral(docs)
     found = near_duplicates(docs.select("doc_id", "text"))
     dropped = found.filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_"))
-    return docs.join(dropped, docs["doc_id"] == F.col("dropped_"), "left_anti")
+    return plain.join(dropped, plain[names.index("doc_id")] == F.col("dropped_"), "left_anti").toDF(*names)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +42,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Texts that lose nothing keep their white space; n_chars follows the text."""
     names = docs.columns
-    plain = [f"c{k}_" for k in range(len(names))]
+    plain = neutral(docs).columns
     key, text = plain[names.index("doc_id")], plain[names.index("text")]
     keep = [c for c in plain if c != text]
     out = remove_repeats(docs.toDF(*plain), keep=keep, key=key, text=text, rejoin=False)
@@ -53,8 +59,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share a doc_id are taken equally often."""
     taken = mix(docs.select("doc_id", "source", "text")).groupBy("doc_id").agg(F.max("copies").alias("copies_"))
     taken = taken.filter("copies_ > 0").select(F.col("doc_id").alias("taken_"), "copies_")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("taken_")))
-    return rows.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*[docs[c] for c in docs.columns])
+    names, plain = docs.columns, neutral(docs)
+    rows = plain.join(taken, plain[names.index("doc_id")].eqNullSafe(F.col("taken_")))
+    return rows.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*plain.columns).toDF(*names)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,18 +65,27 @@ def validity(log: DataFrame) -> DataFrame:
 
 
 def temporal_list_join(captures: DataFrame, log: DataFrame, url: str = "url", day: str = "fetch_day") -> DataFrame:
-    """``captures`` plus host, segment, list_key, valid_from and verdict (``block``, ``allow``, ``none``)."""
-    sites = captures.withColumns({"host": host_of(F.col(url)), "segment": segment_of(F.col(url))})
+    """``captures`` plus host, segment, list_key, valid_from and verdict (``block``, ``allow``, ``none``).
+
+    Columns of ``captures`` keep their names; a result whose name is taken gets ``_`` behind it."""
+    names = captures.columns
+    plain = captures.toDF(*[f"c{k}_" for k in range(len(names))])
+    at = lambda name: F.col(f"c{names.index(name)}_")
+    sites = plain.withColumns({"host": host_of(at(url)), "segment": segment_of(at(url)), "day_": at(day)})
     on = ["host", "segment", "day_"]
-    asked = sites.select("host", "segment", F.col(day).alias("day_")).dropna().distinct()
+    asked = sites.select(*on).dropna().distinct()
     keyed = asked.select(*on, F.explode(list_keys(F.col("host"), F.col("segment"))).alias("k_")) \
         .select(*on, F.col("k_.key").alias("key"), F.col("k_.rank").alias("rank_"))
     spans = validity(log)
     active = keyed.join(spans, "key").filter(
         (F.col("day_") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day_") < F.col("valid_to"))))
     best = active.groupBy(*on).agg(F.max_by(F.struct("key", "valid_from", "verdict"), "rank_").alias("best_"))
-    out = sites.withColumn("day_", F.col(day)).join(best, on, "left")
-    names = [c for c in captures.columns]
-    return out.select(*[F.col(f"`{c}`") for c in names], "host", "segment", F.col("best_.key").alias("list_key"),
-                      F.col("best_.valid_from").alias("valid_from"),
-                      F.coalesce(F.col("best_.verdict"), F.lit("none")).alias("verdict"))
+    out = sites.join(best, on, "left").select(
+        *plain.columns, "host", "segment", F.col("best_.key").alias("list_key"), F.col("best_.valid_from").alias("valid_from"),
+        F.coalesce(F.col("best_.verdict"), F.lit("none")).alias("verdict"))
+    added: list[str] = []
+    for name in ("host", "segment", "list_key", "valid_from", "verdict"):
+        while name in names or name in added:
+            name += "_"
+        added.append(name)
+    return out.toDF(*names, *added)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from benchcohort.llm.langid import fit_centroids, identify
 from benchcohort.llm.mixing import mix
 from benchcohort.llm.q_classify import fold
-from benchcohort.llm.quality import estimate_prior, fit_quality, keep_quality, score_quality
+from benchcohort.llm.quality import (cuts_of, descend, fit_quality, keep_quality, prior_of, pu_gradient, pu_risk, reaching,
+                                     score_quality)
 from benchcohort.llm.queries import ORACLES, QUERIES
 from benchcohort.llm.urlfilter import host_of, temporal_list_join
 from benchcohort.plans.check import compare, oracle_connection
@@ -120,7 +121,70 @@ def test_prior_is_found_from_positives_and_unlabelled():
     rng = np.random.default_rng(1)
     p = rng.normal(2, 1, (3000, 4))
     u = np.r_[rng.normal(2, 1, (1800, 4)), rng.normal(-2, 1, (1200, 4))]
-    assert estimate_prior(p, rng.permutation(u)) == pytest.approx(0.6, abs=0.08)
+    u = rng.permutation(u)
+    theta = descend(p[::2], u[::2], None, 150)
+    scores = lambda x: x @ theta[:-1] + theta[-1]
+    cuts = cuts_of(scores(p[1::2]))
+    shares = [reaching(scores(x[1::2]), cuts) / len(x[1::2]) for x in (p, u)]
+    assert prior_of(*shares) == pytest.approx(0.6, abs=0.08)
+
+
+def test_gradient_is_the_slope_of_the_non_negative_risk():
+    rng = np.random.default_rng(4)
+    for prior, shift in ((0.3, 0.0), (0.8, 0.0), (0.6, 3.0)):
+        p, u = rng.normal(1 + shift, 1, (40, 3)), rng.normal(0, 1, (70, 3))
+        theta = rng.normal(size=4)
+        z = lambda x: x @ theta[:-1] + theta[-1]
+        plus, minus = (lambda x: np.mean(np.log1p(np.exp(-z(x))))), (lambda x: np.mean(np.log1p(np.exp(z(x)))))
+        rest = minus(u) - prior * minus(p)
+        assert pu_risk(theta, p, u, prior) == pytest.approx(prior * plus(p) + max(rest, 0))
+        # below zero the negative risk is pushed back up, whatever the rest
+        value = (lambda t: pu_risk(t, p, u, prior)) if rest >= 0 else (
+            lambda t: prior * np.logaddexp(0, p @ t[:-1] + t[-1]).mean() - np.logaddexp(0, u @ t[:-1] + t[-1]).mean())
+        slope = [(value(theta + e) - value(theta - e)) / 2e-6 for e in 1e-6 * np.eye(4)]
+        assert pu_gradient(theta, p, u, prior) == pytest.approx(np.array(slope), abs=1e-6)
+
+
+def test_statistics_of_the_quality_model_cover_all_documents(spark, monkeypatch):
+    """Means and scales are those of all texts, however small the samples are."""
+    from benchcohort.llm import quality
+    rows = documents()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    monkeypatch.setattr(quality, "FIT_UNLABELLED", 8)
+    monkeypatch.setattr(quality, "FIT_POSITIVE", 4)
+    model = fit_quality(docs, docs.select("doc_id").filter("doc_id % 3 = 0"))
+    all_features = quality.describe([(r[1] or "").encode() for r in rows]).astype(np.float64)
+    assert model.mean == pytest.approx(all_features.mean(0), abs=1e-6)
+    assert model.scale == pytest.approx(all_features.std(0) + 1e-3, abs=1e-5)
+
+
+def test_ids_that_very_many_rows_share_are_fitted_on_once(spark):
+    docs = spark.createDataFrame([(7, f"text {k} and more words", "en") for k in range(300)] + [(None, f"ein Satz {k}", "de") for k in range(300)]
+                                 + [(k, f"other {k} words", "en") for k in range(10, 14)], "doc_id long, text string, lang string")
+    model = fit_quality(docs, docs.select("doc_id").filter("doc_id >= 10"))
+    assert len(score_quality(docs, model).collect()) == 604
+    found = identify(docs, fit_centroids(docs)).collect()
+    assert {r.lang_pred for r in found if r.doc_id is None} == {"de"}
+
+
+def test_stages_and_list_join_take_any_column_names(spark):
+    from benchcohort.llm import stages
+    rows = [(k, f"some words of text {k % 3} " * 9, "s", k) for k in range(6)] + [(None, None, None, 9)]
+    names = ["dropped_", "taken_", "copies_", "copy_", "best_", "host", "verdict", "doc_id_", "kept", "c0_", "size"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    for n in names:
+        docs = docs.withColumn(n, F.lit(n))
+    kept = stages.drop_near_duplicates(spark, docs, "")
+    mixed = stages.mix_sources(spark, docs, "")
+    assert kept.columns == mixed.columns == docs.columns
+    assert sorted(r.n for r in kept.collect()) == [0, 1, 2, 9]
+    assert all(r[n] == n for df in (kept, mixed) for r in df.collect() for n in names)
+    log = spark.createDataFrame([("a.com", "block", 1, 0)], "key string, verdict string, day int, seq int")
+    captures = spark.createDataFrame([("http://a.com/x", 5, "mine", "own", "b", 1)], "url string, fetch_day int, host string, verdict string, best_ string, day_ int")
+    out = temporal_list_join(captures, log)
+    assert out.columns == [*captures.columns, "host_", "segment", "list_key", "valid_from", "verdict_"]
+    r = out.first()
+    assert (r.host, r.verdict, r.best_, r.day_, r.host_, r.verdict_) == ("mine", "own", "b", 1, "a.com", "block")
 
 
 def test_folds_follow_the_checksum_of_the_id(spark):
