@@ -9,13 +9,13 @@ aggregated rows: pairs of strata are formed by an equi-join on the variable
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exact import fixed_moments, mean_from_moments, sd_from_moments
-from .cohort import c
+from .cohort import c, categorical_columns, levels
 
 
 def continuous(df: DataFrame, strat: str, variables: Sequence[str]) -> DataFrame:
@@ -26,7 +26,7 @@ def continuous(df: DataFrame, strat: str, variables: Sequence[str]) -> DataFrame
     agg = long.groupBy("stratum", "variable").agg(
         *fixed_moments(F.col("x"), "m"), F.count(F.lit(1)).alias("n_all"))
     return agg.select(
-        "stratum", "variable", F.col("m_n").alias("n"),
+        "stratum", "variable", F.col("m_n").alias("n"), (F.col("n_all") - F.col("m_n")).alias("n_missing"), "n_all",
         mean_from_moments(F.col("m_n"), F.col("m_s1")).alias("mean"),
         sd_from_moments(F.col("m_n"), F.col("m_s1"), F.col("m_s2")).alias("sd"),
         ((F.col("n_all") - F.col("m_n")) * F.lit(100.0) / F.col("n_all")).alias("missing_pct"))
@@ -77,30 +77,50 @@ def smd_categorical(cat: DataFrame) -> DataFrame:
     return per_pair.groupBy("variable").agg(F.avg(smd).alias("smd"), F.count(F.lit(1)).alias("n_pairs"))
 
 
-def report(df: DataFrame, strat: str, continuous_vars: Sequence[str], categorical_vars: Sequence[str]) -> DataFrame:
+def smds(cont: DataFrame, cat: DataFrame) -> DataFrame:
+    """(variable, smd) of all variables."""
+    return smd_continuous(cont).select("variable", "smd").unionByName(smd_categorical(cat).select("variable", "smd"))
+
+
+def missing_shares(cont: DataFrame, cat: DataFrame) -> DataFrame:
+    """(variable, missing): missing values of a variable over all strata, in percent."""
+    a = cont.groupBy("variable").agg((F.sum("n_missing") * F.lit(100.0) / F.sum("n_all")).alias("missing"))
+    gone = F.sum(F.when(F.col("level") == "NA", F.col("n")).otherwise(0))
+    return a.unionByName(cat.groupBy("variable").agg((gone * F.lit(100.0) / F.sum("n")).alias("missing")))
+
+
+def report(df: DataFrame, strat: str, variables: Sequence[str], always_categorical: Sequence[str] = (),
+           keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Printable Table One: rows 'n', '<var> (mean (SD))' and '<var> (%) = <level>',
-    one column per stratum (values rounded, then formatted), and the SMD of
-    the row's variable. Strata become columns with a pivot over their
-    (bounded) distinct values."""
-    cont = continuous(df, strat, continuous_vars)
-    cat = categorical(df, strat, categorical_vars)
+    one column per stratum (values rounded, then formatted), and the SMD and the
+    missing share (percent) of the row's variable.
+
+    A variable is categorical if it is a string, holds only 0, 1 and null, or is
+    named in ``always_categorical``. ``keep`` picks from (variable, smd) the
+    variables to print. Strata become columns with a pivot over their distinct
+    values, of which there are at most ``MOST_LEVELS``."""
+    as_levels = set(categorical_columns(df, list(variables))) | set(always_categorical)
+    cont = continuous(df, strat, [v for v in variables if v not in as_levels])
+    cat = categorical(df, strat, [v for v in variables if v in as_levels])
     sizes = df.groupBy(c(strat).alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+    smd = smds(cont, cat)
 
     def fmt(x, spec):
         return F.when(x.isNull(), F.lit("NA")).otherwise(F.format_string(spec, x))
 
-    long = (sizes.select(F.lit("n").alias("row"), F.lit("").alias("variable"), "stratum",
-                         F.col("n").cast("string").alias("cell"))
-            .unionByName(cont.select(F.concat(F.col("variable"), F.lit(" (mean (SD))")).alias("row"), "variable",
-                                     "stratum", F.concat(fmt(F.round("mean", 2), "%.2f"), F.lit(" ("),
-                                                         fmt(F.round("sd", 2), "%.2f"), F.lit(")")).alias("cell")))
+    long = (cont.select(F.concat(F.col("variable"), F.lit(" (mean (SD))")).alias("row"), "variable",
+                        "stratum", F.concat(fmt(F.round("mean", 2), "%.2f"), F.lit(" ("),
+                                            fmt(F.round("sd", 2), "%.2f"), F.lit(")")).alias("cell"))
             .unionByName(cat.select(F.concat(F.col("variable"), F.lit(" (%) = "), F.col("level")).alias("row"),
                                     "variable", "stratum",
                                     F.concat(F.format_string("%d", F.col("n")), F.lit(" ("),
                                              F.format_string("%.1f", F.round("pct", 1)), F.lit(")")).alias("cell"))))
-    strata = [r[0] for r in sizes.select("stratum").orderBy("stratum").collect()]
+    if keep is not None:
+        long = long.join(keep(smd).select("variable"), "variable", "left_semi")
+    long = long.unionByName(sizes.select(F.lit("n").alias("row"), F.lit("").alias("variable"), "stratum", F.col("n").cast("string").alias("cell")))
+    strata = [s for s in levels(sizes, "stratum") if s is not None]
     wide = long.groupBy("row", "variable").pivot("stratum", strata).agg(F.first("cell"))
-    smd = smd_continuous(cont).select("variable", "smd").unionByName(smd_categorical(cat).select("variable", "smd"))
-    smd = smd.select("variable", F.when(F.col("smd").isNotNull(),
-                                        F.format_string("%.3f", F.round("smd", 3))).alias("SMD"))
-    return wide.join(smd, "variable", "left").select("row", "variable", *[F.col(f"`{s}`") for s in strata], "SMD")
+    beside = smd.join(missing_shares(cont, cat), "variable").select(
+        "variable", F.when(F.col("smd").isNotNull(), F.format_string("%.3f", F.round("smd", 3))).alias("SMD"),
+        F.format_string("%.1f", F.round("missing", 1)).alias("Missing"))
+    return wide.join(beside, "variable", "left").select("row", "variable", *[F.col(f"`{s}`") for s in strata], "SMD", "Missing")

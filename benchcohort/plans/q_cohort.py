@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import h, h_sql, in_train_sql, stream_sql, unit_hash_sql
 from ..functions.rules import INTERVENTION_RECODE_RULES, replace_rules_sql
 from ..operators import cohort as co
+from ..operators.roles import column_roles, role_table
 from ..operators import effects, metrics, split, stats, tableone
 from ..sources.tables import table
 from .inputs import COHORT_BASE_SQL, cohort_raw
@@ -78,12 +79,52 @@ def _qid(name: str) -> str:
 def cohort_clean(spark, sf):
     d = cohort(spark, sf)
     # Column roles (ids, targets, treatment, predictors, the rest) order the output.
-    roles = co.column_roles(d.columns)
-    first = [n for n in roles.id + [roles.trt] + roles.t1 if n in d.columns]
-    ordered = list(dict.fromkeys(first + d.columns))
+    roles = column_roles(d.columns)
+    ordered = list(dict.fromkeys(roles.identifiers + roles.treatment + roles.table_one + d.columns))
     return d.select(*[q(n) for n in ordered])
 
 
+#: The cohort's columns by role and place, written out for the SQL.
+_ROLE_ROWS = {
+    "identifier": ["src", "patient_id", "index_date"],
+    "treatment": ["intervention"],
+    "outcome": ["outcome_ip.visit.or.regimen.change.12mo", "outcome_ip.visit.any.12mo", "outcome_regimen.change.12mo"],
+    "other_outcome": ["outcome_ip.visit.or.regimen.change.06mo", "outcome_ip.visit.any.06mo", "outcome_ip.visit.or.regimen.change.03mo",
+                      "outcome_ip.visit.any.03mo", "outcome_regimen.change.06mo", "outcome_regimen.change.03mo"],
+    "predictor": ["age", "index_year", "cci_acctbal", "ethnicity", "baseline_totalprice", "baseline_qty",
+                  "baseline_prior.med.groups", "years_followup", "years_followup_ge1"],
+    "excluded": ["dob", "zip"],
+    "table_one": ["outcome_ip.visit.or.regimen.change.12mo", "outcome_ip.visit.any.12mo", "outcome_regimen.change.12mo",
+                  "years_followup_ge1", "src", "age", "index_year", "cci_acctbal", "ethnicity", "baseline_totalprice",
+                  "baseline_qty", "baseline_prior.med.groups", "years_followup"],
+}
+_ROLE_VALUES = ", ".join(f"('{role}', {k}, '{n}')" for role, names in _ROLE_ROWS.items() for k, n in enumerate(names, 1))
+_FILLED = " UNION ALL ".join(f"SELECT '{n}' AS name, CAST(COUNT({_qid(n)}) AS BIGINT) AS n_known FROM cohort"
+                             for n in dict.fromkeys(x for names in _ROLE_ROWS.values() for x in names))
+
+
+@query("column_roles", sql=CO + f""",
+roles AS (SELECT * FROM (VALUES {_ROLE_VALUES}) t(role, position, name)),
+filled AS ({_FILLED})
+SELECT role, position, name, n_known FROM roles JOIN filled USING (name)""")
+def column_roles_query(spark, sf):
+    """Every column of the cohort by role and place, with how many rows have a value in it."""
+    d = cohort(spark, sf)
+    counts = d.agg(*[F.count(q(n)).alias(n) for n in d.columns])
+    filled = counts.unpivot([], [q(n) for n in d.columns], "name", "n_known")
+    roles = column_roles(d.columns)
+    named = role_table(d, roles).withColumn("role", F.regexp_replace("role", "s$", ""))
+    return named.join(filled, "name").select("role", "position", "name", "n_known")
+
+
+@query("source_filter", sql=CO + """
+SELECT src, CAST(COUNT(*) AS BIGINT) AS n FROM cohort WHERE lower(src) IN ('asia', 'europe') GROUP BY src""")
+def source_filter(spark, sf):
+    """Rows of the sources asked for, in any case (F2)."""
+    kept = co.filter_sources(cohort(spark, sf, ["src"]), ["Asia", "EUROPE"])
+    return kept.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("recode_category", sql=f"""
 WITH parts AS (
   SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'REF_' ELSE 'INTERVENTION_' END
@@ -235,14 +276,14 @@ def complete_columns(spark, sf):
 
 
 @query("frequency_table", sql=CO + """
-SELECT intervention, CAST(COUNT(*) AS BIGINT) AS Freq FROM cohort GROUP BY intervention""")
+SELECT intervention, CAST(COUNT(*) AS BIGINT) AS Freq FROM cohort WHERE intervention IS NOT NULL GROUP BY intervention""")
 def frequency_table(spark, sf):
     return co.frequency_table(cohort(spark, sf, ["intervention"]), "intervention")
 
 
 @query("contingency_share", sql=CO + """
 , cnt AS (SELECT intervention AS "row", "baseline_prior.med.groups" AS "col", CAST(COUNT(*) AS BIGINT) AS n
-          FROM cohort GROUP BY 1, 2)
+          FROM cohort WHERE intervention IS NOT NULL AND "baseline_prior.med.groups" IS NOT NULL GROUP BY 1, 2)
 SELECT "row", "col", n, n / SUM(n) OVER (PARTITION BY "row") AS share FROM cnt""")
 def contingency_share(spark, sf):
     return co.contingency_share(cohort(spark, sf, ["intervention", "baseline_prior.med.groups"]), "intervention",
@@ -271,10 +312,10 @@ def _t1(spark, sf):
     return cohort(spark, sf, _T1_COLUMNS).filter(F.col("years_followup_ge1") == 1)
 
 
-def _cont_ctes() -> str:
+def _cont_ctes(variables: list[str] = CONTINUOUS) -> str:
     from ..functions.exact import fixed_sql
     rows = []
-    for v in CONTINUOUS:
+    for v in variables:
         xs = fixed_sql(_qid(v))
         rows.append(f"""SELECT intervention AS stratum, '{v}' AS variable, COUNT({_qid(v)}) AS n,
   CAST(SUM({xs}) AS DOUBLE) AS s1, CAST(SUM({xs} * {xs}) AS DOUBLE) AS s2, COUNT(*) AS n_all
@@ -299,9 +340,9 @@ def table_one_continuous(spark, sf):
     return t.select("stratum", "variable", "n", "mean", r6("sd"), "missing_pct")
 
 
-def _cat_ctes() -> str:
+def _cat_ctes(variables: list[str] = CATEGORICAL) -> str:
     rows = []
-    for v in CATEGORICAL:
+    for v in variables:
         val = f"'y' || CAST({_qid(v)} AS VARCHAR)" if v == "index_year" else f"CAST({_qid(v)} AS VARCHAR)"
         rows.append(f"SELECT intervention AS stratum, '{v}' AS variable, coalesce({val}, 'NA') AS level FROM t1")
     return "cat_long AS (" + "\nUNION ALL\n".join(rows) + """),
@@ -372,36 +413,36 @@ def smd_categorical(spark, sf):
 REPORT_LABEL = "Source=all years_followup_ge1"
 
 
-def _report_sql() -> str:
+def _report_sql(start: str, cont: list[str], cat: list[str], kept: str = "TRUE") -> str:
     strata_cols = ", ".join(f"MAX(CASE WHEN stratum = '{v}' THEN cell END) AS {_qid(v)}" for v in _LEVELS)
     sel = ", ".join(f"w.{_qid(v)}" for v in _LEVELS)
-    return (_strat_sql() + ",\n" + _cont_ctes() + ",\n" + _cat_ctes() + ",\n" + _SMD_C + ",\n" + _SMD_K + f""",
+    return (start + ",\n" + _cont_ctes(cont) + ",\n" + _cat_ctes(cat) + ",\n" + _SMD_C + ",\n" + _SMD_K + f""",
+smd_all AS (SELECT variable, smd FROM smd_c UNION ALL SELECT variable, smd FROM smd_k),
+missing_all AS (
+  SELECT variable, SUM(n_all - n) * 100.0 / SUM(n_all) AS missing FROM cont_m GROUP BY variable
+  UNION ALL SELECT variable, SUM(CASE WHEN level = 'NA' THEN n ELSE 0 END) * 100.0 / SUM(n) FROM cat GROUP BY variable),
+kept AS (SELECT variable FROM smd_all WHERE {kept}),
 long_ AS (
   SELECT 'n' AS row_, '' AS variable, stratum, CAST(n_stratum AS VARCHAR) AS cell FROM sizes
   UNION ALL
   SELECT variable || ' (mean (SD))', variable, stratum,
          coalesce(printf('%.2f', round(mean, 2)), 'NA') || ' (' || coalesce(printf('%.2f', round(sd, 2)), 'NA') || ')'
-  FROM cont
+  FROM cont WHERE variable IN (SELECT variable FROM kept)
   UNION ALL
   SELECT variable || ' (%) = ' || level, variable, stratum,
          printf('%d', n) || ' (' || printf('%.1f', round(pct, 1)) || ')'
-  FROM cat
+  FROM cat WHERE variable IN (SELECT variable FROM kept)
 ),
-smd_all AS (SELECT variable, smd FROM smd_c UNION ALL SELECT variable, smd FROM smd_k),
 wide AS (SELECT row_, variable, {strata_cols} FROM long_ GROUP BY row_, variable)
 SELECT w.row_ AS "{REPORT_LABEL}", {sel},
-       CASE WHEN s.smd IS NULL THEN NULL ELSE printf('%.3f', round(s.smd, 3)) END AS SMD
-FROM wide w LEFT JOIN smd_all s ON w.variable = s.variable""")
+       CASE WHEN s.smd IS NULL THEN NULL ELSE printf('%.3f', round(s.smd, 3)) END AS SMD,
+       printf('%.1f', round(m.missing, 1)) AS Missing
+FROM wide w LEFT JOIN smd_all s ON w.variable = s.variable LEFT JOIN missing_all m ON w.variable = m.variable""")
 
 
-@query("table_one_report", sql=_report_sql())
-def table_one_report(spark, sf):
-    """Table One as exported: one row per statistic (n, mean (SD), n (%) per
-    level), one column per stratum, SMD; written as TSV with the row label
-    moved first under a chosen header (K1, K2) and read back."""
-    d = cohort(spark, sf, _T1_COLUMNS).filter(F.col("years_followup_ge1") == 1)
-    d = d.withColumn("index_year", F.concat(F.lit("y"), F.col("index_year").cast("string")))
-    wide = tableone.report(d, "intervention", CONTINUOUS, CATEGORICAL)
+def _printed(spark, wide: DataFrame) -> DataFrame:
+    """Table One as exported: written as TSV with the row label moved first under
+    a chosen header (K1, K2) and read back."""
     path = scratch_path(spark, "table-one")
     files.write_tsv(wide.drop("variable"), path, first_column="row", label=REPORT_LABEL)
     cols = [c for c in wide.columns if c not in ("row", "variable")]
@@ -409,6 +450,51 @@ def table_one_report(spark, sf):
     return files.read_delimited(spark, path, schema).drop("source_file")
 
 
+def _prefixed(d: DataFrame, name: str, prefix: str) -> DataFrame:
+    """Numbers that are labels: a prefix makes them levels."""
+    return d.withColumn(name, F.concat(F.lit(prefix), F.coalesce(q(name).cast("string"), F.lit("NA"))))
+
+
+@query("table_one_report", sql=_report_sql(_strat_sql(), CONTINUOUS, CATEGORICAL))
+def table_one_report(spark, sf):
+    """Table One of the variables that the column roles name: n, mean (SD) or n (%)
+    per level, one column per stratum, SMD, missing share."""
+    d = _prefixed(_t1(spark, sf), "index_year", "y")
+    return _printed(spark, tableone.report(d, "intervention", column_roles(d.columns).table_one))
+
+
+N_FEATURES = 4  # predictors that the second table shows (its length is the feature)
+PRIOR = "baseline_prior.med.groups"
+_FEATURE_CONT = [v for v in CONTINUOUS if v != PRIOR]
+_FEATURE_CAT = CATEGORICAL + [PRIOR]
+_SHOWN = [*[n for n in FOCUS_TARGETS if n in CATEGORICAL], PRIOR]
+
+
+def _features_sql() -> str:
+    start = CO + f""",
+t1 AS (SELECT * REPLACE ('c' || coalesce(CAST({_qid(PRIOR)} AS VARCHAR), 'NA') AS {_qid(PRIOR)}) FROM cohort WHERE years_followup_ge1 = 1)"""
+    shown = ", ".join(f"'{v}'" for v in _SHOWN)
+    rest = ", ".join(f"'{v}'" for v in _ROLE_ROWS["predictor"] if v not in _SHOWN)
+    return _report_sql(start, _FEATURE_CONT, _FEATURE_CAT, f"""variable IN ({shown}) OR variable IN (
+  SELECT variable FROM smd_all WHERE smd IS NOT NULL AND variable IN ({rest}) ORDER BY round(smd, 9) DESC, variable LIMIT {N_FEATURES})""")
+
+
+@query("table_one_features", sql=_features_sql())
+def table_one_features(spark, sf):
+    """The second table: the focus targets, earlier medication groups as levels, and the
+    predictors that tell the strata apart best (by SMD, the measure of the table itself)."""
+    d = _prefixed(_prefixed(_t1(spark, sf), "index_year", "y"), PRIOR, "c")
+    roles = column_roles(d.columns)
+    others = [n for n in roles.predictors if n not in _SHOWN]
+
+    def keep(smd: DataFrame) -> DataFrame:
+        best = smd.filter(F.col("smd").isNotNull() & F.col("variable").isin(others)) \
+            .orderBy(F.round("smd", 9).desc(), "variable").limit(N_FEATURES)
+        return best.unionByName(smd.filter(F.col("variable").isin(_SHOWN)))
+
+    return _printed(spark, tableone.report(d, "intervention", roles.table_one, keep=keep))
+
+
 # ------------------------------------------------------------ splits
 def _search_vars() -> dict[str, float]:
     out = dict(FOCUS_TARGETS)

@@ -334,15 +334,44 @@ def test_column_profile_exact_and_approx_agree(spark):
 
 
 def test_recode_paths_agree(spark):
-    """Literal map, broadcast join and shuffle join give the same recode."""
+    """Broadcast join and shuffle join give the same recode."""
     vals = ["INTERVENTION_ARIPIPRAZOLE.ORAL.ANTIPSYCHOTIC", "REF_CLOZAPINE", None, "INTERVENTION_TYPICAL",
             "ABILIFY.MAINTENA"]
     df = spark.createDataFrame([(i, vals[i % len(vals)]) for i in range(50)], "k int, v string")
-    lit = co.recode_via_distinct(df, "v", "r")
-    bcast = co.recode_via_distinct(df, "v", "r", max_literal_rows=0)
-    shuffle = co.recode_via_distinct(df, "v", "r", max_literal_rows=0, max_broadcast_rows=0)
-    a, b, s = (sorted((r.k, r.v, r.r) for r in x.collect()) for x in (lit, bcast, shuffle))
-    assert a == b == s
+    bcast = co.recode_via_distinct(df, "v", "r")
+    shuffle = co.recode_via_distinct(df, "v", "r", most_broadcast_bytes=0)
+    a, b = (sorted(((r.k, r.v, r.r) for r in x.collect()), key=str) for x in (bcast, shuffle))
+    assert a == b
     got = {v: r for _, v, r in a}
     assert got["INTERVENTION_ARIPIPRAZOLE.ORAL.ANTIPSYCHOTIC"] == "Oral.Ari"
     assert got["REF_CLOZAPINE"] == ".Clozapine" and got[None] is None
+
+
+def test_column_roles_are_decided_by_name_and_rank():
+    from benchcohort.operators.roles import column_roles
+    names = ["zip", "log_x", "cci_b", "outcome_regimen.12mo", "index_year", "outcome_ip.visit.or.regimen.12mo", "b", "charl_a", "age",
+             "outcome_er.visit.06mo", "src", "outcome_ip.visit.any.12mo", "intervention", "years_followup_ge1", "outcome_other.12mo",
+             "patient_id", "index_date", "baseline_years.since.initial.dx"]
+    r = column_roles(names)
+    assert r.identifiers == ["src", "patient_id", "index_date"] and r.treatment == ["intervention"] and r.excluded == ["zip", "log_x"]
+    assert r.outcomes == ["outcome_ip.visit.or.regimen.12mo", "outcome_ip.visit.any.12mo", "outcome_regimen.12mo", "outcome_other.12mo"]
+    assert r.other_outcomes == ["outcome_er.visit.06mo"]
+    assert r.predictors == ["age", "index_year", "cci_b", "charl_a", "b", "years_followup_ge1", "baseline_years.since.initial.dx"]
+    assert r.table_one == [*r.outcomes, "years_followup_ge1", "baseline_years.since.initial.dx", "src", "age", "index_year", "cci_b", "charl_a", "b"]
+    assert column_roles(names, strata="src").table_one[6] == "intervention"
+    assert column_roles(["x", "cci_z"]).predictors == ["x", "cci_z"] and column_roles([]).rows() == []
+    everything = [n for _, _, n in column_roles(names).rows()]
+    assert set(everything) == set(names)
+
+
+def test_levels_are_bounded_and_nulls_are_no_level(spark, monkeypatch):
+    df = spark.createDataFrame([("b", "x"), ("a", None), (None, "x"), ("b", "y")], "g string, h string")
+    assert co.levels(df, "g") == [None, "a", "b"]
+    assert {(r.g, r.Freq) for r in co.frequency_table(df, "g").collect()} == {("a", 1), ("b", 2)}
+    assert {(r.row, r.col, r.share) for r in co.contingency_share(df, "g", "h").collect()} == {("b", "x", 0.5), ("b", "y", 0.5)}
+    assert {(r.g, r.code) for r in co.category_codes(df, "g", "code").collect()} == {("a", 0), ("b", 1), (None, None)}
+    assert co.categorical_columns(df.withColumn("n", F.lit(2)).withColumn("m", F.lit(None).cast("int")), ["g", "n", "m"]) == ["g", "m"]
+    assert co.filter_sources(df, ["B"], "g").count() == 2 and co.filter_sources(df, ["ALL"], "g").count() == 4
+    monkeypatch.setattr(co, "MOST_LEVELS", 1)
+    with pytest.raises(ValueError, match="levels"):
+        co.levels(df, "g")
