@@ -8,12 +8,12 @@ import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import cut_lineage, ensure_checkpoint_dir, scratch_path
 from ..sources.tables import table
 
-__all__ = ["cut_lineage", "ensure_checkpoint_dir", "n_shuffle", "scratch_path", "slices", "table",
+__all__ = ["cut_few", "cut_lineage", "ensure_checkpoint_dir", "n_shuffle", "scratch_path", "slices", "table",
            "texts_as_bytes"]
 
 #: A word, everywhere in this subpackage: a run of characters that are neither
@@ -26,6 +26,13 @@ def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def cut_few(df: DataFrame) -> DataFrame:
+    """Checkpoint of pairs, links or the like, which are few against the texts: one file
+    for each core and not for each shuffle partition."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return cut_lineage(df.coalesce(cores) if cores < n_shuffle(df.sparkSession) else df)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, so that a task never holds many texts as Python objects.
 

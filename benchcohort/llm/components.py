@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_few
 
 
 def star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -32,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     sign = None
     while True:
-        edges = cut_lineage(star(star(edges, larger=True), larger=False))
+        edges = cut_few(star(star(edges, larger=True), larger=False))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == sign:
             break

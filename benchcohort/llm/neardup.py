@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, slices, texts_as_bytes
+from .common import cut_few, cut_lineage, give_back, slices, texts_as_bytes
 from .components import components
 from .substring import _HASHES, _MIX1, _MIX3, grouped, scrambled
 from .vectors import block_join
@@ -242,6 +242,7 @@ def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                              na[part], nb[part])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], pa.array(~truncated[part])],
                                                  names=["a", "b", "exact"]).filter(pa.array(ok))
+        give_back()
 
     near = maybe_in(reps.select("rep", "n", "sketch"), id_filter(ids_of(pairs)), "rep")
     side = lambda x: near.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
@@ -329,7 +330,7 @@ def across_components(lists: DataFrame, found: DataFrame, reps: DataFrame) -> Da
     shares = labelled.groupBy("value", "component").agg(F.count("*").alias("m"))
     mains = shares.groupBy("value").agg(F.max_by("component", F.struct("m", "component")).alias("main"),
                                         F.count("*").alias("parts")).filter("parts > 1")
-    mixed = cut_lineage(labelled.join(mains, "value"))
+    mixed = cut_few(labelled.join(mains, "value"))
     outside = mixed.filter("component <> main")
     short = outside.filter(F.col("c") <= LONG_LIST).select("value", "rep", "n", "component")
     members = mixed.filter(F.col("c") <= LONG_LIST).select("value", F.col("rep").alias("rep2"), F.col("n").alias("n2"),
@@ -341,7 +342,7 @@ def across_components(lists: DataFrame, found: DataFrame, reps: DataFrame) -> Da
         F.col("value").alias("cell"), F.col("rep").cast("string").alias("vkey"), "rep", "n", "component", "sketch")
     long_pairs = block_join(full(outside), full(mixed), solve_long_list, "x long, y long, exact boolean", BLOCK, BLOCK,
                             few_cells=False)
-    return estimated(cut_lineage(pairs), reps).unionByName(long_pairs.select(*ordered("x", "y"), "exact")).distinct()
+    return estimated(cut_few(pairs), reps).unionByName(long_pairs.select(*ordered("x", "y"), "exact")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -358,13 +359,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         .select("value", F.col("rep").alias("hub"), F.col("n").alias("hub_n"))
     pairs = lists.join(hubs, "value").filter((F.col("rep") != F.col("hub")) & sizes_allow("n", "hub_n")) \
         .select(*ordered("rep", "hub")).distinct()
-    pairs = cut_lineage(pairs)
-    links = cut_lineage(verified(cut_lineage(estimated(pairs, reps)), docs, key, text))
+    pairs = cut_few(pairs)
+    links = cut_few(verified(cut_few(estimated(pairs, reps)), docs, key, text))
     # sets that one doc_id has hang together
     same = known.join(reps.select("setkey", "rep"), "setkey").groupBy("doc_id").agg(F.collect_set("rep").alias("r")) \
         .filter(F.size("r") > 1).select(F.array_min("r").alias("a"), F.explode("r").alias("b")).filter("a <> b")
     found = components(links.unionByName(same))
-    more = cut_lineage(verified(cut_lineage(across_components(lists, found, reps)), docs, key, text))
+    more = cut_few(verified(cut_few(across_components(lists, found, reps)), docs, key, text))
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     labels = reps.join(found, F.col("rep") == F.col("node"), "left") \
