@@ -40,6 +40,12 @@ def score_expr(points: str = "points", met: str = "criterion_met"):
     return F.when(complete, F.try_divide(num, den))
 
 
+def case_accuracy(cases: DataFrame, model: str, case: str = "case_id", score: str = "score") -> DataFrame:
+    """Share of correct judgements per (model, case); a judgement without a score counts as wrong."""
+    correct = F.when(F.col(score).isNull(), 0).otherwise(F.col(score))
+    return cases.groupBy(model, case).agg(F.avg(correct).alias("correct"))
+
+
 def conversation_scores(items: DataFrame) -> DataFrame:
     """One score per (model, run_id, conversation_id)."""
     return (items.groupBy("model", "run_id", "conversation_id")

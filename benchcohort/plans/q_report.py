@@ -30,8 +30,7 @@ def score_rows(spark, sf):
                    F.col("mean").alias("Center"), F.col("lcl").alias("L95"), F.col("ucl").alias("U95"))
     # Judged cases: per (model, case) accuracy, then T1 bootstrap per model.
     cs = cases(spark, sf).withColumn("Model_Orig", clean_model(F.col("raw_model"), "cases"))
-    acc = (cs.filter(F.col("score").isNotNull()).groupBy("Model_Orig", "case_id")
-             .agg(F.avg("score").alias("correct")))
+    acc = rubric.case_accuracy(cs, "Model_Orig")
     cpc = intervals.bootstrap_distribution(acc, ["Model_Orig"], "case_id", "correct", R_CASES, SEED)
     cpc = cpc.select(F.lit("CPC").alias("Bench"), "Model_Orig", "n", "Center", "L95", "U95")
     med = _rescaled(spark, sf).select("Bench", "Model_Orig", "n", "Center", "L95", "U95", "limits_not_ci")
@@ -58,8 +57,8 @@ hb_rows AS (
   FROM hb_sizes s JOIN hb_q q ON s.model = q.model AND s.run_id = q.run_id AND s.grp = q.grp
 ),
 cp_cases AS ({CASES_SQL}),
-cp_acc AS (SELECT {clean_cases} AS Model_Orig, case_id, AVG(score) AS correct FROM cp_cases
-           WHERE score IS NOT NULL GROUP BY 1, 2),
+cp_acc AS (SELECT {clean_cases} AS Model_Orig, case_id, AVG(CASE WHEN score IS NULL THEN 0 ELSE score END) AS correct
+           FROM cp_cases GROUP BY 1, 2),
 {cp},
 cp_rows AS (
   SELECT 'CPC' AS Bench, s.Model_Orig, CAST(s.n_nonnull AS BIGINT) AS n, q.q50 AS Center, q.q025 AS L95,

@@ -162,14 +162,13 @@ def _poisson_cells_sql(units: str, keys: list[str], value: str, R: int, seed: in
 _CASE_ACC_SQL = f"""WITH cases AS ({CASES_SQL}),
 named AS (SELECT *, trim({canonical_sql("replace(raw_model, 'meta-llama/', '')")} ||
                          {improvement_sql("replace(raw_model, 'meta-llama/', '')")}) AS Model FROM cases),
-case_acc AS (SELECT Model, case_id, AVG(score) AS correct FROM named WHERE score IS NOT NULL GROUP BY Model, case_id)"""
+case_acc AS (SELECT Model, case_id, AVG(CASE WHEN score IS NULL THEN 0 ELSE score END) AS correct FROM named GROUP BY Model, case_id)"""
 
 
 def _case_accuracy(spark, sf):
     c = cases(spark, sf).withColumn("Model_Orig", clean_model(F.col("raw_model"), "cases"))
     c = with_model_names(c)
-    return (c.filter(F.col("score").isNotNull())
-             .groupBy("Model", "case_id").agg(F.avg("score").alias("correct")))
+    return rubric.case_accuracy(c, "Model")
 
 
 @query("case_accuracy", sql=_CASE_ACC_SQL + """

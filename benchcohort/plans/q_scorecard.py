@@ -176,6 +176,57 @@ def chart_layout(spark, sf):
         "Bench", "Model", "Center", "is_header", "y")
 
 
+#: The default report: exclusions, bench patterns, improvement rule, the top of each bench.
+REPORT = report.ReportOptions(exclude=EXCLUDE, bench=["de", "en", "fr"], reference_model="Claude 4 Sonnet")
+
+_REPORT_LAYOUT_SQL = f"""
+chosen AS (
+  SELECT * FROM sc WHERE lower(Model) NOT IN ({_EXCL_SQL}) AND regexp_matches(Bench, '{"|".join(REPORT.bench)}')
+    AND (Improve = '' OR Best = 1 OR BestMeta = 1 OR Improve_Last = 1) AND NOT (Improve <> '' AND Improve_Last = 0)
+),
+floors AS (SELECT Bench, MIN(Center) AS least FROM chosen WHERE Model = '{REPORT.reference_model}' OR BestMeta = 1 GROUP BY Bench),
+marked AS (SELECT c.*, CAST(c.Center >= f.least AS INTEGER) AS keep FROM chosen c JOIN floors f ON c.Bench = f.Bench),
+shown AS (SELECT Bench, SUM(keep) AS k, COUNT(*) AS m FROM marked GROUP BY Bench),
+places AS (
+  SELECT Bench, k, CASE WHEN k = m THEN '(Showing all ' || m || ' models)' ELSE '(Showing ' || k || ' of ' || m || ' models)' END AS Showing,
+         SUM(k + 1) OVER (ORDER BY Bench) - (k + 1) AS off, SUM(k + 1) OVER () AS total FROM shown
+),
+laid AS (
+  SELECT Bench, CAST(NULL AS VARCHAR) AS Model, CAST(NULL AS DOUBLE) AS Center, CAST(NULL AS DOUBLE) AS L95, CAST(NULL AS DOUBLE) AS U95,
+         CAST(NULL AS INTEGER) AS limits_not_ci, CAST(NULL AS INTEGER) AS Best, CAST(NULL AS INTEGER) AS Worse,
+         CAST(NULL AS INTEGER) AS BestMeta, CAST(NULL AS VARCHAR) AS Improve, CAST(NULL AS DOUBLE) AS Center_Best, Showing,
+         1 AS is_header, CAST(total - 1 - off AS BIGINT) AS y FROM places
+  UNION ALL
+  SELECT r.Bench, Model, Center, L95, U95, limits_not_ci, Best, Worse, BestMeta, Improve, Center_Best, NULL, 0,
+         CAST(total - 1 - (off + row_number() OVER (PARTITION BY r.Bench ORDER BY Center DESC NULLS LAST, Model)) AS BIGINT)
+  FROM marked r JOIN places p ON r.Bench = p.Bench WHERE keep = 1
+)"""
+
+
+@query("report_layout", sql=SC + "," + _REPORT_LAYOUT_SQL + """
+SELECT Bench, Model, Center, round(L95, 6) AS L95, round(U95, 6) AS U95, limits_not_ci, Best, Worse, BestMeta, Improve, Center_Best,
+       Showing, is_header, y FROM laid""")
+def report_layout(spark, sf):
+    """The default report in one: selection, counts shown, layout, all columns that are drawn."""
+    out = report.report_layout(_sc(spark, sf), REPORT)
+    return out.select("Bench", "Model", "Center", r6("L95"), r6("U95"), "limits_not_ci", "Best", "Worse", "BestMeta", "Improve",
+                      "Center_Best", "Showing", "is_header", "y")
+
+
+@query("overlay_best", sql=SC + "," + _REPORT_LAYOUT_SQL + """,
+markers AS (
+  SELECT l.Bench, l.Model, l.y, s.Center, s.Progress, s.Improve_Label,
+         MAX(s.Center) OVER (PARTITION BY l.Bench, l.Model) AS top
+  FROM laid l JOIN sc s ON l.Bench = s.Bench AND l.Model = s.Base WHERE s.Progress IS NOT NULL AND s.Improve_Last = 1
+)
+SELECT Bench, Model, y, Center, Progress, Improve_Label FROM markers WHERE Center = top""")
+def overlay_best(spark, sf):
+    """The best improvement on each row of the default report."""
+    sc = _sc(spark, sf)
+    out = report.overlay_markers(report.report_layout(sc, REPORT), sc, REPORT, best_only=True)
+    return out.select("Bench", "Model", "y", "Center", "Progress", "Improve_Label")
+
+
 @query("chart_layout_single", sql=SC + f"""
 , one AS (SELECT Bench, Model, Center FROM sc WHERE lower(Model) = lower('{INCLUDE_ONE}'))
 SELECT Bench, Model, Center, CAST(row_number() OVER (ORDER BY Center, Bench) AS BIGINT) AS y FROM one

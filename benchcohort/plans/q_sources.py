@@ -185,6 +185,31 @@ def extract_codes(spark, sf):
     return codes.groupBy("code").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
+_LINES_SQL = """SELECT CASE p_partkey % 4
+  WHEN 0 THEN 'var brand' || p_partkey || ' = RX( "' || p_size || '" , ''' || p_partkey || ''',"' || p_size || '")'
+  WHEN 1 THEN 'var  b' || p_partkey || '=rx (''' || p_size || ''')'
+  WHEN 2 THEN '// var c' || p_partkey || ' = rx(''' || p_size || ''')'
+  ELSE 'var d' || p_partkey || ' = dx(''' || p_size || ''')' END AS line FROM part"""
+
+
+@query("code_lists", sql=f"""
+WITH lines AS ({_LINES_SQL}),
+kept AS (SELECT replace(regexp_replace(line, '^var ', ''), '"', '''') AS body FROM lines
+         WHERE regexp_matches(line, '^var') AND regexp_matches(replace(lower(line), ' ', ''), 'rx\\(|rx='))
+SELECT trim(split_part(body, '=', 1)) AS name, unnest(list_distinct(regexp_extract_all(body, '''\\s*(.*?)\\s*''', 1))) AS code FROM kept""")
+def code_lists(spark, sf):
+    """Definitions that list codes, from a text of one definition a line."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    kind = F.col("p_partkey") % 4
+    line = (F.when(kind == 0, text("var brand", key, ' = RX( "', size, "\" , '", key, "',\"", size, '")'))
+            .when(kind == 1, text("var  b", key, "=rx ('", size, "')")).when(kind == 2, text("// var c", key, " = rx('", size, "')"))
+            .otherwise(text("var d", key, " = dx('", size, "')")))
+    path = scratch_path(spark, "definitions")
+    table(spark, sf, "part").select(line.alias("value")).write.text(path)
+    return files.code_lists(spark.read.text(path))
+
+
 @query("enrich_codes", sql="""
 WITH codes AS (
   SELECT DISTINCT CAST(regexp_extract(url, '/([0-9]+)(?:[/.?#]|$)', 1) AS BIGINT) AS code FROM pages

@@ -375,3 +375,34 @@ def test_levels_are_bounded_and_nulls_are_no_level(spark, monkeypatch):
     monkeypatch.setattr(co, "MOST_LEVELS", 1)
     with pytest.raises(ValueError, match="levels"):
         co.levels(df, "g")
+
+
+def test_report_options_select_rows_and_markers(spark):
+    from benchcohort.operators import report
+    rows = [  # Bench, Model, Center, Improve, Best, BestMeta, Improve_Last, Base, Progress, Improve_Label
+        ("Ax", "o3", 0.5, "", 0, 0, 0, None, None, None), ("Ax", "M", 0.4, "", 0, 1, 0, None, None, None),
+        ("Ax", "M-rag1", 0.45, "-rag1", 0, 0, 0, "M", "Better", "R1"), ("Ax", "M-rag2", 0.6, "-rag2", 1, 0, 1, "M", "Better", "R2"),
+        ("Ax", "M-prompt", 0.3, "-prompt", 0, 0, 1, "M", "Worse", "P"), ("Ax", "low", 0.1, "", 0, 0, 0, None, None, None),
+        ("By", "o3", 0.2, "", 1, 0, 0, None, None, None)]
+    names = "Bench Model Center Improve Best BestMeta Improve_Last Base Progress Improve_Label".split()
+    sc = spark.createDataFrame(rows, "Bench string, Model string, Center double, Improve string, Best int, BestMeta int, Improve_Last int, "
+                                     "Base string, Progress string, Improve_Label string").toDF(*names)
+    for n in ("L95", "U95", "Center_Best"):
+        sc = sc.withColumn(n, F.col("Center"))
+    sc = sc.withColumns({"limits_not_ci": F.lit(0), "Worse": F.lit(0)})
+    options = report.ReportOptions
+    models = lambda o: sorted((r.Bench, r.Model) for r in report.selected_rows(sc, o).collect())
+    everything = sorted((r[0], r[1]) for r in rows)
+    assert models(options(improvements="Regular", last_only=False)) == everything
+    assert models(options()) == [r for r in everything if r[1] != "M-rag1"]
+    assert models(options(bench=["^B", "zz"])) == [("By", "o3")]
+    assert models(options(exclude=["O3"], down_to="o3", last_only=False)) == [("Ax", "M-rag2")]
+    assert models(options(include=["LOW"])) == [("Ax", "low")]
+    out = {(r.Bench, r.Model): r for r in report.report_layout(sc, options()).collect()}
+    assert out["Ax", None].Showing == "(Showing 3 of 5 models)" and out["By", None].Showing == "(Showing all 1 models)"
+    assert [m for (b, m), r in sorted(out.items(), key=lambda x: -x[1].y)] == [None, "M-rag2", "o3", "M", None, "o3"]
+    assert out["Ax", "M"].BestMeta == 1 and out["Ax", "M"].Showing is None and sorted(r.y for r in out.values()) == list(range(6))
+    layout = report.report_layout(sc, options(top_only=False))
+    marks = lambda **o: sorted(r.Improve_Label for r in report.overlay_markers(layout, sc, options(**{k: v for k, v in o.items() if k != "best"}), o.get("best", False)).collect())
+    assert marks() == ["P", "R2"] and marks(last_only=False) == ["P", "R1", "R2"]
+    assert marks(improvements="Worse") == ["P"] and marks(best=True) == ["R2"]
