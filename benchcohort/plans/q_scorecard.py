@@ -177,7 +177,7 @@ def chart_layout(spark, sf):
 
 
 #: The default report: exclusions, bench patterns, improvement rule, the top of each bench.
-REPORT = report.ReportOptions(exclude=EXCLUDE, bench=["de", "en", "fr"], reference_model="Claude 4 Sonnet")
+REPORT = report.ReportOptions(exclude=EXCLUDE, bench=["de", "en", "fr"], reference_model="Llama 3.3 70B")
 
 _REPORT_LAYOUT_SQL = f"""
 chosen AS (
