@@ -23,6 +23,9 @@ So few-valued scores cost cells x R draws however many units there are, and no
 unit is joined or copied R times by either. A task holds a group's leaves (one
 for LEAF / 2 units at most) or the cells of a leaf.
 
+Poisson weights are drawn in numpy, an array of units and replicates at a time
+(:mod:`benchcohort.functions.draws`); a task adds them up, by cells and by units.
+
 ``form="rows"`` draws unit by unit instead: for B1, n x R draw rows joined to
 the numbered units; for B2, a weight for each unit and replicate. The caller
 names method and form; neither depends on the data's size.
@@ -32,12 +35,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions import draws
 from ..functions.binomial import let
-from ..functions.hashing import h, poisson1_of, stream
-from ..functions.sampling import binomial_draw, poisson_draw
+from ..functions.hashing import h, stream
+from ..functions.sampling import binomial_draw
 from ..session import cut_lineage
 from .stats import prefix_sums
 
@@ -85,40 +93,87 @@ def multinomial_replicates(units: DataFrame, keys: Sequence[str], order_key: str
                    .select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / DRAW_BLOCK))).alias("_b"))
                    .repartition(*keys, "r", "_b"))
     first = F.col("_b") * DRAW_BLOCK
-    draws = blocks.select(*keys, "r", "_base", "_n",
+    drawn = blocks.select(*keys, "r", "_base", "_n",
                           F.explode(F.sequence(first, F.least(first + DRAW_BLOCK, F.col("_n")) - 1)).alias("_k"))
-    draws = draws.select(*keys, "r", F.pmod(stream(F.col("_base"), F.col("_k")), F.col("_n")).alias("_idx"))
+    drawn = drawn.select(*keys, "r", F.pmod(stream(F.col("_base"), F.col("_k")), F.col("_n")).alias("_idx"))
     # Spark sizes an explode like its input, so the n * R draw rows look tiny to
     # the planner; the unit side is the one to hash.
-    joined = draws.join(indexed.hint("shuffle_hash"), list(keys) + ["_idx"])
+    joined = drawn.join(indexed.hint("shuffle_hash"), list(keys) + ["_idx"])
     return joined.groupBy(*keys, "r").agg(F.avg(value).alias("rep_mean")), indexed
 
 
 def poisson_replicates(units: DataFrame, keys: Sequence[str], unit_key: Sequence[Column], value: Column,
-                       R: int, seed: int, scale: int = 1, width: int = 8) -> DataFrame:
-    """Replicate means by Poisson(1) weights (B2).
+                       R: int, seed: int, scale: int = 1) -> DataFrame:
+    """Replicate means by Poisson(1) weights (B2): each unit draws its weight in each replicate.
 
     ``value`` should be integral (e.g. cents) so sums are exact and
-    order-independent; ``scale`` divides the result back. Each row explodes
-    into ceil(R / width) blocks; block b carries replicates b*width .. +width-1
-    as separate sums, unstacked after the (tiny) aggregate.
-    """
-    blocks = (R + width - 1) // width
-    integral = dict(units.select(value.alias("_v")).dtypes)["_v"] in ("tinyint", "smallint", "int", "bigint")
-    base = units.select(*keys, h(seed, *unit_key).alias("_h0"),
-                        value.cast("bigint" if integral else "double").alias("_x"))
-    exploded = base.select(*keys, "_h0", "_x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    aggs = []
-    for j in range(width):
-        wj = poisson1_of(stream(F.col("_h0"), F.col("_b") * width + j)).cast("bigint" if integral else "double")
-        aggs.append(F.sum(wj * F.col("_x")).alias(f"_wx{j}"))
-        aggs.append(F.sum(wj).alias(f"_w{j}"))
-    per_block = exploded.groupBy(*keys, "_b").agg(*aggs)
-    stacked = per_block.select(*keys, F.explode(F.array(*[
-        F.struct((F.col("_b") * width + j).alias("r"), F.col(f"_wx{j}").alias("wx"), F.col(f"_w{j}").alias("w"))
-        for j in range(width)])).alias("_s"))
-    return (stacked.select(*keys, "_s.r", "_s.wx", "_s.w").filter(F.col("r") < R)
-                   .select(*keys, "r", (F.try_divide(F.col("wx"), F.col("w")) / F.lit(float(scale))).alias("rep_mean")))
+    order-independent; ``scale`` divides the result back."""
+    base = units.select(*keys, h(seed, *unit_key).alias("_h"), value.cast("double").alias("_x"), F.lit(None).cast("bigint").alias("_c"))
+    sums = _weighted_sums(base, keys, R)
+    return sums.select(*keys, "r", (F.try_divide(F.col("s"), F.col("n")) / F.lit(float(scale))).alias("rep_mean"))
+
+
+UNIT_BLOCK = 1024  # units whose weights in a few replicates are drawn at once: their streams stay in a core's cache
+WEIGHT_BLOCK = 50  # replicates drawn at once
+MOST_GROUPS = 500  # groups that a task adds up before it hands them on
+
+
+def _add_weighted(h0: np.ndarray, x: np.ndarray, c: np.ndarray | None, R: int) -> np.ndarray:
+    """R x 2: sums of w x and of w over the units of a group. Without counts ``c`` a unit draws a Poisson(1)
+    weight; with them it is a cell, and draws the weight of c units."""
+    out = np.zeros((R, 2))
+    if c is not None:  # cells of one size side by side
+        order = np.argsort(c, kind="stable")
+        h0, x, c = h0[order], x[order], c[order]
+    both = np.stack([x, np.ones_like(x)], axis=1)
+    for u in range(0, len(x), UNIT_BLOCK):
+        some = slice(u, u + UNIT_BLOCK)
+        for r in range(0, R, WEIGHT_BLOCK):
+            own = draws.stream(h0[some][None, :], np.arange(r, min(r + WEIGHT_BLOCK, R))[:, None])
+            w = draws.poisson1(own).astype(float) if c is None else draws.poisson(c[some], own)
+            out[r:r + WEIGHT_BLOCK] += w @ both[some]
+    return out
+
+
+def _weighted_sums(rows: DataFrame, keys: Sequence[str], R: int) -> DataFrame:
+    """(keys, r, s, n): sums of w x (null if no x is known) and of w, for rows (keys, _h, _x, _c); ``_h`` is
+    a row's stream. A task adds up its rows by group; nothing is copied for each replicate."""
+    keys = list(keys)
+
+    def handed_on(held):
+        for key, (sums, known) in held.items():
+            yield pa.RecordBatch.from_pydict({**{k: [v] for k, v in zip(keys, key)}, "_known": [known],
+                                              "_s": [sums[:, 0].tolist()], "_w": [sums[:, 1].tolist()]}, schema=schema)
+
+    def add(batches):
+        held: dict = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = np.zeros(b.num_rows, dtype=np.int64) if not keys else \
+                b.select(keys).to_pandas().groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(codes, kind="stable")
+            bounds = [0, *(np.flatnonzero(np.diff(codes[order])) + 1), len(order)]
+            h0 = b.column("_h").to_numpy(zero_copy_only=False).astype(np.uint32)
+            x = b.column("_x").fill_null(0.0).to_numpy(zero_copy_only=False)
+            valid = b.column("_x").is_valid().to_numpy(zero_copy_only=False)
+            cells = b.column("_c").null_count < b.num_rows
+            c = b.column("_c").to_numpy(zero_copy_only=False) if cells else None
+            for i, j in zip(bounds, bounds[1:]):
+                at = order[i:j]
+                key = tuple(b.column(k)[int(at[0])].as_py() for k in keys)
+                sums, known = held.get(key, (0.0, False))
+                held[key] = (sums + _add_weighted(h0[at], x[at], c[at] if cells else None, R), known or bool(valid[at].any()))
+            if len(held) > MOST_GROUPS:
+                yield from handed_on(held)
+                held = {}
+        yield from handed_on(held)
+
+    kinds = T.StructType([rows.schema[k] for k in keys] + [T.StructField("_known", T.BooleanType()), *[
+        T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("_s", "_w")]])
+    schema = to_arrow_schema(kinds)
+    parts = rows.mapInArrow(add, kinds).select(*keys, "_known", F.posexplode(F.arrays_zip("_s", "_w")).alias("r", "x"))
+    return (parts.groupBy(*keys, "r").agg(F.when(F.max("_known"), F.sum("x._s")).alias("s"), F.sum("x._w").alias("n")))
 
 
 def _tasks(df: DataFrame) -> int:
@@ -207,16 +262,8 @@ def poisson_cells(units: DataFrame, keys: Sequence[str], value: str, R: int, see
     keys = list(keys)
     cells = cut_lineage(cells_of(units, keys, value))
     base = h(seed, *[F.coalesce(F.col(k).cast("string"), F.lit("NA")) for k in keys], F.col("v").cast("decimal(38,6)"))
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((R - 1) // REPLICATE_BLOCK)))
-    draws = (cells.filter("v IS NOT NULL").withColumn("base", base).withColumn("block", blocks)
-             .repartition(_tasks(units), *keys, "v", "block")
-             .withColumn("r", F.explode(F.sequence(F.col("block") * REPLICATE_BLOCK,
-                                                   F.least((F.col("block") + 1) * REPLICATE_BLOCK, F.lit(R)) - 1)))
-             .withColumn("own", stream(F.col("base"), F.col("r"))))
-    # one unit's weight needs no loop
-    weight = F.when(F.col("c") == 1, poisson1_of(stream(F.col("own"), 1)).cast("double")).otherwise(poisson_draw(F.col("c"), F.col("own")))
-    total = (draws.select(*keys, "r", "v", weight.alias("w")).groupBy(*keys, "r")
-             .agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("n")))
+    rows = cells.filter("v IS NOT NULL").select(*keys, base.alias("_h"), F.col("v").alias("_x"), F.col("c").alias("_c"))
+    total = _weighted_sums(rows.repartition(_tasks(units), *keys, "_x"), keys, R)
     return total.select(*keys, "r", F.try_divide("s", "n").alias("rep_mean")), cells
 
 
@@ -268,3 +315,12 @@ def poisson_summary(units: DataFrame, keys: Sequence[str], value: str, R: int, s
     n = F.sum(F.when(F.col("v").isNotNull(), F.col("c")))
     point = cells.groupBy(*keys).agg(n.alias("n"), (F.sum(F.col("v") * F.col("c")) / n).alias("mean"))
     return point.join(_replicate_quantiles(reps, keys, "rep_mean"), list(keys))
+
+
+def poisson_units_summary(units: DataFrame, keys: Sequence[str], unit_key: Sequence[Column], value: Column, R: int, seed: int,
+                          scale: int = 1) -> DataFrame:
+    """B2 unit by unit with its point estimate. Units without a value count in n and in the weights."""
+    reps = poisson_replicates(units, keys, unit_key, value, R, seed, scale)
+    n = F.count(F.lit(1))
+    point = units.select(*keys, value.alias("_x")).groupBy(*keys).agg(n.alias("n"), (F.sum("_x") / n / F.lit(float(scale))).alias("mean"))
+    return point.join(_replicate_quantiles(reps, keys, "rep_mean"), list(keys))

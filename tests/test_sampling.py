@@ -80,3 +80,24 @@ def test_binomial_frequencies(binomials, g):
         if expected >= 5:
             terms.append((seen.count(k) - expected) ** 2 / expected)
     assert sum(terms) < len(terms) + 4 * math.sqrt(2 * len(terms))
+
+
+def test_numpy_draws_equal_columns(spark):
+    """The same counts from the same streams: unit draws, sums of a few, rejection."""
+    import numpy as np
+
+    from benchcohort.functions import draws
+    means = [*range(1, 20), 57, 1000, 12345, 10**8]
+    df = spark.createDataFrame([(g, n) for g, n in enumerate(means)], "g int, n long")
+    df = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(299))).alias("r")).withColumn("base", h(11, F.col("g"), F.col("r")))
+    rows = df.select("g", "r", "base", sampling.poisson_draw(F.col("n"), F.col("base")).alias("k")).orderBy("r", "g").collect()
+    base = np.array([r.base for r in rows], dtype=np.uint32).reshape(300, -1)
+    got = draws.poisson(np.array(means), base)
+    assert (got == np.array([r.k for r in rows]).reshape(300, -1)).all()
+    z = np.array([0, 2**32 - 1, *sampling_cuts(), *(c - 1 for c in sampling_cuts())], dtype=np.uint32)
+    assert draws.poisson1(z).tolist() == [sum(int(v) >= c for c in sampling_cuts()) for v in z]
+
+
+def sampling_cuts():
+    from benchcohort.functions.hashing import POISSON1_CUTS
+    return POISSON1_CUTS
