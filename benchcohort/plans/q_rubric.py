@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import h_sql, stream_sql
+from ..functions.hashing import h_sql, poisson1_of_sql, stream_sql
 from ..functions.rules import MODEL_CLEAN_RULES, replace_rules_sql
 from ..functions.sampling import binomial_draw_ctes, poisson_draw_ctes
 from ..operators import intervals, rubric
 from ..operators.scorecard import clean_model, with_model_names
+from ..session import spread, under_parallel
 from ..sources.tables import table
 from .inputs import CASES_SQL, RUBRIC_SQL, cases
 from .inputs import rubric as rubric_input
@@ -215,13 +216,42 @@ def bootstrap_mean_ci_poisson(spark, sf):
     return out.select("model", "run_id", "grp", r6("mean"), r6("lcl"), r6("ucl"), "n")
 
 
-@query("bootstrap_poisson", sql="""WITH li AS (SELECT l_returnflag, round(l_discount * 100) AS cents FROM lineitem),
-""" + _poisson_cells_sql("li", ["l_returnflag"], "cents", R_POISSON, SEED) + """
-SELECT p.l_returnflag, p.n, p.mean_v / 100.0 AS mean, round(q.q025 / 100.0, 6) AS L95, round(q.q50 / 100.0, 6) AS Median,
-       round(q.q975 / 100.0, 6) AS U95, CAST(q.r_used AS BIGINT) AS R_used
-FROM pw_point p JOIN pw_q q ON p.l_returnflag = q.l_returnflag""")
+def _poisson_sql(R: int, seed: int, width: int = 8) -> str:
+    blocks = (R + width - 1) // width
+    key = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "CAST(round(l_extendedprice * 100) AS BIGINT)")
+    ws = [f"CAST({poisson1_of_sql(stream_sql('h0', f'b * {width} + {j}'))} AS BIGINT) AS w{j}" for j in range(width)]
+    return f"""WITH li AS (
+  SELECT l_returnflag, CAST(round(l_discount * 100) AS BIGINT) AS x, {h_sql(str(seed), *key)} AS h0
+  FROM lineitem
+),
+blk AS (SELECT l_returnflag, x, h0, b FROM li, range(0, {blocks}) t(b)),
+wts AS (SELECT l_returnflag, x, b, {", ".join(ws)} FROM blk),
+per_block AS (
+  SELECT l_returnflag, b, {", ".join(f"SUM(w{j} * x) AS wx{j}, SUM(w{j}) AS sw{j}" for j in range(width))}
+  FROM wts GROUP BY l_returnflag, b
+),
+reps AS (
+  {" UNION ALL ".join(f"SELECT l_returnflag, b * {width} + {j} AS r, wx{j} AS wx, sw{j} AS sw FROM per_block" for j in range(width))}
+),
+means AS (SELECT l_returnflag, r, CASE WHEN sw = 0 THEN NULL ELSE wx / sw END / 100.0 AS rep_mean FROM reps WHERE r < {R}),
+point AS (SELECT l_returnflag, CAST(COUNT(*) AS BIGINT) AS n,
+                 CAST(SUM(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) / COUNT(*) / 100.0 AS mean
+          FROM lineitem GROUP BY l_returnflag)
+SELECT p.l_returnflag, p.n, p.mean, round(quantile_cont(m.rep_mean, 0.025), 6) AS L95,
+       round(quantile_cont(m.rep_mean, 0.5), 6) AS Median, round(quantile_cont(m.rep_mean, 0.975), 6) AS U95,
+       CAST(COUNT(m.rep_mean) AS BIGINT) AS R_used
+FROM point p JOIN means m ON p.l_returnflag = m.l_returnflag
+GROUP BY p.l_returnflag, p.n, p.mean"""
+
+
+@query("bootstrap_poisson", sql=_poisson_sql(R_POISSON, SEED))
 def bootstrap_poisson(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_returnflag", F.round(F.col("l_discount") * 100).alias("cents"))
-    out = intervals.poisson_summary(li, ["l_returnflag"], "cents", R_POISSON, SEED)
-    share = lambda c: r6(F.col(c) / 100.0, c)
-    return out.select("l_returnflag", "n", (F.col("mean") / 100.0).alias("mean"), share("L95"), share("Median"), share("U95"), "R_used")
+    """Every line item draws its own weight in each replicate."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                             "l_extendedprice", "l_discount", "l_returnflag")
+    li = spread(li) if under_parallel(li) else li
+    key = [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"),
+           F.round(F.col("l_extendedprice") * 100).cast("bigint")]
+    out = intervals.poisson_units_summary(li, ["l_returnflag"], key, F.round(F.col("l_discount") * 100).cast("bigint"),
+                                          R_POISSON, SEED, scale=100)
+    return out.select("l_returnflag", "n", "mean", r6("L95"), r6("Median"), r6("U95"), "R_used")

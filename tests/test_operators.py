@@ -406,3 +406,36 @@ def test_report_options_select_rows_and_markers(spark):
     marks = lambda **o: sorted(r.Improve_Label for r in report.overlay_markers(layout, sc, options(**{k: v for k, v in o.items() if k != "best"}), o.get("best", False)).collect())
     assert marks() == ["P", "R2"] and marks(last_only=False) == ["P", "R1", "R2"]
     assert marks(improvements="Worse") == ["P"] and marks(best=True) == ["R2"]
+
+
+def test_poisson_weights_are_added_up_in_the_tasks(spark, monkeypatch):
+    """No row a replicate before the sums; blocks and group limits change nothing; nulls weigh but add nothing."""
+    from benchcohort.functions.hashing import h, poisson1_of, stream
+    rows = [(None if i % 7 == 0 else "ab"[i % 2], i, None if i % 5 == 0 else i % 11) for i in range(300)] + [("none", 1, None)]
+    df = spark.createDataFrame(rows, "g string, k long, v long")
+    w = poisson1_of(stream(h(5, F.col("k")), F.col("r"))).cast("long")
+    want = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("r")).groupBy("g", "r").agg(
+        F.try_divide(F.sum(w * F.col("v")), F.sum(w)).alias("m")).collect()
+    for blocks in ({}, {"UNIT_BLOCK": 7, "WEIGHT_BLOCK": 3, "MOST_GROUPS": 1}):
+        for name, value in blocks.items():
+            monkeypatch.setattr(intervals, name, value)
+        reps = intervals.poisson_replicates(df, ["g"], [F.col("k")], F.col("v"), 20, 5)
+        assert {(r.g, r.r): r.rep_mean for r in reps.collect()} == {(r.g, r.r): r.m for r in want}
+    for found in (reps, intervals.poisson_cells(df, ["g"], "v", 20, 5)[0]):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "sequence(" not in plan
+
+
+def test_poisson_bootstrap_draws_a_weight_for_each_line_item(spark, tmp_path):
+    """Line items of equal values have weights of their own: other keys, other draws."""
+    from benchcohort.plans import ORACLES, QUERIES
+    assert "l_orderkey" in ORACLES["bootstrap_poisson"]
+    got = []
+    for first in (0, 1000):
+        rows = [(first + i, 1, 2, 3, 100.0 + i, (i % 3) / 100, "A") for i in range(60)]
+        spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, "
+                                    "l_discount double, l_returnflag string").write.parquet(f"{tmp_path}/{first}/lineitem.parquet")
+        got.append(QUERIES["bootstrap_poisson"](spark, f"{tmp_path}/{first}").first())
+    a, b = got
+    assert (a.n, a.mean, a.R_used) == (b.n, b.mean, b.R_used) == (60, 0.01, 1000)
+    assert (a.L95, a.Median, a.U95) != (b.L95, b.Median, b.U95) and a.L95 < 0.01 < a.U95
