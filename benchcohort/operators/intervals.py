@@ -33,6 +33,7 @@ names method and form; neither depends on the data's size.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -43,9 +44,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import draws
-from ..functions.binomial import let
 from ..functions.hashing import h, stream
-from ..functions.sampling import binomial_draw
 from ..session import cut_lineage
 from .stats import prefix_sums
 
@@ -202,6 +201,63 @@ def leaves_of(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     return leaves.select(*keys, order.alias("place"), "w", "m", "cells")
 
 
+def _bases(seed: int, block: int, size: int, R: int) -> np.ndarray:
+    """The streams of a block's replicates, as ``h(seed, r)`` gives them."""
+    return np.array([int(hashlib.md5(f"{seed}:{r}".encode()).hexdigest()[:8], 16)
+                     for r in range(block * size, min((block + 1) * size, R))], dtype=np.uint32)
+
+
+def _leaf_draws(keys: Sequence[str], R: int, seed: int, size: int, schema: pa.Schema):
+    """Draws of a block of replicates of a group, for each of its rows (keys, leaves, block): a row for each leaf of
+    several values with how often each replicate draws from it, and one (without a place) with what the others add up to."""
+    def draw(batches):
+        for b in batches:
+            leaves, blocks = b.column("leaves"), b.column("block").to_pylist()
+            at, cells = leaves.offsets.to_numpy(), leaves.values
+            place, w = cells.field("place").to_pylist(), cells.field("w").to_numpy()
+            single = cells.field("single").to_numpy(zero_copy_only=False)
+            known = single & cells.field("v").is_valid().to_numpy(zero_copy_only=False)
+            v = cells.field("v").fill_null(0.0).to_numpy(zero_copy_only=False)
+            for row, block in enumerate(blocks):
+                own = slice(at[row], at[row + 1])
+                k = draws.multinomial(w[own], _bases(seed, block, size, R))
+                some, several = k[:, known[own]], np.flatnonzero(~single[own])
+                sums = np.where(some > 0, some * v[own][known[own]], 0.0).sum(axis=1)
+                n = len(several)
+                out = {x: [b.column(x)[row].as_py()] * (n + 1) for x in keys}
+                yield pa.RecordBatch.from_pydict({
+                    **out, "block": [block] * (n + 1), "place": [place[at[row] + i] for i in several] + [None],
+                    "i": [*several.tolist(), None], "k": [*k[:, several].T.astype(np.int64).tolist(), None],
+                    "s": [None] * n + [sums.tolist()], "n": [None] * n + [some.sum(axis=1).tolist()]}, schema=schema)
+    return draw
+
+
+def _leaf_sums(keys: Sequence[str], R: int, seed: int, size: int, schema: pa.Schema):
+    """Sums of the units that replicates draw within leaves of several values, added up by group and block."""
+    def handed_on(held):
+        for (*key, block), (s, n) in held.items():
+            yield pa.RecordBatch.from_pydict({**{x: [v] for x, v in zip(keys, key)}, "block": [block], "s": [s.tolist()], "n": [n.tolist()]},
+                                             schema=schema)
+
+    def add(batches):
+        held, bases = {}, {}
+        for b in batches:
+            ks, values = b.column("k"), b.column("values")
+            ka, kv, va, vv = ks.offsets.to_numpy(), ks.values.to_numpy(), values.offsets.to_numpy(), values.values.to_numpy()
+            names = zip(*[b.column(x).to_pylist() for x in [*keys, "block"]])
+            for row, (key, i) in enumerate(zip(names, b.column("i").to_pylist())):
+                if key[-1] not in bases:
+                    bases[key[-1]] = _bases(seed, key[-1], size, R)
+                k = kv[ka[row]:ka[row + 1]]
+                s, n = held.get(key, (0.0, 0.0))
+                held[key] = (s + draws.picked_sums(vv[va[row]:va[row + 1]], k, bases[key[-1]], i), n + k.astype(float))
+            if len(held) * size > MOST_GROUPS * 1000:
+                yield from handed_on(held)
+                held = {}
+        yield from handed_on(held)
+    return add
+
+
 def multinomial_cells(units: DataFrame, keys: Sequence[str], value: str, R: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Replicate means by exact resampling of cells (B1), and the cells."""
     keys = list(keys)
@@ -209,51 +265,22 @@ def multinomial_cells(units: DataFrame, keys: Sequence[str], value: str, R: int,
     leaves = cut_lineage(leaves_of(cells, keys))
     # one row a group: its leaves, without the cells of those that have several
     one = F.struct("place", "w", F.when(F.col("m") == 1, F.col("cells")[0]["v"]).alias("v"), (F.col("m") == 1).alias("single"))
-    groups = cut_lineage(leaves.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("leaves")))
-    depth = max((groups.agg(F.max(F.size("leaves"))).first()[0] or 1) - 1, 0).bit_length()
-    # weights of the nodes of each level: those leaves whose number ends in the node's binary digits
-    node = lambda level: F.sequence(F.lit(0), F.lit((1 << level) - 1))
-    shared = groups.withColumn(f"w{depth}", F.transform(node(depth), lambda i: F.coalesce(F.get(F.col("leaves"), i)["w"], F.lit(0))))
-    for level in range(depth - 1, -1, -1):
-        below = F.col(f"w{level + 1}")
-        shared = shared.withColumn(f"w{level}", F.transform(node(level), lambda i: F.get(below, i) + F.get(below, i + (1 << level))))
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((R - 1) // REPLICATE_BLOCK)))
-    reps = (shared.withColumn("block", blocks).repartition(_tasks(units), *keys, "block")
-            .withColumn("r", F.explode(F.sequence(F.col("block") * REPLICATE_BLOCK,
-                                                  F.least((F.col("block") + 1) * REPLICATE_BLOCK, F.lit(R)) - 1)))
-            .withColumn("base", h(seed, F.col("r"))).withColumn("k0", F.transform("w0", lambda w: w.cast("double"))))
-    for level in range(depth):
-        here, total, below = (F.col(f"{x}{level + d}") for x, d in (("k", 0), ("w", 0), ("w", 1)))
-
-        def first_half(k, i):
-            share = F.when(F.get(total, i) > 0, F.get(below, i) / F.get(total, i)).otherwise(F.lit(0.0))
-            return binomial_draw(k, share, stream(F.col("base"), i + (1 << level)))
-
-        reps = reps.withColumn(f"k{level + 1}", let(F.transform(here, first_half), lambda some: F.concat(
-            some, F.zip_with(here, some, lambda k, x: k - x))))
-    reps = reps.withColumn("drawn", F.filter(F.arrays_zip(F.col(f"k{depth}").alias("k"), "leaves", node(depth).alias("i")),
-                                             lambda x: x["k"] > 0)).select(*keys, "r", "base", "drawn")
-    known = F.aggregate("drawn", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n")), lambda t, x: F.when(
-        x["leaves"]["single"] & x["leaves"]["v"].isNotNull(),
-        F.struct((t["s"] + x["k"] * x["leaves"]["v"]).alias("s"), (t["n"] + x["k"]).alias("n"))).otherwise(t))
-    several = F.filter("drawn", lambda x: ~x["leaves"]["single"])
-    reps = cut_lineage(reps.select(*keys, "r", "base", known.alias("known"), several.alias("several")))
-    # draws within leaves of several values: all replicates of a leaf meet its cells in one row
-    wanted = (reps.select(*keys, "r", "base", F.explode("several").alias("x"))
-              .groupBy(*keys, F.col("x.leaves.place").alias("place"), F.col("x.i").alias("i"))
-              .agg(F.collect_list(F.struct("r", "base", F.col("x.k").cast("int").alias("k"))).alias("asked")))
-    held = wanted.join(leaves.filter("m > 1").select(*keys, "place", "w", "cells"), [*keys, "place"])
-    values = F.flatten(F.transform("cells", lambda x: F.array_repeat(x["v"], x["c"].cast("int"))))
-
-    def picked(x):
-        return let(stream(stream(x["base"], 0), F.col("i")), lambda base: F.aggregate(
-            F.sequence(F.lit(1), x["k"]), F.lit(0.0), lambda t, j: t + F.get(F.col("values"), F.pmod(stream(base, j), F.col("w")).cast("int"))))
-
-    parts = (held.select(*keys, "i", "w", values.alias("values"), "asked")
-             .select(*keys, F.explode(F.transform("asked", lambda x: F.struct(x["r"].alias("r"), picked(x).alias("s"), x["k"].cast("double").alias("n")))).alias("x"))
-             .select(*keys, "x.r", "x.s", "x.n"))
-    total = (reps.select(*keys, "r", "known.s", "known.n").unionByName(parts)
-             .groupBy(*keys, "r").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    groups = leaves.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("leaves"))
+    size = REPLICATE_BLOCK
+    blocks = (groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((R - 1) // size)))).repartition(_tasks(units), *keys, "block"))
+    own = [groups.schema[x] for x in keys] + [T.StructField("block", T.IntegerType())]
+    sums = [T.StructField(x, T.ArrayType(T.DoubleType())) for x in ("s", "n")]
+    kinds = T.StructType([*own, leaves.schema["place"], T.StructField("i", T.LongType()), T.StructField("k", T.ArrayType(T.LongType())), *sums])
+    drawn = cut_lineage(blocks.mapInArrow(_leaf_draws(keys, R, seed, size, to_arrow_schema(kinds)), kinds))
+    # draws within leaves of several values: a block's replicates of a leaf meet its units in one row
+    inside = F.flatten(F.transform("cells", lambda x: F.array_repeat(x["v"], x["c"].cast("int"))))
+    held = (drawn.filter("place IS NOT NULL").select(*keys, "block", "place", "i", "k")
+            .join(leaves.filter("m > 1").select(*keys, "place", inside.alias("values")), [*keys, "place"]))
+    kinds = T.StructType([*own, *sums])
+    parts = held.select(*keys, "block", "i", "k", "values").mapInArrow(_leaf_sums(keys, R, seed, size, to_arrow_schema(kinds)), kinds)
+    total = (drawn.filter("place IS NULL").select(*keys, "block", "s", "n").unionByName(parts)
+             .select(*keys, "block", F.posexplode(F.arrays_zip("s", "n")).alias("at", "x"))
+             .groupBy(*keys, (F.col("block") * size + F.col("at")).alias("r")).agg(F.sum("x.s").alias("s"), F.sum("x.n").alias("n")))
     return total.select(*keys, "r", F.try_divide("s", "n").alias("rep_mean")), cells
 
 

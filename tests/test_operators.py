@@ -439,3 +439,12 @@ def test_poisson_bootstrap_draws_a_weight_for_each_line_item(spark, tmp_path):
     a, b = got
     assert (a.n, a.mean, a.R_used) == (b.n, b.mean, b.R_used) == (60, 0.01, 1000)
     assert (a.L95, a.Median, a.U95) != (b.L95, b.Median, b.U95) and a.L95 < 0.01 < a.U95
+
+
+def test_multinomial_draws_are_made_in_the_tasks(spark):
+    """No row for each replicate and leaf: a leaf's replicates stay together by blocks until they are added up."""
+    df = spark.createDataFrame([("g", i, i / 7) for i in range(200)], "g string, k long, v double")
+    reps = intervals.multinomial_cells(df, ["g"], "v", 120, 5)[0]
+    assert sorted(r.r for r in reps.collect()) == list(range(120))
+    plan = reps._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "collect_list" not in plan

@@ -101,3 +101,17 @@ def test_numpy_draws_equal_columns(spark):
 def sampling_cuts():
     from benchcohort.functions.hashing import POISSON1_CUTS
     return POISSON1_CUTS
+
+
+def test_numpy_binomials_equal_columns(spark):
+    import numpy as np
+
+    from benchcohort.functions import draws
+    df = spark.createDataFrame([(g, n, p) for g, (n, p) in enumerate(CASES)], "g int, n long, p double")
+    df = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(299))).alias("r")).withColumn("base", h(11, F.col("g"), F.col("r")))
+    rows = df.select("n", "p", "base", sampling.binomial_draw(F.col("n"), F.col("p"), F.col("base")).alias("k")).collect()
+    n, p, base, k = (np.array(x) for x in zip(*rows))
+    assert (draws.binomial(n, p, base.astype(np.uint32)) == k).all()
+    w = np.array([5, 40, 3, 1, 900, 7])
+    counts = draws.multinomial(w, base[:2000].astype(np.uint32))
+    assert (counts.sum(axis=1) == w.sum()).all() and np.abs(counts.mean(axis=0) - w).max() < 5 * np.sqrt(w.max() / 2000)
