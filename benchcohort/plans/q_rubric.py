@@ -222,7 +222,7 @@ def _poisson_sql(R: int, seed: int, width: int = 8) -> str:
     ws = [f"CAST({poisson1_of_sql(stream_sql('h0', f'b * {width} + {j}'))} AS BIGINT) AS w{j}" for j in range(width)]
     return f"""WITH li AS (
   SELECT l_returnflag, CAST(round(l_discount * 100) AS BIGINT) AS x, {h_sql(str(seed), *key)} AS h0
-  FROM lineitem
+  FROM lineitem WHERE l_discount IS NOT NULL
 ),
 blk AS (SELECT l_returnflag, x, h0, b FROM li, range(0, {blocks}) t(b)),
 wts AS (SELECT l_returnflag, x, b, {", ".join(ws)} FROM blk),
@@ -236,7 +236,7 @@ reps AS (
 means AS (SELECT l_returnflag, r, CASE WHEN sw = 0 THEN NULL ELSE wx / sw END / 100.0 AS rep_mean FROM reps WHERE r < {R}),
 point AS (SELECT l_returnflag, CAST(COUNT(*) AS BIGINT) AS n,
                  CAST(SUM(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) / COUNT(*) / 100.0 AS mean
-          FROM lineitem GROUP BY l_returnflag)
+          FROM lineitem WHERE l_discount IS NOT NULL GROUP BY l_returnflag)
 SELECT p.l_returnflag, p.n, p.mean, round(quantile_cont(m.rep_mean, 0.025), 6) AS L95,
        round(quantile_cont(m.rep_mean, 0.5), 6) AS Median, round(quantile_cont(m.rep_mean, 0.975), 6) AS U95,
        CAST(COUNT(m.rep_mean) AS BIGINT) AS R_used
@@ -246,9 +246,9 @@ GROUP BY p.l_returnflag, p.n, p.mean"""
 
 @query("bootstrap_poisson", sql=_poisson_sql(R_POISSON, SEED))
 def bootstrap_poisson(spark, sf):
-    """Every line item draws its own weight in each replicate."""
+    """Every line item draws its own weight in each replicate; those without a discount have no part."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                                             "l_extendedprice", "l_discount", "l_returnflag")
+                                             "l_extendedprice", "l_discount", "l_returnflag").filter("l_discount IS NOT NULL")
     li = spread(li) if under_parallel(li) else li
     key = [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"),
            F.round(F.col("l_extendedprice") * 100).cast("bigint")]
